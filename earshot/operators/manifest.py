@@ -35,7 +35,7 @@ def filter_manifest(
     """
     out = df
     if min_size is not None:
-        out = out.filter(F.coalesce(F.col(n_frames) >= min_size, F.lit(True)))
+        out = out.filter(F.col(n_frames) >= min_size)
     if labels is not None:
         out = out.filter(F.col(label).isin(labels))
     return out
