@@ -110,7 +110,7 @@ def token_budget_batches(
     of its own.
     """
     hist = df.groupBy(F.col(size).cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    plan = hist.groupBy(F.lit(0)).applyInPandas(
+    plan = hist.groupBy().applyInPandas(
         _fill_batches(max_tokens, max_rows),
         "size bigint, open_batch bigint, room bigint, cap bigint",
     )
