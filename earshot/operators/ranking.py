@@ -75,36 +75,42 @@ def bucketed_rank(
     ).drop("_bucket", "_before")
 
 
-def bucketed_head(
-    df: DataFrame,
-    group: list[str],
-    limits: DataFrame,
-    limit_col: str,
-    order: list[str],
-    bucket: Column,
-    limits_on: list[str],
+def balanced_cut(
+    df: DataFrame, label: str, order: list[str], bucket: Column, cell: list[str] = []
 ) -> DataFrame:
-    """The first ``limit_col`` rows of every group by ``order``, all columns kept.
+    """Where to cut every class so that all classes of a cell keep ``n_chop`` rows.
 
-    ``limits`` holds one row per ``limits_on`` (a prefix of ``group``, may be empty);
-    a limit lies between 1 and the size of its groups.
-    Only key columns take part in finding each group's last kept row; the wide rows
-    are then filtered against it and never shuffled or sorted when that table of one
-    row per group is small enough to broadcast.
+    One row per (cell, class): ``last`` = the order key of its last kept row, ``n_chop``
+    = rows of the cell's rarest class, ``n_classes``. Only key columns are read. Rows
+    are counted per bucket with partial aggregation; then the rows of one bucket per
+    class, the one the cut falls into, are ranked.
     """
+    group = [*cell, label]
     narrow = df.select(*group, *order, bucket.alias("_bucket"))
-    offsets = attach(_offsets(narrow, group), limits.select(*limits_on, limit_col), limits_on)
-    edge = offsets.filter(
-        (F.col("_before") < F.col(limit_col))
-        & (F.col("_before") + F.col("_in") >= F.col(limit_col))
-    ).withColumn("_take", F.col(limit_col) - F.col("_before"))
-    inside = join_on(narrow, edge.select(*group, "_bucket", "_take"), [*group, "_bucket"])
+    offsets = _offsets(narrow, group)
+    sizes = offsets.groupBy(*group).agg(F.sum("_in").alias("_n"))
+    chop = sizes.groupBy(*cell).agg(
+        F.min("_n").alias("n_chop"), F.count(F.lit(1)).alias("n_classes")
+    )
+    edge = (
+        attach(offsets, chop, cell)
+        .filter(F.col("n_chop").between(F.col("_before") + 1, F.col("_before") + F.col("_in")))
+        .withColumn("_take", F.col("n_chop") - F.col("_before"))
+        .drop("_before", "_in")
+    )
+    inside = join_on(narrow, edge, [*group, "_bucket"])
     rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    last = (
+    return (
         inside.withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_take"))
-        .select(*group, F.struct(*order).alias("_last"))
-    )
-    return (
-        attach(df, last, group).filter(F.struct(*order) <= F.col("_last")).drop("_last")
+        .select(*group, F.struct(*order).alias("last"), "n_chop", "n_classes")
     )
+
+
+def keep_head(df: DataFrame, cut: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows up to their group's cut, with the cut's other columns.
+
+    The cut table has one row per class: when it is small enough to broadcast, the wide
+    rows are neither shuffled nor sorted.
+    """
+    return join_on(df, cut, group).filter(F.struct(*order) <= F.col("last")).drop("last")

@@ -9,9 +9,10 @@ from earshot.functions.keys import gumbel, key_int, order_key, uniform
 from earshot.functions.vectors import bind, total
 from earshot.operators.ranking import (
     attach,
-    bucketed_head,
+    balanced_cut,
     bucketed_rank,
     join_on,
+    keep_head,
     key_bucket,
     line_bucket,
 )
@@ -61,16 +62,16 @@ def balanced_head(
     ``method="buckets"`` finds the cut without sorting a class (see ``ranking``);
     ``"window"`` is the plain form, for classes that fit one task.
     """
-    chop = chop_size(df, label, cell).drop("n_classes")
     group = [*cell, label]
     if method == "window":
+        chop = chop_size(df, label, cell).drop("n_classes")
         w = Window.partitionBy(*group).orderBy(*order)
         ranked = attach(df.withColumn("_rn", F.row_number().over(w)), chop, cell)
         return ranked.filter(F.col("_rn") <= F.col("n_chop")).drop("_rn", "n_chop")
     if method != "buckets":
         raise ValueError("method: 'buckets' or 'window'")
-    bucket = key_bucket(F.col(order[0]), digits)
-    return bucketed_head(df, group, chop, "n_chop", order, bucket, cell)
+    cut = balanced_cut(df, label, order, key_bucket(F.col(order[0]), digits), cell)
+    return keep_head(df, cut.drop("n_chop", "n_classes"), group, order)
 
 
 def class_index(df: DataFrame, label: str, line_no: str, split: list[str] = []) -> DataFrame:
@@ -92,18 +93,19 @@ def balanced_pool(df: DataFrame, label: str, line_no: str, split: list[str] = []
     The first ``n_chop`` rows of each class in file order, classes one after another
     by first appearance; positions are arithmetic, no window over the pool.
     """
-    classes = class_index(df, label, line_no, split)
-    chop = classes.groupBy(*split).agg(
-        F.min("n").alias("n_chop"), (F.min("n") * F.count(F.lit(1))).alias("pool_n")
-    )
-    group = [*split, label]
-    head = bucketed_head(
-        df, group, chop.drop("pool_n"), "n_chop", [line_no], line_bucket(F.col(line_no)), split
-    )
-    ranked = bucketed_rank(head, group, [line_no], line_bucket(F.col(line_no)), "_rn")
-    numbered = attach(join_on(ranked, classes.select(*group, "class_id"), group), chop, split)
+    group, bucket = [*split, label], line_bucket(F.col(line_no))
+    cut = balanced_cut(df, label, [line_no], bucket, split)
+    head = keep_head(df, cut, group, [line_no])
+    ranked = bucketed_rank(head, group, [line_no], bucket, "_rn")
+    classes = class_index(df, label, line_no, split).select(*group, "class_id")
     pos = F.col("class_id") * F.col("n_chop") + F.col("_rn") - 1
-    return numbered.withColumn("pool_pos", pos.cast("bigint")).drop("_rn", "class_id", "n_chop")
+    return (
+        join_on(ranked, classes, group)
+        .withColumns(
+            {"pool_pos": pos.cast("bigint"), "pool_n": F.col("n_chop") * F.col("n_classes")}
+        )
+        .drop("_rn", "class_id", "n_chop", "n_classes")
+    )
 
 
 def draw_plan(seeds: list[int], n_shot: int, n_repeat: int = 1) -> Column:

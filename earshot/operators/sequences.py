@@ -93,7 +93,7 @@ def _fill_batches(max_tokens: int, max_rows: int | None):
             opened = -(-rest // cap)
             held = rest - (opened - 1) * cap if opened else held + room
             batch += opened
-        return pd.DataFrame(plan, columns=["size", "open_batch", "room", "cap"])
+        return pd.DataFrame(plan, columns=["plan_size", "open_batch", "room", "cap"])
 
     return fill
 
@@ -112,11 +112,11 @@ def token_budget_batches(
     hist = df.groupBy(F.col(size).cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     plan = hist.groupBy().applyInPandas(
         _fill_batches(max_tokens, max_rows),
-        "size bigint, open_batch bigint, room bigint, cap bigint",
+        "plan_size bigint, open_batch bigint, room bigint, cap bigint",
     )
     keyed = df.withColumns({"_key": order_key(0, id_col), "_size": F.col(size).cast("bigint")})
     ranked = bucketed_rank(keyed, ["_size"], ["_key", id_col], key_bucket(F.col("_key"), 3), "_rn")
-    placed = ranked.join(plan, ranked["_size"] == plan["size"])
+    placed = ranked.join(plan, F.col("_size") == F.col("plan_size"))
     later = F.floor((F.col("_rn") - 1 - F.col("room")) / F.col("cap"))
     batch = F.when(F.col("_rn") <= F.col("room"), F.col("open_batch")).otherwise(
         F.col("open_batch") + 1 + later

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from earshot.functions.keys import order_key
 from earshot.functions.vectors import label_probs
 from earshot.operators.calibration import correctness
-from earshot.operators.ranking import attach
-from earshot.operators.sampling import balanced_head, chop_size
+from earshot.operators.ranking import attach, balanced_cut, keep_head, key_bucket
 
 
 def predictions(
@@ -23,15 +22,27 @@ def predictions(
     return scores.select(*cell, "id", truth, label_probs(vec, label_tokens).alias("probs"))
 
 
+def _per_seed(rows: DataFrame, seeds: list[int]) -> DataFrame:
+    """Every row once per seed, with its place in that seed's shuffled order."""
+    runs = rows.select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    return runs.withColumn("order_key", order_key(F.col("seed"), "id"))
+
+
 def evaluate(
     preds: DataFrame, prior: DataFrame, cell: list[str], seeds: list[int], digits: int = 4
 ) -> DataFrame:
     """UD-3 from predictions on: balance, calibrate, argmax, accuracy per cell and seed.
 
-    ``preds``: cell, id, truth, probs. ``prior``: cell, p_cf. Whether a row is right does
-    not depend on the seed, which only decides the rows kept; so both verdicts are made
-    first, and what fans out over the seeds is four narrow columns.
+    ``preds``: cell, id, truth, probs. ``prior``: cell, p_cf. Which rows a run keeps
+    depends on their keys alone, so the cut is found on key columns, without touching
+    probabilities. Whether a row is right does not depend on the seed, so both verdicts
+    are made once per row, and only narrow columns fan out over the seeds.
     """
+    order, group = ["order_key", "id"], [*cell, "seed", "truth"]
+    keys = _per_seed(preds.select(*cell, "id", "truth"), seeds)
+    cut = balanced_cut(
+        keys, "truth", order, key_bucket(F.col("order_key"), digits), [*cell, "seed"]
+    )
     judged = attach(preds, prior, cell).select(
         *cell,
         "id",
@@ -39,15 +50,14 @@ def evaluate(
         correctness("probs", "truth").alias("right"),
         correctness("probs", "truth", "p_cf", "diagonal_W").alias("right_cf"),
     )
-    runs = judged.select("*", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-    keyed = runs.withColumn("order_key", order_key(F.col("seed"), "id"))
-    head = balanced_head(keyed, "truth", ["order_key", "id"], [*cell, "seed"], digits=digits)
-    sums = head.groupBy(*cell, "seed").agg(
-        F.avg("right").alias("acc"), F.avg("right_cf").alias("acc_cf"), F.count(F.lit(1)).alias("n")
+    head = keep_head(_per_seed(judged, seeds), cut, group, order)
+    return head.groupBy(*cell, "seed").agg(
+        F.avg("right").alias("acc"),
+        F.avg("right_cf").alias("acc_cf"),
+        F.count(F.lit(1)).alias("n"),
+        F.max("n_chop").alias("n_chop"),
+        F.max("n_classes").alias("n_classes"),
     )
-    # every seed keeps the same number of rows per class
-    chop = chop_size(judged, "truth", cell)
-    return attach(sums, chop, cell)
 
 
 def few_shot_eval(
