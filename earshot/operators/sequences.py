@@ -142,49 +142,70 @@ def _parts(exp: str) -> dict:
     return EXPERIMENTS[exp]
 
 
+def _block_name(exp: str) -> str:
+    return f"block_{_parts(exp)['example'] or 'bare'}"
+
+
 def example_blocks(
-    examples: DataFrame, by: list[str], exp: str, audio: str, text: str, prompt, answer: str
+    examples: DataFrame,
+    by: list[str],
+    exps: list[str],
+    audio: str,
+    text: str,
+    prompt: Column,
+    answer: str,
 ) -> DataFrame:
-    """All examples of a run as one ``block`` per ``by`` key, in draw order.
+    """The examples of a run collapsed into one row per ``by`` key, in draw order.
 
-    Works on strings and on token arrays. Drawn once and collapsed before the join, so
-    a sample meets one row per run instead of ``n_shot`` rows.
+    One block column per kind of example the experiments need. Works on strings and on
+    token arrays. Collapsing before the join lets a sample meet one row per run instead
+    of ``n_shot`` rows.
     """
-    kind = _parts(exp)["example"]
-    column = {"audio": audio, "text": text}.get(kind)
-    lead = [F.col(column)] if column else []
-    piece = F.concat(*lead, prompt, F.col(answer))
-    pieces = examples.select(*by, F.struct("repeat", "draw", piece.alias("piece")).alias("_p"))
-    ordered = F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["piece"])
-    out = pieces.groupBy(*by).agg(ordered.alias("_b"))
+    column = {"audio": audio, "text": text}
+    kinds = {_block_name(e): _parts(e)["example"] for e in exps}
+    pieces = {
+        name: F.concat(*([F.col(column[k])] if k else []), prompt, F.col(answer))
+        for name, k in kinds.items()
+    }
+    drawn = F.struct("repeat", "draw", *[p.alias(n) for n, p in pieces.items()])
+    listed = examples.groupBy(*by).agg(F.array_sort(F.collect_list(drawn)).alias("_e"))
     is_text = dict(examples.dtypes)[answer] == "string"
-    block = F.array_join("_b", "") if is_text else F.flatten("_b")
-    return out.select(*by, block.alias("block"))
+
+    def join(name):
+        parts = F.transform("_e", lambda e: e[name])
+        return (F.array_join(parts, "") if is_text else F.flatten(parts)).alias(name)
+
+    return listed.select(*by, *[join(n) for n in pieces])
 
 
 def assemble_prompt(
     samples: DataFrame,
     blocks: DataFrame | None,
     on: list[str],
-    exp: str,
+    exps: list[str],
     audio: str,
     text: str,
-    prompt,
+    prompt: Column,
     out: str = "sequence",
 ) -> DataFrame:
-    """AR-6 over JN-2: one model input per sample and run.
+    """AR-6 over JN-2: the model input of every sample, run and experiment (``exp``).
 
     ``blocks`` (see ``example_blocks``) is joined by the run's key ``on``, an equi-join
-    on which every sample of a run finds that run's one block; ``None`` is zero-shot.
+    on which every sample of a run finds that run's one row; ``None`` is zero-shot. All
+    experiments come from that one join.
     """
-    parts = _parts(exp)
     column = {"audio": audio, "text": text}
-    kind = parts["zero_shot"] if blocks is None else parts["sample"]
-    body = [F.col(column[kind])] if kind else []
-    if blocks is None:
-        return samples.withColumn(out, F.concat(*body, prompt))
-    joined = samples.join(blocks, on)
-    return joined.withColumn(out, F.concat(F.col("block"), *body, prompt)).drop("block")
+
+    def sequence(exp):
+        kind = _parts(exp)["zero_shot" if blocks is None else "sample"]
+        lead = [] if blocks is None else [F.col(_block_name(exp))]
+        return F.concat(*lead, *([F.col(column[kind])] if kind else []), prompt)
+
+    rows = samples if blocks is None else samples.join(blocks, on)
+    each = F.array(*[F.struct(F.lit(e).alias("exp"), sequence(e).alias(out)) for e in exps])
+    return rows.select(
+        *[c for c in rows.columns if not c.startswith("block_")], F.explode(each).alias("_s")
+    ).select("*", "_s.*").drop("_s")
 
 
 def training_sequence(
