@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.functions.text import PY_SPACE, PY_SPACE_RUN, split_words
+from earshot.functions.text import PY_SPACE, split_words
 
 # Fixed values of the registered queries.
 PROMPT = "what is the speaker describing?"
@@ -93,7 +93,7 @@ def _quoted(s: str) -> str:
 
 # SQL fragments shared by the twins.
 SPACE = _quoted(PY_SPACE)
-RUN = _quoted(PY_SPACE_RUN)
+RUN = _quoted("[" + PY_SPACE + "]+")
 
 
 def sql_strip(c: str) -> str:

@@ -16,8 +16,9 @@ PY_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a regular expression.
-PY_SPACE_RUN = "[" + PY_SPACE + "]+"
+# The same set for Java: Unicode white space plus the four separator controls. Many
+# times faster than a class that lists the characters.
+PY_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def _c(col) -> Column:

@@ -98,14 +98,19 @@ def seed_average(
 
 
 def report_cell(acc: str = "acc", acc_cf: str = "acc_cf", n: str = "n_chop"):
-    """AG-9: one report cell, NULL when there is no run."""
-    text = F.format_string(
-        "%.2f%% (%.2f) (Nr:%s)",
-        F.col(acc_cf) * 100,
-        F.col(acc) * 100,
+    """AG-9: one report cell, ``"53.67% (53.42) (Nr:196.0)"``, NULL when there is no run.
+
+    ``format_number`` rounds the exact value half to even, as Python's ``.2f`` does;
+    ``format_string`` would round half up.
+    """
+    return F.concat(
+        F.format_number(F.col(acc_cf) * 100, 2),
+        F.lit("% ("),
+        F.format_number(F.col(acc) * 100, 2),
+        F.lit(") (Nr:"),
         F.col(n).cast("double").cast("string"),
+        F.lit(")"),
     )
-    return F.when(F.col(acc).isNotNull(), text)
 
 
 def report_pivot(
