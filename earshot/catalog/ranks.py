@@ -37,17 +37,14 @@ def wn1_cells(spark, sf):
     return head.select("doc_id", "lang", "source")
 
 
-def _pool(spark, sf):
+def wn2(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
     return P.balanced_pool(d, "lang", "doc_id")
 
 
-def wn2(spark, sf):
-    return _pool(spark, sf)
-
-
 def sm2(spark, sf):
-    d = P.draw_examples(_pool(spark, sf), 4, [0, 1, 2, 3, 4], n_repeat=2)
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    d = P.draw_examples(docs, "lang", "doc_id", 4, [0, 1, 2, 3, 4], n_repeat=2)
     return d.select("seed", "repeat", "draw", "pool_pos", "doc_id", "lang")
 
 

@@ -6,7 +6,7 @@ from earshot.catalog.roles import PROMPT, doc_words, sql_md5_int, sql_words, tab
 from earshot.functions import sequences as S
 from earshot.functions.text import render_answer, split_words
 from earshot.operators import sequences as Q
-from earshot.operators.sampling import balanced_pool, class_index, draw_examples
+from earshot.operators.sampling import class_index, draw_examples
 from earshot.operators.sweep import label_pairs
 
 EXPS = ["base", "txt", "noexemb", "noexembtxt", "noexembnotxt"]
@@ -79,8 +79,7 @@ def _samples(spark, sf):
 
 
 def _examples(spark, sf, n_shot, seeds):
-    pool = balanced_pool(_samples(spark, sf), "lang", "doc_id", ["scenarios"])
-    drawn = draw_examples(pool, n_shot, seeds, ["scenarios"])
+    drawn = draw_examples(_samples(spark, sf), "lang", "doc_id", n_shot, seeds, ["scenarios"])
     return drawn.withColumn("answer", render_answer("lang"))
 
 

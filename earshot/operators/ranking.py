@@ -75,15 +75,46 @@ def bucketed_rank(
     ).drop("_bucket", "_before")
 
 
+def _rows_at(
+    narrow: DataFrame, offsets: DataFrame, group: list[str], order: list[str], wanted: DataFrame
+) -> DataFrame:
+    """The key columns of the rows at the ranks ``wanted`` (group, _rank, ...) asks for.
+
+    Only the buckets that hold a wanted rank are sorted.
+    """
+    hits = (
+        join_on(wanted, offsets, group)
+        .filter(F.col("_rank").between(F.col("_before") + 1, F.col("_before") + F.col("_in")))
+        .withColumn("_place", F.col("_rank") - F.col("_before"))
+        .drop("_before", "_in", "_rank")
+    )
+    keys = [*group, "_bucket"]
+    inside = join_on(narrow, hits.select(*keys), keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    found = join_on(inside.withColumn("_place", place), hits, [*keys, "_place"])
+    return found.drop("_bucket", "_place")
+
+
+def rows_at_ranks(
+    df: DataFrame, group: list[str], order: list[str], bucket: Column, wanted: DataFrame
+) -> DataFrame:
+    """Rows at given ranks of their group, found without ranking the group.
+
+    ``wanted`` holds the group's columns, ``_rank`` (1-based) and any columns to carry;
+    the result has the group's and the order's columns and the carried ones.
+    """
+    narrow = df.select(*group, *order, bucket.alias("_bucket"))
+    return _rows_at(narrow, _offsets(narrow, group), group, order, wanted)
+
+
 def balanced_cut(
     df: DataFrame, label: str, order: list[str], bucket: Column, cell: list[str] = []
 ) -> DataFrame:
     """Where to cut every class so that all classes of a cell keep ``n_chop`` rows.
 
     One row per (cell, class): ``last`` = the order key of its last kept row, ``n_chop``
-    = rows of the cell's rarest class, ``n_classes``. Only key columns are read. Rows
-    are counted per bucket with partial aggregation; then the rows of one bucket per
-    class, the one the cut falls into, are ranked.
+    = rows of the cell's rarest class, ``n_classes``. Only key columns are read; rows
+    are counted per bucket with partial aggregation, and one bucket per class is sorted.
     """
     group = [*cell, label]
     narrow = df.select(*group, *order, bucket.alias("_bucket"))
@@ -92,19 +123,9 @@ def balanced_cut(
     chop = sizes.groupBy(*cell).agg(
         F.min("_n").alias("n_chop"), F.count(F.lit(1)).alias("n_classes")
     )
-    edge = (
-        attach(offsets, chop, cell)
-        .filter(F.col("n_chop").between(F.col("_before") + 1, F.col("_before") + F.col("_in")))
-        .withColumn("_take", F.col("n_chop") - F.col("_before"))
-        .drop("_before", "_in")
-    )
-    inside = join_on(narrow, edge, [*group, "_bucket"])
-    rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    return (
-        inside.withColumn("_rank", rank)
-        .filter(F.col("_rank") == F.col("_take"))
-        .select(*group, F.struct(*order).alias("last"), "n_chop", "n_classes")
-    )
+    wanted = attach(sizes.drop("_n"), chop, cell).withColumn("_rank", F.col("n_chop"))
+    last = _rows_at(narrow, offsets, group, order, wanted)
+    return last.select(*group, F.struct(*order).alias("last"), "n_chop", "n_classes")
 
 
 def keep_head(df: DataFrame, cut: DataFrame, group: list[str], order: list[str]) -> DataFrame:

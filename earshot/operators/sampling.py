@@ -15,6 +15,7 @@ from earshot.operators.ranking import (
     keep_head,
     key_bucket,
     line_bucket,
+    rows_at_ranks,
 )
 
 
@@ -91,7 +92,8 @@ def balanced_pool(df: DataFrame, label: str, line_no: str, split: list[str] = []
     """WN-2: candidates for few-shot examples with their ``pool_pos`` and the ``pool_n``.
 
     The first ``n_chop`` rows of each class in file order, classes one after another
-    by first appearance; positions are arithmetic, no window over the pool.
+    by first appearance; positions are arithmetic, no window over the pool. Pass key
+    columns only: the pool is sorted in blocks. ``draw_examples`` does not need it.
     """
     group, bucket = [*split, label], line_bucket(F.col(line_no))
     cut = balanced_cut(df, label, [line_no], bucket, split)
@@ -121,22 +123,46 @@ def draw_plan(seeds: list[int], n_shot: int, n_repeat: int = 1) -> Column:
 
 
 def draw_examples(
-    pool: DataFrame, n_shot: int, seeds: list[int], split: list[str] = [], n_repeat: int = 1
+    df: DataFrame,
+    label: str,
+    line_no: str,
+    n_shot: int,
+    seeds: list[int],
+    split: list[str] = [],
+    n_repeat: int = 1,
 ) -> DataFrame:
-    """SM-2: ``n_shot`` uniform draws with replacement from a balanced pool, per seed.
+    """SM-2: ``n_shot`` uniform draws with replacement from the balanced pool, per seed.
 
-    The same draws serve every sample of a run; ``n_repeat`` lists the set again.
+    The same draws serve every sample of a run; ``n_repeat`` lists the set again. A pool
+    position says which class and which of its first rows is meant (WN-2), so the few
+    drawn rows are looked up by rank: nothing but key columns is shuffled, and the wide
+    columns of ``df`` are read for the drawn lines only.
     """
-    plan = draw_plan(seeds, n_shot, n_repeat)
-    draws = (
-        pool.groupBy(*split)
-        .agg(F.max("pool_n").alias("_n"))
-        .select(*split, "_n", F.explode(plan).alias("_d"))
-        .select(*split, "_n", "_d.*")
+    if n_shot < 1 or n_repeat < 1 or not seeds:
+        raise ValueError("nothing to draw: zero-shot runs have no examples")
+    classes = class_index(df, label, line_no, split)
+    sizes = classes.groupBy(*split).agg(
+        F.min("n").alias("_chop"), F.count(F.lit(1)).alias("_classes")
     )
+    draws = sizes.select(
+        *split, "_chop", "_classes", F.explode(draw_plan(seeds, n_shot, n_repeat)).alias("_d")
+    ).select(*split, "_chop", "_classes", "_d.*")
     key = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("draw").cast("string")))
-    draws = draws.withColumn("pool_pos", key_int(key) % F.col("_n")).drop("_n")
-    return join_on(pool, draws, [*split, "pool_pos"])
+    draws = draws.withColumn("pool_pos", key_int(key) % (F.col("_chop") * F.col("_classes")))
+    draws = draws.select(
+        *split,
+        "seed",
+        "repeat",
+        "draw",
+        "pool_pos",
+        F.floor(F.col("pool_pos") / F.col("_chop")).cast("int").alias("class_id"),
+        (F.col("pool_pos") % F.col("_chop") + 1).alias("_rank"),
+    )
+    group = [*split, label]
+    wanted = join_on(draws, classes.select(*group, "class_id"), [*split, "class_id"])
+    bucket = line_bucket(F.col(line_no))
+    found = rows_at_ranks(df, group, [line_no], bucket, wanted.drop("class_id"))
+    return join_on(df, found, [*group, line_no])
 
 
 def gumbel_topk(
