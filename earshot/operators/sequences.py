@@ -85,7 +85,7 @@ def _fill_batches(max_tokens: int, max_rows: int | None):
         sizes = sizes.sort_values("size")
         batch, held, plan = 0, 0, []
         for size, n in zip(sizes["size"].tolist(), sizes["n"].tolist()):
-            cap = max(1, max_tokens // max(size, 1))
+            cap = max(1, max_tokens // size) if size > 0 else 2**31
             cap = cap if max_rows is None else min(cap, max_rows)
             room = min(n, max(0, cap - held))
             plan.append((size, batch, room, cap))

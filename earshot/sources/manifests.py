@@ -68,16 +68,22 @@ def numbered_lines(spark: SparkSession, path, header: bool) -> DataFrame:
     )
     rows = join_on(lines, numbered, ["_file", "_start"])
     at = F.col("_id") - F.col("_first") - F.col("_head")
-    return rows.filter(at >= 0).select(
+    return rows.select(
         "split",
-        (F.col("_before") + at).cast("bigint").alias("line_no"),
+        F.when(at >= 0, F.col("_before") + at).cast("bigint").alias("line_no"),
         (strip("_root") if header else F.lit(None).cast("string")).alias("root"),
         "line",
-    )
+    ).filter("line_no IS NOT NULL")
 
 
-def _where(split: str = "split", line: str = "line_no"):
-    return F.concat(F.col(split), F.lit(" line "), F.col(line).cast("string"))
+def _require(good, what: str):
+    """Filter condition that fails the job on a bad line and names it.
+
+    Header lines have no number; the optimizer may test them here first.
+    """
+    where = F.concat(F.col("split"), F.lit(" line "), F.col("line_no").cast("string"))
+    fail = F.raise_error(F.concat(where, F.lit(f": {what}")))
+    return F.when(F.col("line_no").isNull(), F.lit(False)).when(good, F.lit(True)).otherwise(fail)
 
 
 def read_manifest(
@@ -96,8 +102,7 @@ def read_manifest(
     frames = F.get("_f", F.lit(1))
     good = (F.size("_f") == fields) & frames.rlike(r"^\s*[+-]?[0-9]+\s*$")
     if on_bad == "error":
-        fail = F.raise_error(F.concat(_where(), F.lit(": malformed manifest line")))
-        rows = rows.filter(F.when(good, F.lit(True)).otherwise(fail))
+        rows = rows.filter(_require(good, "malformed manifest line"))
     elif on_bad != "keep":
         raise ValueError("on_bad: 'error' or 'keep'")
     label = F.get("_f", F.lit(2)) if labelled else F.lit(None).cast("string")
@@ -133,9 +138,7 @@ def read_labels(spark: SparkSession, path, kind: str = "evaluation") -> DataFram
     if kind != "evaluation":
         raise ValueError("kind: 'evaluation' or 'transcript'")
     rows = rows.withColumn("_f", F.split("line", "\t"))
-    fail = F.raise_error(F.concat(_where(), F.lit(": a label line has 3 or 4 columns")))
-    good = F.size("_f").isin(3, 4)
-    rows = rows.filter(F.when(good, F.lit(True)).otherwise(fail))
+    rows = rows.filter(_require(F.size("_f").isin(3, 4), "a label line has 3 or 4 columns"))
     names = ["answer", "question", "text", "hyp"]
     return rows.select(
         "split", "line_no", *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(names)]
