@@ -12,6 +12,7 @@ from earshot.operators.sequences import collect_batches
 from earshot.operators.sweep import SEEDS, label_pairs
 from earshot.plans.few_shot import few_shot_eval
 from earshot.plans.generation import generate_hypotheses
+from earshot.session import settle
 
 PAD = 9
 
@@ -108,7 +109,7 @@ def _pairs(spark, sf):
 def runs(spark, sf):
     """UD-3 on every label pair: rows of the pair's two labels, all rows as its content-free inputs."""
     s = scores(spark, sf).withColumnRenamed("truth", "token")
-    pairs = _pairs(spark, sf)
+    pairs = settle(_pairs(spark, sf), "pairs")
     members = pairs.select("*", F.posexplode("label_tokens").alias("truth", "token"))
     samples = s.join(members, "token")
     mean = mean_vector(s.select(V.softmax("scores").alias("v")), "v").withColumnRenamed("class_id", "token")

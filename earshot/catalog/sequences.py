@@ -8,6 +8,7 @@ from earshot.functions.text import render_answer, split_words
 from earshot.operators import sequences as Q
 from earshot.operators.sampling import class_index, draw_examples
 from earshot.operators.sweep import label_pairs
+from earshot.session import settle
 
 EXPS = ["base", "txt", "noexemb", "noexembtxt", "noexembnotxt"]
 PAD = "<pad>"
@@ -73,33 +74,35 @@ def _samples(spark, sf):
         F.concat(F.lit("<"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(">")).alias("audio"),
     )
     langs = class_index(d, "lang", "doc_id")
-    pairs = label_pairs(langs, "lang", "class_id")
+    pairs = settle(label_pairs(langs, "lang", "class_id"), "pairs")
     members = pairs.select("scenarios", F.explode(F.array("label_a", "label_b")).alias("lang"))
     return d.join(members, "lang")
 
 
-def _examples(spark, sf, n_shot, seeds):
-    drawn = draw_examples(_samples(spark, sf), "lang", "doc_id", n_shot, seeds, ["scenarios"])
+def _examples(samples, n_shot, seeds):
+    drawn = draw_examples(samples, "lang", "doc_id", n_shot, seeds, ["scenarios"])
     return drawn.withColumn("answer", render_answer("lang"))
 
 
 def jn2(spark, sf):
     """Two examples per run beside every sample of the run's pair."""
+    samples = _samples(spark, sf)
     blocks = Q.example_blocks(
-        _examples(spark, sf, 2, [0, 1]), ["scenarios", "seed"], ["base"], "audio", "text",
+        _examples(samples, 2, [0, 1]), ["scenarios", "seed"], ["base"], "audio", "text",
         F.lit(PROMPT), "answer",
     )
-    joined = _samples(spark, sf).select("doc_id", "scenarios").join(blocks, "scenarios")
+    joined = samples.select("doc_id", "scenarios").join(settle(blocks, "blocks"), "scenarios")
     return joined.withColumnRenamed("block_audio", "block")
 
 
 def ar6(spark, sf):
+    samples = _samples(spark, sf)
     blocks = Q.example_blocks(
-        _examples(spark, sf, 2, [0, 1]), ["scenarios", "seed"], EXPS, "audio", "text",
+        _examples(samples, 2, [0, 1]), ["scenarios", "seed"], EXPS, "audio", "text",
         F.lit(PROMPT), "answer",
     )
     p = Q.assemble_prompt(
-        _samples(spark, sf), blocks, ["scenarios"], EXPS, "audio", "text", F.lit(PROMPT)
+        samples, blocks, ["scenarios"], EXPS, "audio", "text", F.lit(PROMPT)
     )
     return p.select(
         "doc_id", "scenarios", "seed", "exp", F.length("sequence").alias("n"), F.md5("sequence").alias("sequence_md5")

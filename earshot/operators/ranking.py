@@ -7,7 +7,8 @@ aggregation) and adding up the counts gives every bucket's first rank, so only r
 of one bucket are ever sorted together. The results are the exact ranks.
 
 Buckets must follow the order: every row of a lower bucket precedes every row of a
-higher one.
+higher one. Bucket counts and cuts are small tables that are written before rows are
+joined with them (``session.settle``), so calls here run jobs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.session import settle
+
 # Rows per bucket when the order is a dense line number.
 LINES_PER_BUCKET = 1 << 16
 
@@ -67,12 +70,14 @@ def bucketed_rank(
 ) -> DataFrame:
     """``row_number()`` (1-based, BIGINT) of every row within ``group`` by ``order``."""
     rows = df.withColumn("_bucket", bucket)
-    narrow = rows.select(*group, "_bucket")
-    ranked = join_on(rows, _offsets(narrow, group).drop("_in"), [*group, "_bucket"])
+    offsets = settle(_offsets(rows.select(*group, "_bucket"), group).drop("_in"), "offsets")
     inner = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return ranked.withColumn(
-        out, (F.col("_before") + F.row_number().over(inner)).cast("bigint")
-    ).drop("_bucket", "_before")
+    ranked = rows.withColumn("_place", F.row_number().over(inner))
+    return (
+        join_on(ranked, offsets, [*group, "_bucket"])
+        .withColumn(out, (F.col("_before") + F.col("_place")).cast("bigint"))
+        .drop("_bucket", "_before", "_place")
+    )
 
 
 def _rows_at(
@@ -88,6 +93,7 @@ def _rows_at(
         .withColumn("_place", F.col("_rank") - F.col("_before"))
         .drop("_before", "_in", "_rank")
     )
+    hits = settle(hits, "hits")
     keys = [*group, "_bucket"]
     inside = join_on(narrow, hits.select(*keys), keys, "left_semi")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
@@ -104,7 +110,7 @@ def rows_at_ranks(
     the result has the group's and the order's columns and the carried ones.
     """
     narrow = df.select(*group, *order, bucket.alias("_bucket"))
-    return _rows_at(narrow, _offsets(narrow, group), group, order, wanted)
+    return _rows_at(narrow, settle(_offsets(narrow, group), "offsets"), group, order, wanted)
 
 
 def balanced_cut(
@@ -118,14 +124,16 @@ def balanced_cut(
     """
     group = [*cell, label]
     narrow = df.select(*group, *order, bucket.alias("_bucket"))
-    offsets = _offsets(narrow, group)
+    offsets = settle(_offsets(narrow, group), "offsets")
     sizes = offsets.groupBy(*group).agg(F.sum("_in").alias("_n"))
     chop = sizes.groupBy(*cell).agg(
         F.min("_n").alias("n_chop"), F.count(F.lit(1)).alias("n_classes")
     )
     wanted = attach(sizes.drop("_n"), chop, cell).withColumn("_rank", F.col("n_chop"))
     last = _rows_at(narrow, offsets, group, order, wanted)
-    return last.select(*group, F.struct(*order).alias("last"), "n_chop", "n_classes")
+    return settle(
+        last.select(*group, F.struct(*order).alias("last"), "n_chop", "n_classes"), "cut"
+    )
 
 
 def keep_head(df: DataFrame, cut: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from earshot.operators.ranking import (
     line_bucket,
     rows_at_ranks,
 )
+from earshot.session import settle
 
 
 def seeded_order(df: DataFrame, seed, id_col: str, out: str = "order_key") -> DataFrame:
@@ -99,7 +100,7 @@ def balanced_pool(df: DataFrame, label: str, line_no: str, split: list[str] = []
     cut = balanced_cut(df, label, [line_no], bucket, split)
     head = keep_head(df, cut, group, [line_no])
     ranked = bucketed_rank(head, group, [line_no], bucket, "_rn")
-    classes = class_index(df, label, line_no, split).select(*group, "class_id")
+    classes = settle(class_index(df, label, line_no, split).select(*group, "class_id"), "classes")
     pos = F.col("class_id") * F.col("n_chop") + F.col("_rn") - 1
     return (
         join_on(ranked, classes, group)
@@ -140,7 +141,7 @@ def draw_examples(
     """
     if n_shot < 1 or n_repeat < 1 or not seeds:
         raise ValueError("nothing to draw: zero-shot runs have no examples")
-    classes = class_index(df, label, line_no, split)
+    classes = settle(class_index(df, label, line_no, split), "classes")
     sizes = classes.groupBy(*split).agg(
         F.min("n").alias("_chop"), F.count(F.lit(1)).alias("_classes")
     )
@@ -162,7 +163,7 @@ def draw_examples(
     wanted = join_on(draws, classes.select(*group, "class_id"), [*split, "class_id"])
     bucket = line_bucket(F.col(line_no))
     found = rows_at_ranks(df, group, [line_no], bucket, wanted.drop("class_id"))
-    return join_on(df, found, [*group, line_no])
+    return join_on(df, settle(found, "draws"), [*group, line_no])
 
 
 def gumbel_topk(

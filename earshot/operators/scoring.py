@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType
 
 from earshot.functions.vectors import argmax
+from earshot.session import settle
 
 # Vocabulary of the frozen language model and its shared special id.
 VOCAB_SIZE = 50257
@@ -58,7 +59,9 @@ def map_label_tokens(df: DataFrame, classes: DataFrame, token: str, out: str = "
 
     ``classes`` holds (token_id, class_id), one row per label, at most the vocabulary.
     """
-    table = classes.select(F.col("token_id").alias("_token"), F.col("class_id").alias(out))
+    table = settle(
+        classes.select(F.col("token_id").alias("_token"), F.col("class_id").alias(out)), "classes"
+    )
     return df.join(table, df[token] == F.col("_token"), "left").drop("_token")
 
 

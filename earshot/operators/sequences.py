@@ -11,6 +11,7 @@ from earshot.functions.sequences import ones_mask
 from earshot.functions.text import split_words
 from earshot.operators.ranking import LINES_PER_BUCKET, bucketed_rank, join_on, key_bucket
 from earshot.operators.scoring import SPECIAL_ID, VOCAB_SIZE
+from earshot.session import settle
 
 # Prompt of training items, and of generation.
 TRAINING_PROMPT = "what did the speaker say? "
@@ -54,10 +55,10 @@ def position_ids_long(df: DataFrame, seq: list[str], pos: str, mask: str, out: s
         inner.rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        join_on(rows, starts, [*seq, "_block"])
-        .withColumn("_run", F.col("_start") + running - 1)
+        join_on(rows.withColumn("_sum", running), settle(starts, "starts"), [*seq, "_block"])
+        .withColumn("_run", F.col("_start") + F.col("_sum") - 1)
         .withColumn(out, F.when(F.col(mask) == 1, F.col("_run")).otherwise(F.lit(1)).cast("bigint"))
-        .drop("_block", "_start", "_run")
+        .drop("_block", "_start", "_sum", "_run")
     )
 
 
@@ -116,7 +117,7 @@ def token_budget_batches(
     )
     keyed = df.withColumns({"_key": order_key(0, id_col), "_size": F.col(size).cast("bigint")})
     ranked = bucketed_rank(keyed, ["_size"], ["_key", id_col], key_bucket(F.col("_key"), 3), "_rn")
-    placed = ranked.join(plan, F.col("_size") == F.col("plan_size"))
+    placed = ranked.join(settle(plan, "batches"), F.col("_size") == F.col("plan_size"))
     later = F.floor((F.col("_rn") - 1 - F.col("room")) / F.col("cap"))
     batch = F.when(F.col("_rn") <= F.col("room"), F.col("open_batch")).otherwise(
         F.col("open_batch") + 1 + later
@@ -201,7 +202,7 @@ def assemble_prompt(
         lead = [] if blocks is None else [F.col(_block_name(exp))]
         return F.concat(*lead, *([F.col(column[kind])] if kind else []), prompt)
 
-    rows = samples if blocks is None else samples.join(blocks, on)
+    rows = samples if blocks is None else samples.join(settle(blocks, "blocks"), on)
     each = F.array(*[F.struct(F.lit(e).alias("exp"), sequence(e).alias(out)) for e in exps])
     return rows.select(
         *[c for c in rows.columns if not c.startswith("block_")], F.explode(each).alias("_s")

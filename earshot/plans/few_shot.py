@@ -13,6 +13,7 @@ from earshot.functions.keys import order_key
 from earshot.functions.vectors import label_probs
 from earshot.operators.calibration import correctness
 from earshot.operators.ranking import attach, balanced_cut, keep_head, key_bucket
+from earshot.session import settle
 
 
 def predictions(
@@ -43,7 +44,7 @@ def evaluate(
     cut = balanced_cut(
         keys, "truth", order, key_bucket(F.col("order_key"), digits), [*cell, "seed"]
     )
-    judged = attach(preds, prior, cell).select(
+    judged = attach(preds, settle(prior, "prior"), cell).select(
         *cell,
         "id",
         "truth",

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -19,6 +19,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/earshot/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, name: str = "part") -> DataFrame:
+    """A small derived table, written to the shared folder and read back.
+
+    For tables that rows are about to be joined with: bounds, offsets, priors, examples.
+    Derived sides have no size Spark could plan with, so it would shuffle the big side
+    before learning that the small one fits a broadcast. The written table has its exact
+    size: Catalyst broadcasts it when it is below ``spark.sql.autoBroadcastJoinThreshold``
+    and joins by key otherwise. It also cuts the lineage, and is not computed again when
+    an executor is lost. This runs the job that makes the table.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "earshot", cores: str | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import strip
 from earshot.operators.ranking import join_on
+from earshot.session import settle
 
 
 def _split_name(path):
@@ -66,7 +67,7 @@ def numbered_lines(spark: SparkSession, path, header: bool) -> DataFrame:
         .over(Window.partitionBy("split", "_file"))
         .alias("_root"),
     )
-    rows = join_on(lines, numbered, ["_file", "_start"])
+    rows = join_on(lines, settle(numbered, "blocks"), ["_file", "_start"])
     at = F.col("_id") - F.col("_first") - F.col("_head")
     return rows.select(
         "split",
