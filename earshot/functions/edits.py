@@ -4,7 +4,8 @@ Short character pairs use the JVM's ``levenshtein``. Its cost is the product of
 lengths, so a pair of 30,000-character texts takes many seconds; longer pairs go
 through an Arrow function that holds a whole column of the dynamic program in the
 bits of one integer, the same distance in about as many steps as the shorter text
-has characters. Rows that stay in the JVM pass NULL to the Arrow function.
+has characters, over a band no wider than the distance asks for. Rows that stay in the
+JVM pass NULL to the Arrow function.
 
 Word distances always take the Arrow function: measured on 11-word utterances it is
 more than twice as fast as coding words as characters with higher-order functions,
@@ -27,11 +28,46 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def bit_edits(a, b) -> int:
-    """Levenshtein distance of two sequences, unit costs (Myers 1999, Hyyro 2003).
+def _band_edits(b, m: int, near, reach: int, chunk: int) -> int:
+    """Distance of b to a sequence of m >= len(b) symbols over the cells near the diagonal.
 
-    The longer sequence lies in the bits, the shorter one is walked. ``up``/``down``
-    mark the cells that are one more/less than the cell above them.
+    Exact when an optimal path strays at most ``reach`` from the band between the two
+    corner diagonals, else an upper bound. A column lies in the bits of two integers:
+    ``up``/``down`` mark the cells that are one more/less than the cell above them
+    (Myers 1999, Hyyro 2003). Cells above or below the band count as a plain insertion
+    or deletion, which never underestimates. ``near(x, lo, full)`` has a bit for every
+    place of x among the rows of the band.
+    """
+    lo = hi = top = up = down = full = 0
+    for start in range(0, len(b), chunk):
+        new_lo = max(0, start - reach)
+        new_hi = min(m, start + chunk + m - len(b) + reach)
+        gone = (1 << (new_lo - lo)) - 1
+        top += (up & gone).bit_count() - (down & gone).bit_count()
+        up = (up >> (new_lo - lo)) | (((1 << (new_hi - hi)) - 1) << (hi - new_lo))
+        down = (down & full) >> (new_lo - lo)
+        lo, hi, full = new_lo, new_hi, (1 << (new_hi - new_lo)) - 1
+        masks: dict = {}
+        part = b[start : start + chunk]
+        for x in part:
+            eq = masks.get(x)
+            if eq is None:
+                eq = masks[x] = near(x, lo, full)
+            # bits beyond the column may hold carries; they never reach the bits below
+            eq |= down
+            diag = (((eq & up) + up) ^ up) | eq
+            rise = ((down | (full ^ (diag | up))) << 1) | 1
+            up = (((diag & up) << 1) | (full ^ (diag | rise))) & full
+            down = diag & rise
+        top += len(part)
+    return top + up.bit_count() - (down & full).bit_count()
+
+
+def bit_edits(a, b, reach: int = 32, chunk: int = 512) -> int:
+    """Levenshtein distance of two sequences, unit costs, exact for any length.
+
+    Starts with a band around the diagonal and widens it until the distance found proves
+    that no cheaper path leaves the band, so similar texts cost little.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -41,33 +77,36 @@ def bit_edits(a, b) -> int:
     while end > start and a[end + tail - 1] == b[end - 1]:
         end -= 1
     a, b = a[start : end + tail], b[start:end]
-    m = len(a)
-    if not b:
+    m, n = len(a), len(b)
+    if not n:
         return m
-    wanted = set(b)
-    places: dict = {}
+    places: dict = {x: [] for x in b}
     for i, x in enumerate(a):
-        if x in wanted:
-            places.setdefault(x, []).append(i)
-    masks: dict = {}
-    full = (1 << m) - 1
-    up, down = full, 0
-    for x in b:
-        eq = masks.get(x)
-        if eq is None:
-            at = places.get(x, ())
+        if x in places:
+            places[x].append(i)
+    masks = {}
+    for x, at in places.items():
+        if len(at) > 8:
             raw = bytearray(m // 8 + 1)
             for i in at:
                 raw[i >> 3] |= 1 << (i & 7)
-            eq = int.from_bytes(raw, "little")
-            if len(at) > 8 or m < 65536:  # rare symbols of huge texts are rebuilt
-                masks[x] = eq
-        diag = (((eq & up) + up) ^ up) | eq | down
-        rise = ((down | (full ^ ((diag | up) & full))) << 1) | 1
-        fall = (diag & up) << 1
-        up = (fall | (full ^ ((diag | rise) & full))) & full
-        down = diag & rise & full
-    return len(b) + up.bit_count() - down.bit_count()
+            masks[x] = int.from_bytes(raw, "little")
+
+    def near(x, lo, full):
+        if x in masks:
+            return (masks[x] >> lo) & full
+        bits = 0
+        for i in places[x]:
+            if i >= lo:
+                bits |= 1 << (i - lo)
+        return bits & full
+
+    reach = max(reach, n // 32)
+    while True:
+        found = _band_edits(b, m, near, reach, chunk)
+        if found <= m - n + 2 * reach or reach >= n:
+            return found
+        reach = min(n, 4 * reach, (found - (m - n) + 1) // 2)
 
 
 @F.pandas_udf(LongType())

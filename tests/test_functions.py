@@ -85,6 +85,15 @@ def brute(a, b):
 @given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcde"), max_size=40))
 def test_bit_edits(a, b):
     assert E.bit_edits(a, b) == brute(a, b)
+    assert E.bit_edits(a, b, reach=1, chunk=3) == brute(a, b)
+    assert E.bit_edits(a, b, reach=1, chunk=1) == brute(a, b)
+
+
+def test_bit_edits_of_long_texts_that_stray_from_the_diagonal():
+    r = random.Random(5)
+    a = [r.choice("abcdef") for _ in range(700)]
+    for b in (a[300:] + a[:300], a[:100] + a[400:], a[::-1], ["z"] * 650, a[200:] + ["q"] * 90):
+        assert E.bit_edits(a, b) == E.bit_edits(a, b, reach=1, chunk=7) == brute(a, b)
 
 
 def test_edit_columns_on_short_and_long_texts(spark):
