@@ -69,6 +69,12 @@ def sc6(spark, sf):
     return R.masked_nll(t, PAD, "seq", "pos", "target", "lprobs").withColumn("loss", F.round("loss", 6))
 
 
+def sc6_dedicated(spark, sf):
+    t = token_scores(spark, sf).withColumn("lprobs", V.log_softmax("scores"))
+    n = R.masked_nll(t, PAD, "seq", "pos", "target", "lprobs", pad_is_eos=False)
+    return n.withColumn("loss", F.round("loss", 6))
+
+
 def sc7(spark, sf):
     return R.token_accuracy(token_scores(spark, sf), PAD, ["seq"], "target", "scores")
 
@@ -169,6 +175,7 @@ QUERIES = {
     "sc5_calibrate": sc5,
     "sm3_argmax_label": sm3,
     "sc6_masked_nll": sc6,
+    "sc6_masked_nll_dedicated_pad": sc6_dedicated,
     "sc7_token_accuracy": sc7,
     "sc8_shift_scores": sc8,
     "sm4_greedy_decode": sm4,
@@ -228,6 +235,11 @@ ORACLES = {
       SELECT seq, round(sum(CASE WHEN target <> 9 OR pos = first_pad THEN nll END), 6) AS loss,
              count(CASE WHEN target <> 9 THEN 1 END) AS n_real
       FROM f GROUP BY seq""",
+    "sc6_masked_nll_dedicated_pad": f"""
+      WITH {SQL_SOFTMAX}
+      SELECT id // 10 AS seq, round(coalesce(sum(CASE WHEN truth <> 9 THEN -ln(p[truth + 1]) END), 0), 6) AS loss,
+             count(CASE WHEN truth <> 9 THEN 1 END) AS n_real
+      FROM p GROUP BY id // 10""",
     "sc7_token_accuracy": f"""
       SELECT seq, count(CASE WHEN target <> 9 AND {SQL_BEST} = target THEN 1 END) AS n_correct,
              count(CASE WHEN target <> 9 THEN 1 END) AS total

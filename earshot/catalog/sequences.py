@@ -117,6 +117,13 @@ def ar6_zero(spark, sf):
     return p.select("doc_id", "exp", F.md5("sequence").alias("sequence_md5"))
 
 
+def ar6_without(spark, sf):
+    """Samples of each pair that are not among its examples of any seed."""
+    samples = _samples(spark, sf)
+    rest = Q.without_examples(samples, _examples(samples, 4, [0, 1]), ["scenarios", "doc_id"])
+    return rest.select("scenarios", "doc_id", "lang")
+
+
 def ar7(spark, sf):
     t = turns(spark, sf).select(
         "conv_id", "turn", "words",
@@ -170,6 +177,7 @@ QUERIES = {
     "jn2_cross_examples": jn2,
     "ar6_assemble_prompt": ar6,
     "ar6_zero_shot": ar6_zero,
+    "ar6_without_examples": ar6_without,
     "ar7_training_sequence": ar7,
     "ar8_build_vocab": ar8,
     "ar8_encode": ar8_encode,
@@ -180,6 +188,10 @@ QUERIES = {
 SQL_TURNS = f"SELECT conv_id, turn, {sql_words('text')} AS w FROM conversations"
 SQL_DOC_WORDS = f"SELECT doc_id, n_chars, {sql_words('text')} AS w FROM documents"
 
+def _sql_examples(n_shot):
+    return SQL_EXAMPLES.replace("range(2) b(i)", f"range({n_shot}) b(i)")
+
+
 SQL_EXAMPLES = f"""
   langs AS (SELECT lang, row_number() OVER (ORDER BY min(doc_id)) - 1 AS pos FROM documents GROUP BY lang),
   pairs AS (SELECT a.lang || '_' || b.lang AS scenarios, a.lang AS a, b.lang AS b FROM langs a JOIN langs b ON a.pos < b.pos),
@@ -245,6 +257,10 @@ ORACLES = {
       WITH x AS (SELECT doc_id, text, '<' || source || '>' AS audio FROM documents)
       SELECT doc_id, exp, md5(CASE WHEN exp IN ('txt', 'noexembtxt') THEN text ELSE audio END || '{PROMPT}') AS sequence_md5
       FROM x, (VALUES ('base'), ('txt'), ('noexemb'), ('noexembtxt'), ('noexembnotxt')) v(exp)""",
+    "ar6_without_examples": f"""
+      WITH {_sql_examples(4)},
+      used AS (SELECT DISTINCT scenarios, doc_id FROM draws JOIN pool USING (scenarios, pool_pos))
+      SELECT scenarios, doc_id, lang FROM samples ANTI JOIN used USING (scenarios, doc_id)""",
     "ar7_training_sequence": f"""
       SELECT conv_id, turn,
              md5(array_to_string(list_concat(list_concat(list_transform(w, lambda x: CAST(length(x) AS VARCHAR)),

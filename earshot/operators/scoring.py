@@ -85,11 +85,20 @@ def content_free_grid(
     )
 
 
-def masked_nll(df: DataFrame, pad: int, seq: str, pos: str, target: str, lprobs: str) -> DataFrame:
+def masked_nll(
+    df: DataFrame,
+    pad: int,
+    seq: str,
+    pos: str,
+    target: str,
+    lprobs: str,
+    pad_is_eos: bool = True,
+) -> DataFrame:
     """SC-6: summed loss per sequence over real tokens plus the first pad (the eos).
 
-    Without a pad all positions count. One pass with partial sums; no window and no
-    second join, so a very long sequence is no hot spot.
+    With a dedicated pad id (``pad_is_eos=False``) only real tokens count. Without a pad
+    all positions count. One pass with partial sums; no window and no second join, so a
+    very long sequence is no hot spot.
     """
     nll = -F.get(F.col(lprobs), F.col(target)).cast("double")
     is_pad = F.col(target) == pad
@@ -106,7 +115,11 @@ def masked_nll(df: DataFrame, pad: int, seq: str, pos: str, target: str, lprobs:
             ).alias("_eos"),
             F.count(F.when(~F.col("_pad"), 1)).alias("n_real"),
         )
-        .select(seq, (F.col("_real") + F.col("_eos")).alias("loss"), "n_real")
+        .select(
+            seq,
+            (F.col("_real") + (F.col("_eos") if pad_is_eos else F.lit(0.0))).alias("loss"),
+            "n_real",
+        )
     )
 
 

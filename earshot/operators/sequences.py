@@ -209,6 +209,15 @@ def assemble_prompt(
     ).select("*", "_s.*").drop("_s")
 
 
+def without_examples(rows: DataFrame, examples: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a run that do not serve as its own examples.
+
+    The original evaluates on its examples too, so this is an extra step, not the
+    default. ``keys`` are the run's key and the line number.
+    """
+    return rows.join(settle(examples.select(*keys).distinct(), "used"), keys, "left_anti")
+
+
 def training_sequence(
     df: DataFrame, audio: str, audio_mask: str, prompt: Column, tokens: str
 ) -> DataFrame:

@@ -29,6 +29,10 @@ def numbered_lines(spark: SparkSession, path, header: bool) -> DataFrame:
 
     With ``header`` the first line of every file is its root and is not numbered. Part
     files of one written split (``part=N`` directories) continue each other's numbers.
+
+    How Spark cuts files into splits may change between two jobs (it depends on the
+    cores at hand), so the lines are written once with their places and both counting
+    and numbering read that table. Manifests name audio; they are small beside it.
     """
     place = F.col("_metadata.file_path")
     lines = spark.read.text(path).select(
@@ -37,6 +41,7 @@ def numbered_lines(spark: SparkSession, path, header: bool) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("line"),
     )
+    lines = settle(lines, "lines")
     part = F.regexp_extract("_file", r"/part=(\d+)/", 1)
     head = 1 if header else 0
     blocks = (

@@ -51,13 +51,19 @@ def write_manifest_pair(
     save(tsv.unionByName(heads), f"{out}/tsv")
 
 
-def write_runs(runs: DataFrame, path: str, cell: list[str] = CELL) -> None:
+def write_runs(
+    runs: DataFrame, path: str, cell: list[str] = CELL, files_per_cell: int = 1
+) -> None:
     """SNK-2: runs as Parquet, one directory per grid cell; only the cells written are replaced.
 
-    A cell recorded as empty (NULL accuracies) counts as done.
+    A cell recorded as empty (NULL accuracies) counts as done. The same layout takes the
+    predictions of a run; give those several files per cell, so that a cell with very
+    many rows is written by several tasks.
     """
+    rest = [c for c in runs.columns if c not in cell]
+    salt = F.pmod(F.xxhash64(*rest), F.lit(files_per_cell))
     (
-        runs.repartition(*cell)
+        runs.repartition(*cell, *([salt] if files_per_cell > 1 else []))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*cell)

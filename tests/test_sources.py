@@ -96,6 +96,23 @@ def test_runs_replace_only_their_cells(spark, tmp_path):
     assert got == {("1_2", 0, 0): (0.7, 30), ("1_2", 2, 1): (None, None)}
 
 
+def test_predictions_of_one_cell_take_several_files(spark, tmp_path):
+    cell = ("1_2", "m", 0, "base", 0)
+    df = spark.createDataFrame(
+        [(*cell, i, i % 2, [0.5, 0.5]) for i in range(200)],
+        "scenarios string, model_tag string, n_shot int, exp string, seed int, id bigint, truth int, probs array<double>",
+    )
+    out = tmp_path / "preds"
+    write_runs(df.repartition(3), str(out), files_per_cell=4)
+    assert read_runs(spark, str(out)).count() == 200
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_runs(df, str(out), files_per_cell=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert read_runs(spark, str(out)).count() == 200 and len(list(out.rglob("*.parquet"))) > 1
+
+
 def test_report_csv(spark, tmp_path):
     df = spark.createDataFrame([(2, None), (0, "60.00% (50.00) (Nr:20.0)")], "n_shot int, m1 string")
     report_csv(df, str(tmp_path / "r"))
