@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import packing, token_files
+from earshot.llm import jaccard, packing, token_files
 from earshot.llm.common import table, tokenizer_path
 
 
@@ -14,10 +14,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_jaccard(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_jaccard_join, op4_best_fit_packing)}
 ORACLES: dict[str, str] = {}
