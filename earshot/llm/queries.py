@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import decontaminate, jaccard, langid, packing, pii, token_files
+from earshot.llm import decontaminate, jaccard, langid, outliers, packing, pii, token_files, toxicity, warc
 from earshot.llm.common import remainder, table, tokenizer_path
 
 
@@ -27,6 +27,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return outliers.quality(docs).drop("lang", "source")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -35,10 +47,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, segments = warc.store(table(spark, sf_dir, "pages"))
+    stored = warc.payloads(segments).select(F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"))
+    return (
+        warc.fields(headers).join(stored, "digest")
+        .select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    )
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymize(docs, key="corpus")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op7_language_id, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id, op9_warc_archive, op10_pii_surrogates)}
 ORACLES: dict[str, str] = {}
