@@ -114,7 +114,31 @@ def train(texts: DataFrame, labels: DataFrame, prior: float | None = None, posit
         x[i, at[words[at] == b]] = 1
     in_u = draws_u(found, seed, share_u)
     weights, bias = nnpu(x[is_p], x[in_u] if in_u.any() else x, prior, seed=seed)
-    return ToxicityModel(words, weights, bias)
+    a, b = calibrated(x[is_p] @ weights + bias, x[in_u] @ weights + bias if in_u.any() else x @ weights + bias, prior)
+    return ToxicityModel(words, a * weights, a * bias + b)
+
+
+def calibrated(positive, unlabelled, prior: float, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset that turn logits into probabilities, from the same risk.
+
+    The non-negative estimate keeps logits small. With two numbers to learn the plain estimate cannot
+    overfit, and for the logistic loss it is convex: ``mean(softplus(u)) - prior * mean(p)``.
+    """
+    theta, h0 = np.array([1.0, 0.0]), np.diag([1e-4, 1e-4])
+    fp = np.array([positive.mean(), 1.0])
+    fu = np.column_stack([unlabelled, np.ones(len(unlabelled))])
+    risk = lambda t: np.logaddexp(0, fu @ t).mean() - prior * (fp @ t) + t @ h0 @ t / 2
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(fu @ theta, -40, 40)))
+        g = (fu * s[:, None]).mean(axis=0) - prior * fp + h0 @ theta
+        step = np.linalg.solve((fu * (s * (1 - s))[:, None]).T @ fu / len(fu) + h0, g)
+        size = 1.0
+        while size > 1e-4 and risk(theta - size * step) > risk(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
 
 
 def associated(positive: list, unlabelled: list):
