@@ -9,14 +9,15 @@ from earshot.llm.common import kept
 # Words are tokenised on their own where white space cannot matter: printable characters up to
 # U+024F have no compositions, and tab, line feed, carriage return and blank are plain separators.
 _plain = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-_CACHE = 400_000
+_CACHE = 250_000
+_ONCE = 1_000_000
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space, so the ids of a plain text are those of its words in a row;
-    ids of a word are looked up, and asked of the library once. Other texts, and those that might
+    ids of a word are looked up, and asked of the library where they are not known. Other texts, and those that might
     hold special tokens, go to the library whole. The cache is emptied when it is full, so its
     memory is bounded.
     """
@@ -31,12 +32,18 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.once: set[int] = set()
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.tokenize = self.tokenizer.model.tokenize
+        # byte-level models write bytes as characters: printable ones as themselves, the others from 256 on
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letter = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
         self.special = tuple(t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values())
         probe = ["Ab thing, was. it's x", "a\tb\n c", "über straße: no!"]
         self.by_word = all(self._whole(t) == b"".join(self._whole(w) for w in t.split()) for t in probe)
         # a word of letters is one unit of the model
         self.letters = self.by_word and all(
-            self._model(w) == self._whole(w) for w in ("Thing", "zxqvw", "AND", "onerntat")
+            self._model(w) == self._whole(w) for w in ("Thing", "zxqvw", "AND", "onerntat", "über", "Élève", "STRAẞE", "ñandúřž")
         ) and all(self._model("thing") + self._whole(p) == self._whole("thing" + p) for p in ",.")
         self.marks = {p: self._whole(p) for p in ",."}
 
@@ -46,25 +53,28 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _model(self, word: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word.lower())])
-
-    def _learn(self, words: set[str]) -> None:
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letter)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenize(word)])
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the cache. Those met a second time go there: most words never are."""
         import numpy as np
 
-        cache, rest = self.cache, []
-        if len(cache) + len(words) > _CACHE:
-            cache.clear()
+        cache, rest, new = self.cache, [], {}
         for w in words:
-            if self.letters and w.isascii():
+            if self.letters and "\u0130" not in w:
                 if w.isalpha():
-                    cache[w] = self._model(w)
+                    new[w] = self._model(w)
                     continue
                 stem = w[:-1]
                 if w[-1] in self.marks and stem.isalpha():
-                    ids = cache.get(stem)
+                    ids = new.get(stem) or cache.get(stem)
                     if ids is None:
                         ids = self._model(stem)
-                    cache[w] = ids + self.marks[w[-1]]
+                    new[w] = ids + self.marks[w[-1]]
                     continue
             rest.append(w)
         for lo in range(0, len(rest), 2000):
@@ -73,29 +83,41 @@ class Encoder:
             ids = np.asarray(found.ids, dtype="<u4")
             ends = np.cumsum([len(w) + 1 for w in some])
             cut = np.searchsorted(np.asarray([o[0] for o in found.offsets]), ends[:-1], side="left")
-            for w, part in zip(some, np.split(ids, cut), strict=True):
-                cache[w] = part.tobytes()
+            at, raw = [0, *(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
+            new.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        if len(self.once) > _ONCE:
+            self.once.clear()
+        marks = {w: hash(w) for w in new}
+        again = [w for w, h in marks.items() if h in self.once]
+        if len(cache) + len(again) > _CACHE:
+            cache.clear()
+        cache.update((w, new[w]) for w in again)
+        self.once.update(marks.values())
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        out, missing, parted = [], set(), []
-        cache = self.cache
+        out, waiting = [], []
+        missing: set[str] = set()
+        get = self.cache.get
         for t in texts:
-            plain = self.by_word and bool(t) and _plain.fullmatch(t) and not any(s in t for s in self.special)
-            words = t.split() if plain else None
-            parted.append(words)
-            if words:
-                missing.update(w for w in words if w not in cache)
-        if missing:
-            known = len(cache)
-            self._learn(missing)
-            if len(self.cache) < known:  # emptied: words that were known are asked for again
-                self._learn({w for ws in parted if ws for w in ws if w not in cache})
-        for t, words in zip(texts, parted, strict=True):
-            if words is None:
-                out.append(self._whole(t) if t else b"")
+            if not t:
+                out.append(b"")
+            elif not self.by_word or not _plain.fullmatch(t) or any(s in t for s in self.special):
+                out.append(self._whole(t))
             else:
-                out.append(b"".join([cache[w] for w in words]))
+                words = t.split()
+                parts = list(map(get, words))
+                if None in parts:
+                    missing.update(w for w, p in zip(words, parts, strict=True) if p is None)
+                    waiting.append((len(out), words, parts))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(parts))
+        if missing:
+            new = self._learn(missing)
+            for k, words, parts in waiting:
+                out[k] = b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)])
         return out
 
 
