@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import decontaminate, jaccard, langid, outliers, packing, pii, token_files, toxicity, warc
+from earshot.llm import decontaminate, jaccard, langid, lm, outliers, packing, pii, token_files, toxicity, warc
 from earshot.llm.common import remainder, table, tokenizer_path
 
 
@@ -47,6 +47,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"))
+    return lm.score(docs, tokenizer=tokenizer_path())
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, segments = warc.store(table(spark, sf_dir, "pages"))
     stored = warc.payloads(segments).select(F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"))
@@ -61,5 +66,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, key="corpus")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id, op9_warc_archive, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_warc_archive, op10_pii_surrogates)}
 ORACLES: dict[str, str] = {}
