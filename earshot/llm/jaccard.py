@@ -17,7 +17,7 @@ Shingles are compared by 64-bit hash, sets by 128-bit digest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm.common import settle
@@ -26,7 +26,7 @@ from earshot.llm.components import components
 HEAVY = 1 << 18  # shingles whose count is kept for the order; the order decides cost, never results
 BLOCK = 1 << 21  # shingles of a task that are counted together
 LONG_LIST = 64  # longer posting lists become families instead of pairs
-TILE = 48  # sets in a tile, as long as a family has at most 32 tiles
+TILE = 96  # sets in a tile, as long as a family has at most 32 tiles
 TILE_SHINGLES = 1 << 21
 MOST_MATCHES = 4
 SMALL_SIDE = 1_000_000  # rows of ids that may be broadcast
@@ -114,16 +114,19 @@ def _frequent(survey: DataFrame):
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, heavy, counts) -> DataFrame:
-    """Rows token, x, y (the class), need: the prefix of every class a task meets."""
+    """Rows token, x (of the class), need, known: the prefix of every class a task meets.
+
+    ``known`` tokens are among the frequent ones, so others have them too.
+    """
 
     def prefix(batches):
         import numpy as np
         import pyarrow as pa
 
-        kinds = pa.schema([("token", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("need", pa.int32())])
+        kinds = pa.schema([("token", pa.int64()), ("x", pa.int64()), ("need", pa.int32()), ("known", pa.bool_())])
         seen = set()
         for b in batches:
-            tokens, xs, ys, needs, sizes = [], [], [], [], []
+            tokens, xs, known, needs, sizes = [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), k)
                 n = len(s)
@@ -141,51 +144,73 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy, counts) -> DataFrame
                 rare = s[f == 0]
                 if len(rare) >= long:
                     p, need = rare[:plain], 1
+                    often = np.zeros(len(p), dtype=bool)
                 else:
                     order = np.lexsort((s, f))[:long]
                     scan = np.cumsum(f[order])[plain - 1 :]
                     ways = np.arange(1, most + 1)
                     need = int(np.argmin(plain + ways + scan * (1 + n / (8 * ways)))) + 1
                     p = s[order[: plain + need - 1]]
+                    often = f[order[: plain + need - 1]] > 0
                 tokens.append(p)
                 sizes.append(len(p))
                 xs.append(d[0])
-                ys.append(d[1])
+                known.append(often)
                 needs.append(need)
                 if sum(sizes[-64:]) > 1 << 20:
-                    yield _batch(tokens, xs, ys, needs, sizes, kinds)
-                    tokens, xs, ys, needs, sizes = [], [], [], [], []
+                    yield _batch(tokens, xs, known, needs, sizes, kinds)
+                    tokens, xs, known, needs, sizes = [], [], [], [], []
             if tokens:
-                yield _batch(tokens, xs, ys, needs, sizes, kinds)
+                yield _batch(tokens, xs, known, needs, sizes, kinds)
 
-    def _batch(tokens, xs, ys, needs, sizes, kinds):
+    def _batch(tokens, xs, known, needs, sizes, kinds):
         import numpy as np
         import pyarrow as pa
 
         rep = lambda v, t: pa.array(np.repeat(np.array(v, dtype=t), sizes))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), rep(xs, np.int64), rep(ys, np.int64), rep(needs, np.int32)], schema=kinds)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), rep(xs, np.int64), rep(needs, np.int32), pa.array(np.concatenate(known))], schema=kinds)
+
+    return docs.mapInArrow(prefix, "token long, x long, need int, known boolean")
 
-    return docs.mapInArrow(prefix, "token long, x long, y long, need int")
 
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """Sets of members: rows text, x, y and ``info``; the set where the digest is the text's own."""
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
     def sets(batches):
         import pyarrow as pa
 
-        kinds = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("shingles", pa.binary())])
         for b in batches:
-            out, size = [], 0
-            for t in b.column(1):
+            names = b.schema.names
+            at = [names.index(c) for c in ("text", "x", "y")]
+            info = [i for i in range(len(names)) if i not in at]
+            size = 0
+            keep, found = [], []
+            for r, (t, x, y) in enumerate(zip(*(b.column(i) for i in at), strict=True)):
                 s = shingle_set(t.as_py(), k)
-                out.append((*_digest(s), s.tobytes()))
-                size += 8 * len(s)
-                if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                if _digest(s) == (x.as_py(), y.as_py()):
+                    keep.append(r)
+                    found.append(s.tobytes())
+                    size += 8 * len(s)
+                if size > 1 << 23 or r == b.num_rows - 1:
+                    rows = b.take(pa.array(keep, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in info), pa.array(found, pa.binary())], names=[*(names[i] for i in info), "shingles"])
+                    size, keep, found = 0, [], []
+
+    rest = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name not in ("text", "x", "y")]
+    return texts.mapInArrow(sets, ", ".join([*rest, "shingles binary"]))
+
+
+def _digested(texts: DataFrame, k: int) -> DataFrame:
+    """Adds the digest x, y to rows of a text."""
+
+    def digested(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            d = [_digest(shingle_set(t.as_py(), k)) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64())], names=["text", "x", "y"])
 
-    return docs.mapInArrow(sets, "x long, y long, shingles binary")
+    return texts.mapInArrow(digested, "text string, x long, y long")
 
 
 def overlaps(sets: list):
@@ -254,11 +279,14 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         nodes.filter("n > 0").groupBy("x", "y").agg(F.max("n").alias("n"), lone.alias("rep"), F.count("*").alias("copies")), "classes"
     )
     heavy, counts = _frequent(survey)
-    rows = settle(_prefixes(docs, k, percent, heavy, counts), "prefixes")
-    one = F.struct("x", "y")
-    shared = rows.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("token")
-    live = rows.join(shared, "token", "left_semi").groupBy("token", "x", "y").agg(F.max("need").alias("need"))
-    live = settle(live.join(classes, ["x", "y"]).select("token", "rep", "n", "need"), "postings")
+    rows = _prefixes(docs, k, percent, heavy, counts)
+    # frequent tokens are shared for certain and may be hot; of the others, those of one class alone go
+    rows = settle(rows, "prefixes")
+    alike = Window.partitionBy("token")
+    once = rows.filter("not known").withColumn("lo", F.min("x").over(alike)).withColumn("hi", F.max("x").over(alike)).filter("lo <> hi")
+    live = rows.filter("known").select("token", "x", "need").union(once.select("token", "x", "need"))
+    live = live.groupBy("token", "x").agg(F.max("need").alias("need"))
+    live = settle(live.join(classes.select("x", "rep", "n"), "x").select("token", "rep", "n", "need"), "postings")
     lists = settle(live.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("first")), "lists")
     live = live.join(lists, "token")
     short = live.filter(F.col("m") <= LONG_LIST).select("token", "rep", "n", "need")
@@ -274,17 +302,17 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     tiles = F.greatest(F.least(F.lit(32), F.ceil(F.col("m") / TILE)), F.ceil(F.col("s") / TILE_SHINGLES))
     size = settle(size.select("family", tiles.alias("tiles")), "families")
-    wanted = members.select("x", "y", F.col("rep").alias("doc_id"))
-    if wanted.count() <= SMALL_SIDE:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not members.filter(F.col("rep") < -(1 << 61)).isEmpty():
-        texts = texts.union(docs.filter("doc_id is null"))
-    sets = _sets(texts, k).dropDuplicates(["x", "y"])
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    placed = members.join(size, "family").withColumn("tile", tile).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    placed = placed.select("family", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "n", "copies", "x", "y")
-    found = settle(_verified(placed.join(sets, ["x", "y"]).drop("x", "y"), percent), "verified")
+    members = settle(members.join(size, "family").withColumn("tile", tile), "tiled")
+    side = F.broadcast(members) if members.count() <= SMALL_SIDE else members
+    # classes without an id are looked for among the rows without one; rows that share an id are told apart by digest
+    texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep").join(side, "rep")
+    lone = members.filter(F.col("rep") < -(1 << 61))
+    if not lone.isEmpty():
+        texts = texts.unionByName(_digested(docs.filter("doc_id is null").select("text"), k).join(lone, ["x", "y"]))
+    sets = _sets(texts, k).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    placed = sets.select("family", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "n", "copies", "shingles")
+    found = settle(_verified(placed, percent), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # rows that share a doc_id are one node; reps are doc_ids, so classes of one doc_id meet there
     same = nodes.filter("n > 0 and doc_id is not null").join(classes.select("x", "y", "rep"), ["x", "y"])
