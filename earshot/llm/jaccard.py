@@ -7,10 +7,11 @@
    each class takes the m whose estimated cost (postings to read, candidates to verify) is least, and
    a pair must share the smaller m of the two.
 3. Shingles that occur in two prefixes or more make candidates: pairs where the posting list is
-   short, the whole list as one family where it is long. Candidates and long lists that hang together
-   form families, and the sets of a family are verified in tiles: overlaps of two tiles at once, as
-   products of incidence matrices. A tile pair reports each member's number of links and the tile
-   pair's own components, so no group of near copies is ever written out as pairs.
+   short. Long lists that hang together are matched in tiles: the members' prefix tokens, two tiles at
+   once, as products of incidence matrices; a tile pair reports its own components, not its pairs.
+4. Candidates that hang together form families, and the sets of a family are verified in tiles in the
+   same way. A tile pair reports its components and each member's number of links, so no group of near
+   copies is ever written out as pairs.
 
 Shingles are compared by 64-bit hash, sets by 128-bit digest.
 """
@@ -234,6 +235,47 @@ def overlaps(sets: list):
     return out
 
 
+def _roots(link, rep):
+    """Smallest member that each reaches by links."""
+    import numpy as np
+
+    root, last = rep.copy(), None
+    while last is None or (root != last).any():
+        last = root
+        root = np.minimum(last, np.where(link, last[None, :], last[:, None]).min(axis=1))
+    return root
+
+
+def _placed(members: DataFrame, *columns: str) -> DataFrame:
+    """A row for every pair of tiles that a member of ``family, rep, tile, tiles`` takes part in."""
+    each = members.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return each.select("family", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "n", *columns)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Adds tile and tiles to ``family, rep, n``."""
+    size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    tiles = F.greatest(F.least(F.lit(32), F.ceil(F.col("m") / TILE)), F.ceil(F.col("s") / TILE_SHINGLES))
+    size = settle(size.select("family", tiles.alias("tiles")), "families")
+    return settle(members.join(size, "family").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))), "tiled")
+
+
+def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """Edges rep, root of candidates, from ``family, i, j, tile, rep, n, need, tokens`` (shared prefix tokens)."""
+    import numpy as np
+    import pandas as pd
+
+    def match(g: pd.DataFrame) -> pd.DataFrame:
+        rep, n, need = (g[c].to_numpy(np.int64) for c in ("rep", "n", "need"))
+        both = overlaps([np.asarray(t, dtype=np.int64) for t in g["tokens"]])
+        link = (both >= np.minimum(need[:, None], need[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        np.fill_diagonal(link, False)
+        root = _roots(link, rep)
+        return pd.DataFrame({"a": rep, "b": root})[rep != root]
+
+    return placed.groupBy("family", "i", "j").applyInPandas(match, "a long, b long")
+
+
 def _verified(members: DataFrame, percent: int) -> DataFrame:
     """Rows rep, root, links from ``family, i, j, tile, rep, n, copies, shingles``."""
     import numpy as np
@@ -249,11 +291,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
         np.fill_diagonal(link, False)
         if i != j:  # pairs within a tile belong to the tile's own group
             link &= tile[:, None] != tile[None, :]
-        root, last = rep.copy(), None
-        while last is None or (root != last).any():
-            last = root
-            root = np.minimum(last, np.where(link, last[None, :], last[:, None]).min(axis=1))
-        return pd.DataFrame({"rep": rep, "root": root, "links": link @ w})
+        return pd.DataFrame({"rep": rep, "root": _roots(link, rep), "links": link @ w})
 
     return members.groupBy("family", "i", "j").applyInPandas(verify, "rep long, root long, links long")
 
@@ -297,22 +335,18 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .filter("k >= m").select("a", "b")
     )
     stars = live.filter((F.col("m") > LONG_LIST) & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    families = components(pairs.union(stars)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = settle(families.join(classes, "rep").select("family", "rep", "n", "copies", "x", "y"), "members")
-    size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    tiles = F.greatest(F.least(F.lit(32), F.ceil(F.col("m") / TILE)), F.ceil(F.col("s") / TILE_SHINGLES))
-    size = settle(size.select("family", tiles.alias("tiles")), "families")
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    members = settle(members.join(size, "family").withColumn("tile", tile), "tiled")
+    hot = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    own = live.groupBy("rep").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.collect_list("token").alias("tokens"))
+    hot = _candidates(_placed(_dealt(hot.join(own, "rep")), "need", "tokens"), percent)
+    families = components(settle(pairs.union(hot), "candidates")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    members = _dealt(families.join(classes, "rep").select("family", "rep", "n", "copies", "x", "y"))
     side = F.broadcast(members) if members.count() <= SMALL_SIDE else members
     # classes without an id are looked for among the rows without one; rows that share an id are told apart by digest
     texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep").join(side, "rep")
     lone = members.filter(F.col("rep") < -(1 << 61))
     if not lone.isEmpty():
         texts = texts.unionByName(_digested(docs.filter("doc_id is null").select("text"), k).join(lone, ["x", "y"]))
-    sets = _sets(texts, k).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    placed = sets.select("family", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "n", "copies", "shingles")
-    found = settle(_verified(placed, percent), "verified")
+    found = settle(_verified(_placed(_sets(texts, k), "copies", "shingles"), percent), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # rows that share a doc_id are one node; reps are doc_ids, so classes of one doc_id meet there
     same = nodes.filter("n > 0 and doc_id is not null").join(classes.select("x", "y", "rep"), ["x", "y"])
