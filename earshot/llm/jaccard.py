@@ -7,11 +7,11 @@
    each class takes the m whose estimated cost (postings to read, candidates to verify) is least, and
    a pair must share the smaller m of the two.
 3. Shingles that occur in two prefixes or more make candidates: pairs where the posting list is
-   short. Long lists that hang together are matched in tiles: the members' prefix tokens, two tiles at
-   once, as products of incidence matrices; a tile pair reports its own components, not its pairs.
-4. Candidates that hang together form families, and the sets of a family are verified in tiles in the
-   same way. A tile pair reports its components and each member's number of links, so no group of near
-   copies is ever written out as pairs.
+   short, the whole list where it is long. What hangs together is a family, dealt into tiles. The prefix
+   tokens of two tiles at once, as products of incidence matrices, tell which members have a candidate
+   there; only their sets are sent to that pair of tiles and verified in the same way.
+4. A tile pair reports its components and each member's number of links, so no group of near copies is
+   ever written out as pairs.
 
 Shingles are compared by 64-bit hash, sets by 128-bit digest.
 """
@@ -261,19 +261,22 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def _candidates(placed: DataFrame, percent: int) -> DataFrame:
-    """Edges rep, root of candidates, from ``family, i, j, tile, rep, n, need, tokens`` (shared prefix tokens)."""
+    """Rows rep, i, j: who has a candidate in which pair of tiles, from their shared prefix tokens."""
     import numpy as np
     import pandas as pd
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
-        rep, n, need = (g[c].to_numpy(np.int64) for c in ("rep", "n", "need"))
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        rep, n, need, tile = (g[c].to_numpy(np.int64) for c in ("rep", "n", "need", "tile"))
         both = overlaps([np.asarray(t, dtype=np.int64) for t in g["tokens"]])
         link = (both >= np.minimum(need[:, None], need[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
         np.fill_diagonal(link, False)
-        root = _roots(link, rep)
-        return pd.DataFrame({"a": rep, "b": root})[rep != root]
+        if i != j:
+            link &= tile[:, None] != tile[None, :]
+        some = rep[link.any(axis=1)]
+        return pd.DataFrame({"rep": some, "i": np.full(len(some), i), "j": np.full(len(some), j)})
 
-    return placed.groupBy("family", "i", "j").applyInPandas(match, "a long, b long")
+    return placed.groupBy("family", "i", "j").applyInPandas(match, "rep long, i long, j long")
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
@@ -335,18 +338,19 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .filter("k >= m").select("a", "b")
     )
     stars = live.filter((F.col("m") > LONG_LIST) & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    hot = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    families = components(settle(pairs.union(stars), "candidates")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     own = live.groupBy("rep").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.collect_list("token").alias("tokens"))
-    hot = _candidates(_placed(_dealt(hot.join(own, "rep")), "need", "tokens"), percent)
-    families = components(settle(pairs.union(hot), "candidates")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    members = _dealt(families.join(classes, "rep").select("family", "rep", "n", "copies", "x", "y"))
+    dealt = _dealt(families.join(own, "rep"))
+    met = _candidates(_placed(dealt, "need", "tokens"), percent).groupBy("rep").agg(F.collect_list(F.struct("i", "j")).alias("met"))
+    members = settle(dealt.select("rep", "family", "tile").join(met, "rep").join(classes, "rep"), "members")
     side = F.broadcast(members) if members.count() <= SMALL_SIDE else members
     # classes without an id are looked for among the rows without one; rows that share an id are told apart by digest
     texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep").join(side, "rep")
     lone = members.filter(F.col("rep") < -(1 << 61))
     if not lone.isEmpty():
         texts = texts.unionByName(_digested(docs.filter("doc_id is null").select("text"), k).join(lone, ["x", "y"]))
-    found = settle(_verified(_placed(_sets(texts, k), "copies", "shingles"), percent), "verified")
+    sent = _sets(texts, k).withColumn("met", F.explode("met")).select("family", "met.i", "met.j", "tile", "rep", "n", "copies", "shingles")
+    found = settle(_verified(sent, percent), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # rows that share a doc_id are one node; reps are doc_ids, so classes of one doc_id meet there
     same = nodes.filter("n > 0 and doc_id is not null").join(classes.select("x", "y", "rep"), ["x", "y"])
