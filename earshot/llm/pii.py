@@ -149,7 +149,8 @@ def _name(kind: Column, mention: Column, h: Column, nonce: Column) -> Column:
         syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         male, female, neither = ENDINGS[script]
         stem = F.array_join(F.transform(F.sequence(F.lit(0), nonce + 3), syllable(syllables)), "")
-        end = F.when(kind == "given male", male).when(kind == "given female", female).otherwise(neither)
+        own = F.when(mention.rlike("[ая]$"), female).otherwise(male) if script == "cyrillic" else F.lit(neither)  # surnames tell it too
+        end = F.when(kind == "given male", male).when(kind == "given female", female).when(kind == "surname", own).otherwise(neither)
         out = F.when(mention.rlike(SCRIPTS[script]), F.initcap(F.concat(stem, end))).otherwise(out)
     return F.coalesce(out, mention)
 
