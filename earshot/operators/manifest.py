@@ -17,7 +17,8 @@ def skip_reason(
         keep = F.coalesce(F.col(label).isin(labels), F.lit(False))
         reason = F.when(~keep, F.lit("label"))
     if min_size is not None:
-        reason = F.when(F.col(n_frames) < min_size, F.lit("size")).otherwise(reason)
+        long_enough = F.coalesce(F.col(n_frames) >= min_size, F.lit(False))
+        reason = F.when(~long_enough, F.lit("size")).otherwise(reason)
     return reason
 
 
@@ -129,8 +130,8 @@ def attach_labels(
     """JN-1: label line i beside manifest line i.
 
     A line on one side only fails the job and names the line (``"error"``), or is left
-    out (``"inner"``). Filter both sides the same way first: after ``filter_manifest``
-    pass ``labels.join(manifest, keys, "left_semi")`` for the label lines that remain.
+    out (``"inner"``). Take from the labels only the lines whose manifest line was skipped
+    (``labels.join(skipped, keys, "left_anti")``), so that a surplus label line still fails.
     """
     if on_mismatch == "inner":
         return manifest.join(labels, keys)

@@ -83,7 +83,11 @@ def batch_token_stats(
 def best_run(
     runs: DataFrame, by: list[str], metric: str = "loss", tie: str = "update"
 ) -> DataFrame:
-    """AG-11: the row with the lowest metric per model, the earlier update on ties."""
+    """AG-11: the row with the lowest metric per model, the earlier update on ties.
+
+    A run without a metric, NULL or NaN, is never the best; a model with none else has no row.
+    """
     rest = [c for c in runs.columns if c not in by]
     best = F.min_by(F.struct(*rest), F.struct(F.col(metric), F.col(tie)))
-    return runs.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
+    known = runs.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
+    return known.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")

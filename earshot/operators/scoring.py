@@ -73,7 +73,7 @@ def content_free_grid(
     The few labels arrive as one ordered array (a scalar subquery), so each input row
     fans out in place and nothing is shuffled.
     """
-    few = labels.limit(VOCAB_SIZE + 1).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    few = labels.select(label).distinct().agg(F.array_sort(F.collect_set(label)).alias("labels"))
     checked = few.select(
         F.when(F.size("labels") <= VOCAB_SIZE, F.col("labels")).otherwise(
             F.raise_error(F.lit("more labels than the vocabulary has tokens"))
@@ -85,6 +85,11 @@ def content_free_grid(
     )
 
 
+def found_type(df: DataFrame, scores: str) -> str:
+    """Element type of a score column."""
+    return df.schema[scores].dataType.elementType.simpleString()
+
+
 def masked_nll(
     df: DataFrame,
     pad: int,
@@ -97,10 +102,13 @@ def masked_nll(
     """SC-6: summed loss per sequence over real tokens plus the first pad (the eos).
 
     With a dedicated pad id (``pad_is_eos=False``) only real tokens count. Without a pad
-    all positions count. One pass with partial sums; no window and no second join, so a
+    all positions count. A target outside the scores fails. One pass with partial sums; no window and no second join, so a
     very long sequence is no hot spot.
     """
-    nll = -F.get(F.col(lprobs), F.col(target)).cast("double")
+    found = F.get(F.col(lprobs), F.col(target))
+    outside = (F.col(target) < 0) | (F.col(target) >= F.size(lprobs))
+    fail = F.raise_error(F.concat(F.lit("target outside the scores: "), F.col(target).cast("string")))
+    nll = -F.when(outside, fail.cast(found_type(df, lprobs))).otherwise(found).cast("double")
     is_pad = F.col(target) == pad
     return (
         df.select(seq, F.col(pos).alias("_pos"), nll.alias("_nll"), is_pad.alias("_pad"))

@@ -21,8 +21,8 @@ def label_pairs(labels: DataFrame, label: str = "label", pos: str = "pos") -> Da
     The ordered label list (at most one label per vocabulary token, checked) becomes
     one array and fans out from there, so no table is joined with itself.
     """
-    few = labels.select(F.struct(F.col(pos).alias("pos"), F.col(label).alias("label")).alias("l"))
-    listed = few.limit(VOCAB_SIZE + 1).agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    once = labels.groupBy(F.col(label).alias("label")).agg(F.min(pos).alias("pos"))
+    listed = once.agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("ls"))
     checked = listed.filter(
         F.when(F.size("ls") <= VOCAB_SIZE, F.lit(True)).otherwise(
             F.raise_error(F.lit("more labels than the vocabulary has tokens"))

@@ -73,9 +73,13 @@ def write_runs(
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """SNK-2: stored runs; filters on the cell prune directories."""
-    types = {"n_shot": "int", "seed": "int"}
-    df = spark.read.parquet(path)
-    return df.withColumns({c: F.col(c).cast(types.get(c, "string")) for c in CELL})
+    types = {"n_shot": "integer", "seed": "integer"}
+    cell = {c: types.get(c, "string") for c in CELL}
+    # the cell's types are told, not read off the directory names: model tag 08 stays 08
+    found = spark.read.parquet(path).drop(*CELL).schema
+    for c, t in cell.items():
+        found = found.add(c, t)
+    return spark.read.schema(found).parquet(path)
 
 
 def report_csv(df: DataFrame, path: str, order: str = "n_shot") -> None:

@@ -434,3 +434,18 @@ def test_reports(spark):
     assert got == {("m1", 0): 2, ("m1", 2): None, ("m2", 0): None, ("m2", 2): None}
     table = {r.n_shot: (r.m1, r.m2) for r in W.report_pivot(means, ["m1", "m2"]).collect()}
     assert table == {0: (f"{60:.2f}% ({48.125:.2f}) (Nr:20.5)", None), 2: (None, None)}
+
+
+def test_rows_that_must_not_be_lost_or_won(spark):
+    labels = spark.createDataFrame([("a", 0), ("b", 1), ("a", 2)], "label string, pos int")
+    assert [r["scenarios"] for r in W.label_pairs(labels).collect()] == ["a_b"]
+    many = spark.range(60_000).select(F.lit("a").alias("label")).union(spark.range(3).select(F.lit("b").alias("label")))
+    inputs = spark.createDataFrame([("x",)], "text string")
+    assert G.content_free_grid(inputs, many, "text", "p").count() == 2
+    runs = spark.createDataFrame([("m", 0, None), ("m", 1, 0.4), ("m", 2, float("nan"))], "model string, update int, loss double")
+    assert tuple(X.best_run(runs, ["model"]).first()) == ("m", 1, 0.4)
+    sizes = spark.createDataFrame([(None,), (5,)], "n_frames long")
+    assert {r["outcome"]: r["n"] for r in M.skip_report(sizes).collect()} == {"size": 1, "loaded": 1}
+    scores = spark.createDataFrame([(0, 0, 7, [0.0, -1.0])], "seq long, pos int, target int, lprobs array<double>")
+    with pytest.raises(Exception, match="outside"):
+        G.masked_nll(scores, -1, "seq", "pos", "target", "lprobs").collect()
