@@ -30,7 +30,10 @@ def _let(value: Column, body) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     """Words inside windows of eight that occur twice or more; windows are compared by 64-bit hash."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+
+    def windows(w: Column) -> Column:
+        # single places are looked up: a slice would copy the whole array for every window
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
 
     def covered(s: Column) -> Column:
         same = lambda k, o: F.coalesce(F.get(s, k + o)["h"] == F.get(s, k)["h"], F.lit(False))
@@ -43,7 +46,7 @@ def _repeat_words(words: Column) -> Column:
         order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(order, covered))
 
-    return F.when(F.size(words) < WINDOW, 0).otherwise(_let(hashes, counted))
+    return F.when(F.size(words) < WINDOW, 0).otherwise(_let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), counted))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
