@@ -27,6 +27,7 @@ SYLLABLES = {
     "greek": "βα βε βι δα δε κα κε λι λο μα μι να νο ρα ρι σο".split(),
 }
 ENDINGS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ς", "να", "ν")}  # male, female, neither
+PLAIN = 4  # draws in an entity's own format; later ones are longer, so that full formats end too
 SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 
 _titles = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
@@ -161,8 +162,21 @@ def _name(kind: Column, mention: Column, h: Column, nonce: Column) -> Column:
         stem = F.array_join(F.transform(F.sequence(F.lit(0), nonce + 3), syllable(syllables)), "")
         own = F.when(mention.rlike("[ая]$"), female).otherwise(male) if script == "cyrillic" else F.lit(neither)  # surnames tell it too
         end = F.when(kind == "given male", male).when(kind == "given female", female).when(kind == "surname", own).otherwise(neither)
-        out = F.when(mention.rlike(SCRIPTS[script]), F.initcap(F.concat(stem, end))).otherwise(out)
-    return F.coalesce(out, mention)
+        drawn = F.initcap(F.concat(stem, end))
+        # names in other scripts get latin ones
+        out = F.when(mention.rlike(SCRIPTS[script]), drawn).otherwise(F.coalesce(out, drawn) if script == "latin" else out)
+    return out
+
+
+def _widened(kind: Column, value: Column, h: Column, nonce: Column) -> Column:
+    """What later draws append: four more characters a draw, digits or letters as the format has them."""
+    drawn = F.substr(h, F.lit(81), F.least(4 * (nonce - PLAIN + 1), F.lit(48)))
+    letters = F.translate(drawn, "0123456789abcdef", LETTERS["latin"])
+    of_kind = (
+        F.when(kind.isin("phone", "ssn", "card"), F.translate(drawn, "abcdef", "012345"))
+        .when(kind.isin("access", "iban"), F.upper(letters)).when(value.rlike("^[0-9a-f]+$"), drawn).otherwise(letters)
+    )
+    return F.when(nonce < PLAIN, "").otherwise(of_kind)
 
 
 def surrogate(key: str, kind: Column, canonical: Column, mention: Column, nonce: Column) -> Column:
@@ -177,36 +191,41 @@ def surrogate(key: str, kind: Column, canonical: Column, mention: Column, nonce:
 
     def secret(value: Column, h: Column) -> Column:
         label = F.substr(mention, F.lit(1), F.length(mention) - F.length(value))
-        return F.concat(label, _filled(value, h, none, value.rlike("^[0-9a-f]+$")))
+        # a value of signs alone has nothing to replace by its kind: letters take its place
+        filled = F.when(value.rlike(r"[\p{L}\p{N}]"), value).otherwise(F.repeat(F.lit("x"), F.length(value)))
+        return F.concat(label, _filled(filled, h, none, value.rlike("^[0-9a-f]+$")), _widened(kind, value, h, nonce))
 
     def drawn(h: Column) -> Column:
         octet = lambda i: (_value(h, F.lit(i)) * 16 + _value(h, F.lit(i + 1))).cast("string")
         address = F.concat_ws(".", (_value(h, F.lit(0)) + 240).cast("string"), octet(1), octet(3), octet(5))
         local = F.substr(mention, F.lit(1), F.instr(mention, "@") - 1)
+        groups = [F.substr(h, F.lit(81 + 4 * i), F.lit(4)) for i in range(6)]
+        address = F.when(nonce < PLAIN, address).otherwise(F.concat_ws(":", F.lit("2001:db8"), *groups))
         host = F.translate(F.substr(h, F.lit(41), F.lit(8)), "0123456789abcdef", LETTERS["latin"])
         kept = (
             F.when(kind == "phone", F.length(F.regexp_extract(mention, r"^(\+\d{1,2}(?!\d)|\+\d)", 1)))
             .when(kind == "access", 4).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
         )
         return (
-            F.when(kind == "email", F.concat(_filled(local, h, none, no), F.lit("@"), host, F.lit(".example.org")))
+            F.when(kind == "email", F.concat(_filled(local, h, none, no), _widened(kind, local, h, nonce), F.lit("@"), host, F.lit(".example.org")))
             .when(kind == "ip", address)
             .when(kind == "secret", _let(F.regexp_replace(mention, f"^{LABEL}", ""), lambda v: secret(v, h)))
             .when((kind == "surname") | kind.startswith("given"), _name(kind, mention, h, nonce))
-            .otherwise(_let(_let(kept, lambda n: _filled(mention, h, n, no)), lambda c: F.when(kind == "card", card(c)).otherwise(c)))
+            .otherwise(_let(_let(kept, lambda n: F.concat(_filled(mention, h, n, no), _widened(kind, mention, h, nonce))), lambda c: F.when(kind == "card", card(c)).otherwise(c)))
         )
 
     return _let(_draw(key, kind, canonical, nonce), drawn)
 
 
-def nonces(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
+def nonces(found: DataFrame, key: str) -> DataFrame:
     """Entities whose first draw is taken: kind, canonical, nonce. Draws again until all are distinct.
 
-    ``found`` has one row per ``kind, canonical`` and a ``mention``.
+    ``found`` has one row per ``kind, canonical`` and a ``mention``. Later draws are longer (see ``PLAIN``),
+    so the rounds end however full a format is.
     """
     now = settle(found.withColumn("nonce", F.lit(0)), "entities")
     real = now.select("kind", F.col("canonical").alias("drawn"))
-    for _ in range(rounds):
+    while True:
         drawn = now.withColumn("drawn", _canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("canonical"), F.col("mention"), F.col("nonce"))))
         drawn = settle(drawn, "draws")
         first = drawn.groupBy("kind", "drawn").agg(F.min("canonical").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -218,7 +237,6 @@ def nonces(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
         now = settle(
             now.join(taken, ["kind", "canonical"], "left").withColumn("nonce", F.col("nonce") + F.coalesce("again", F.lit(0))).drop("again"), "entities"
         )
-    raise ValueError(f"surrogates still collide after {rounds} rounds: too few of one format")
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

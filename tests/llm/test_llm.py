@@ -333,6 +333,22 @@ def test_surrogates_that_collide_are_drawn_again(spark):
     assert got[0] == got[1] != "10.0.0.1"
 
 
+def test_surrogates_of_full_formats_and_values_of_signs(spark):
+    rows = [(1, "password: ********"), (2, "token = ------ and secret: ......"), (3, "Mr \u0531\u0580\u0561\u0574 \u054d\u0561\u0580\u0563\u057d\u0575\u0561\u0576")]
+    rows += [(10 + i, f"password={c}-----") for i, c in enumerate(pii.LETTERS["latin"])]  # every value of that format is real
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch(r"password: [a-p]{8}", got[1]) and re.fullmatch(r"token = [a-p]{6} and secret: [a-p]{6}", got[2])
+    assert re.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+", got[3])
+    full = {got[10 + i] for i in range(16)}
+    assert len(full) == 16 and not full & {t for _, t in rows} and all(re.match(r"password=[a-p]-----", t) for t in full)
+    # later draws of every kind are longer
+    later = [("ip", "10.0.0.1"), ("phone", "555-123-4567"), ("ssn", "123-45-6789"), ("card", "4111111111111111"), ("iban", "DE44500105175407324931"), ("email", "a@b.org")]
+    d = spark.createDataFrame(later, "kind string, mention string").withColumn("canonical", pii._canonical(F.col("kind"), F.col("mention")))
+    at = lambda n: pii.surrogate("k", F.col("kind"), F.col("canonical"), F.col("mention"), F.lit(n))
+    for r in d.select("kind", at(0).alias("a"), at(pii.PLAIN).alias("b")).collect():
+        assert len(r["b"]) >= len(r["a"]) + 4, r
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
