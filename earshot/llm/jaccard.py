@@ -314,11 +314,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = _surveyed(docs, k)
     nodes = survey.filter("doc").select(F.col("id").alias("doc_id"), "n", "x", "y")
-    # a class without any id gets a node below all ids, which is never reported
-    lone = F.when(F.min("doc_id").isNull(), F.lit(-(1 << 62)) - F.abs(F.xxhash64("x", "y") % (1 << 61))).otherwise(F.min("doc_id"))
-    classes = settle(
-        nodes.filter("n > 0").groupBy("x", "y").agg(F.max("n").alias("n"), lone.alias("rep"), F.count("*").alias("copies")), "classes"
-    )
+    # a class is known by a number of its own: its least doc_id may stand on other texts too
+    classes = nodes.filter("n > 0").groupBy("x", "y").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     heavy, counts = _frequent(survey)
     rows = _prefixes(docs, k, percent, heavy, counts)
     # frequent tokens are shared for certain and may be hot; of the others, those of one class alone go
@@ -343,27 +341,32 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     dealt = _dealt(families.join(own, "rep"))
     met = _candidates(_placed(dealt, "need", "tokens"), percent).groupBy("rep").agg(F.collect_list(F.struct("i", "j")).alias("met"))
     members = settle(dealt.select("rep", "family", "tile").join(met, "rep").join(classes, "rep"), "members")
-    side = F.broadcast(members) if members.count() <= SMALL_SIDE else members
-    # classes without an id are looked for among the rows without one; rows that share an id are told apart by digest
-    texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "rep").join(side, "rep")
-    lone = members.filter(F.col("rep") < -(1 << 61))
+    # classes without an id, or with one that other members have too, are found by digest
+    several = settle(members.filter("id is not null").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "several")
+    texts = docs.withColumnRenamed("doc_id", "id")
+    lone = members.filter("id is null").unionByName(members.join(several, "id", "left_semi"))
+    side = members.filter("id is not null").join(several, "id", "left_anti")
+    found = texts.join(F.broadcast(side) if members.count() <= SMALL_SIDE else side, "id")
     if not lone.isEmpty():
-        texts = texts.unionByName(_digested(docs.filter("doc_id is null").select("text"), k).join(lone, ["x", "y"]))
+        apart = texts.filter("id is null").unionByName(texts.join(several, "id", "left_semi")).select("text")
+        found = found.unionByName(_digested(apart, k).join(lone, ["x", "y"]))
+    texts = found.drop("id")
     sent = _sets(texts, k).withColumn("met", F.explode("met")).select("family", "met.i", "met.j", "tile", "rep", "n", "copies", "shingles")
     found = settle(_verified(sent, percent), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    # rows that share a doc_id are one node; reps are doc_ids, so classes of one doc_id meet there
-    same = nodes.filter("n > 0 and doc_id is not null").join(classes.select("x", "y", "rep"), ["x", "y"])
-    same = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).union(same.select("a", "b")))
-    # the least real id of a component, where it has one
-    real = F.min(F.when(F.col("node") > -(1 << 61), F.col("node")))
-    ids = joined.join(joined.groupBy("component").agg(real.alias("component_id")), "component").select(F.col("node").alias("rep"), "component_id")
+    # rows that share a doc_id are one node, so its classes belong together
+    same = nodes.filter("n > 0 and doc_id is not null").join(classes.select("x", "y", "rep"), ["x", "y"]).select("doc_id", "rep")
+    first = settle(same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b"), "same")
+    same = same.join(first, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).union(same))
+    # the least id of a component, where it has one
+    least = joined.join(classes.select(F.col("rep").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    ids = joined.join(least, "component").select(F.col("node").alias("rep"), "component_id")
     known = settle(
         classes.join(linked, "rep", "left").join(ids.withColumn("in_component", F.lit(True)), "rep", "left")
-        .select("x", "y", "copies", "links", "component_id", "in_component", "rep"), "known"
+        .select("x", "y", "copies", "links", "component_id", "in_component", "id"), "known"
     )
-    own = F.when(F.col("in_component"), F.col("component_id")).when(F.col("rep") > -(1 << 61), F.col("rep"))
+    own = F.when(F.col("in_component"), F.col("component_id")).otherwise(F.col("id"))
     return nodes.join(known, ["x", "y"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -139,6 +139,19 @@ def test_jaccard_equals_brute_force(docs, empty, monkeypatch, k, percent, long_l
         assert jaccard.ngram_jaccard(empty, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("long_list", [64, 0])
+def test_jaccard_keeps_texts_apart_that_share_an_id(spark, monkeypatch, long_list):
+    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    rng = random.Random(12)
+    a, b, c, d = (text_of(rng, n, 10**6) for n in (60, 300, 90, 80))
+    rows = [(5, a), (7, a + " tail"), (5, b), (9, b + " tail"), (5, c), (3, c + " tail"), (2, d), (2, d + " tail"), (None, d + " other"), (1, a + " last"), (1, "no kin")]
+    got = jaccard.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 3, 80)
+    sets = [set(zip(*(t.split()[i:] for i in range(3)))) or {t} for _, t in rows]
+    want = [sum(j != i and 100 * len(s & o) >= 80 * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)]
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["n_links"]) for r in got) == sorted((i or -1, len(s), w) for (i, _), s, w in zip(rows, sets, want))
+
+
 def test_tiles_catch_reordered_passages(spark, docs, empty):
     rng = random.Random(3)
     item = text_of(rng, 40, 10**6).split()
