@@ -27,8 +27,9 @@ from earshot.llm.components import components
 HEAVY = 1 << 18  # shingles whose count is kept for the order; the order decides cost, never results
 BLOCK = 1 << 21  # shingles of a task that are counted together
 LONG_LIST = 64  # longer posting lists become families instead of pairs
-TILE = 96  # sets in a tile, as long as a family has at most 32 tiles
+TILE = 96  # sets in a tile, as long as a family has at most 32 tiles; larger tiles are compared in strips
 TILE_SHINGLES = 1 << 21
+CELLS = 1 << 22  # cells of the pair matrix that a task holds at a time
 MOST_MATCHES = 4
 SMALL_SIDE = 1_000_000  # rows of ids that may be broadcast
 
@@ -215,7 +216,10 @@ def _digested(texts: DataFrame, k: int) -> DataFrame:
 
 
 def overlaps(sets: list):
-    """Matrix of intersection sizes of sorted hash arrays."""
+    """Strips of the matrix of intersection sizes of sorted hash arrays: first row, rows of the strip.
+
+    No array has more than about ``CELLS`` cells, however many sets there are.
+    """
     import numpy as np
 
     m = len(sets)
@@ -226,24 +230,37 @@ def overlaps(sets: list):
     who, col = who[keep], shared[inv[keep]]
     order = np.argsort(col, kind="stable")
     who, col = who[order], col[order]
-    out, width = np.zeros((m, m), dtype=np.float64), 4096
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [lo, lo + width])
-        x = np.zeros((m, width), dtype=np.float32)
-        x[who[a:b], col[a:b] - lo] = 1
-        out += x @ x.T
-    return out
-
-
-def _roots(link, rep):
-    """Smallest member that each reaches by links."""
-    import numpy as np
+    width = max(1, min(4096, CELLS // m))
+    for top in range(0, m, max(1, CELLS // m)):
+        end = min(m, top + max(1, CELLS // m))
+        out = np.zeros((end - top, m), dtype=np.float64)
+        # columns that the strip's own sets lack add nothing to it
+        own = np.unique(col[(who >= top) & (who < end)])
+        at = np.minimum(np.searchsorted(own, col), max(0, len(own) - 1))
+        met = own[at] == col if len(own) else np.zeros(len(col), dtype=bool)
+        w, a = who[met], at[met]
+        for lo in range(0, len(own), width):
+            i, j = np.searchsorted(a, [lo, lo + width])
+            x = np.zeros((m, min(width, len(own) - lo)), dtype=np.float32)
+            x[w[i:j], a[i:j] - lo] = 1
+            out += x[top:end] @ x.T
+        yield top, out
+
+
+class _Roots:
+    """Smallest member that each reaches by links, from strips of links."""
+
+    def __init__(self, rep):
+        self.root = rep.copy()
+
+    def add(self, top: int, link) -> None:
+        import numpy as np
 
-    root, last = rep.copy(), None
-    while last is None or (root != last).any():
-        last = root
-        root = np.minimum(last, np.where(link, last[None, :], last[:, None]).min(axis=1))
-    return root
+        for r, row in enumerate(link, top):
+            met = self.root[row]
+            if len(met) and ((met != self.root[r]).any()):
+                names = np.unique(np.append(met, self.root[r]))
+                self.root[np.isin(self.root, names)] = names[0]
 
 
 def _placed(members: DataFrame, *columns: str) -> DataFrame:
@@ -268,12 +285,15 @@ def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     def match(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
         rep, n, need, tile = (g[c].to_numpy(np.int64) for c in ("rep", "n", "need", "tile"))
-        both = overlaps([np.asarray(t, dtype=np.int64) for t in g["tokens"]])
-        link = (both >= np.minimum(need[:, None], need[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-        np.fill_diagonal(link, False)
-        if i != j:
-            link &= tile[:, None] != tile[None, :]
-        some = rep[link.any(axis=1)]
+        some = np.zeros(len(rep), dtype=bool)
+        for top, both in overlaps([np.asarray(t, dtype=np.int64) for t in g["tokens"]]):
+            r = np.arange(top, top + len(both))
+            link = (both >= np.minimum(need[r, None], need)) & (100 * np.minimum(n[r, None], n) >= percent * np.maximum(n[r, None], n))
+            link[r - top, r] = False
+            if i != j:
+                link &= tile[r, None] != tile
+            some[r] = link.any(axis=1)
+        some = rep[some]
         return pd.DataFrame({"rep": some, "i": np.full(len(some), i), "j": np.full(len(some), j)})
 
     return placed.groupBy("family", "i", "j").applyInPandas(match, "rep long, i long, j long")
@@ -289,12 +309,16 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
         rep, tile = g["rep"].to_numpy(np.int64), g["tile"].to_numpy(np.int64)
         n, w = g["n"].to_numpy(np.float64), g["copies"].to_numpy(np.int64)
-        both = overlaps([np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]])
-        link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        np.fill_diagonal(link, False)
-        if i != j:  # pairs within a tile belong to the tile's own group
-            link &= tile[:, None] != tile[None, :]
-        return pd.DataFrame({"rep": rep, "root": _roots(link, rep), "links": link @ w})
+        roots, links = _Roots(rep), np.zeros(len(rep), dtype=np.int64)
+        for top, both in overlaps([np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]]):
+            r = np.arange(top, top + len(both))
+            link = 100 * both >= percent * (n[r, None] + n - both)
+            link[r - top, r] = False
+            if i != j:  # pairs within a tile belong to the tile's own group
+                link &= tile[r, None] != tile
+            roots.add(top, link)
+            links[r] = link @ w
+        return pd.DataFrame({"rep": rep, "root": roots.root, "links": links})
 
     return members.groupBy("family", "i", "j").applyInPandas(verify, "rep long, root long, links long")
 

@@ -152,6 +152,33 @@ def test_jaccard_keeps_texts_apart_that_share_an_id(spark, monkeypatch, long_lis
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["n_links"]) for r in got) == sorted((i or -1, len(s), w) for (i, _), s, w in zip(rows, sets, want))
 
 
+def test_large_tiles_are_compared_in_strips():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, 20)
+    sets = [np.unique(np.append(base[rng.random(20) < 0.9], i)) for i in range(12_000)]
+    tracemalloc.start()
+    strips = jaccard.overlaps(sets)
+    seen = 0
+    for top, both in strips:
+        if seen == 0:
+            assert both[3, 77] == len(np.intersect1d(sets[top + 3], sets[77])) and both[5, 5] == len(np.intersect1d(sets[5], base))
+        seen += len(both)
+        if seen > 1500:  # the rest is alike
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # the matrix alone is 1,152 MB
+    links = np.zeros((7, 7), dtype=bool)
+    for a, b in ((0, 6), (6, 3), (2, 4)):
+        links[a, b] = links[b, a] = True
+    roots = jaccard._Roots(np.array([70, 10, 20, 30, 40, 50, 60]))
+    roots.add(0, links[:4])
+    roots.add(4, links[4:])
+    assert roots.root.tolist() == [30, 10, 20, 30, 20, 50, 30]
+
+
 def test_tiles_catch_reordered_passages(spark, docs, empty):
     rng = random.Random(3)
     item = text_of(rng, 40, 10**6).split()
