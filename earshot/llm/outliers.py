@@ -16,12 +16,15 @@ from earshot.llm.common import SPACE, columns_free, settle
 WINDOW = 8
 GRID = 64  # cells of the distance grid per power of two
 MEDIAN_GRID = 256  # cells per unit for medians
-#: Of each statistic, the spread that groups are given at least: what is constant in a group says nothing of others.
-FLOORS = {"log_words": 1.5, "word_length": 0.5, "symbols": 0.6, "dup_lines": 0.8, "repeats": 0.8}
+#: Spreads to start from; they order the rows of the first step, later ones use what is estimated.
+START = {"log_words": 1.5, "word_length": 0.5, "symbols": 0.6, "dup_lines": 0.8, "repeats": 0.8}
 #: Fixed values for five statistics: nearest share, factor that makes its covariance that of a normal
 #: distribution, and the chi-square value that one normal row in 100,000 passes.
 SHARE, FACTOR, CUTOFF = 0.75, 1.37, 30.86
-NAMES = list(FLOORS)
+#: Least spread of any statistic, a number for all of them: where a group is constant, the cutoff then lies 1.39
+#: away (a fourth of the words, four times as many, or rates above 3 in 100 words where there are none).
+LEAST = 0.25
+NAMES = list(START)
 
 
 def _let(value: Column, body) -> Column:
@@ -103,7 +106,7 @@ def _factor(moments: DataFrame) -> DataFrame:
         for j in range(i + 1):
             v = FACTOR * (F.col(f"q{i}{j}") / n - F.col(f"c{i}") * F.col(f"c{j}"))
             if i == j:
-                v = F.greatest(v, F.lit(0.0)) + FLOORS[NAMES[i]] ** 2
+                v = F.greatest(v, F.lit(LEAST**2))
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
@@ -111,7 +114,7 @@ def _factor(moments: DataFrame) -> DataFrame:
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """Start: medians on a grid, and the floors as spreads."""
+    """Start: medians on a grid, and fixed spreads."""
     cells = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(a) * MEDIAN_GRID).cast("long").alias("v")) for i, a in enumerate(NAMES)])).alias("x"))
     cells = cells.groupBy("g", F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count("*").alias("n"))
     by = Window.partitionBy("g", "i")
@@ -119,7 +122,7 @@ def _medians(rows: DataFrame) -> DataFrame:
     half = cells.filter(2 * F.col("upto") >= F.col("all")).groupBy("g", "i").agg((F.min("v") / MEDIAN_GRID).alias("m"))
     p = len(NAMES)
     centre = half.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"c{i}") for i in range(p)])
-    return centre.withColumns({f"l{i}{j}": F.lit(FLOORS[NAMES[i]] if i == j else 0.0) for i in range(p) for j in range(i + 1)})
+    return centre.withColumns({f"l{i}{j}": F.lit(START[NAMES[i]] if i == j else 0.0) for i in range(p) for j in range(i + 1)})
 
 
 def estimates(rows: DataFrame, steps: int = 5) -> DataFrame:

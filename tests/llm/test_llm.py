@@ -261,6 +261,21 @@ def test_quality_statistics_and_outliers(spark, docs, empty):
     assert outliers.quality(empty.withColumns({"lang": F.lit("a"), "source": F.lit("b")})).count() == 0
 
 
+def test_every_statistic_rejects_where_its_group_is_constant(spark):
+    rng = random.Random(8)
+    words = lambda n, size=3: ["".join(rng.choices("abcdefghij", k=size)) for _ in range(n)]
+    rows = [(i, " ".join(words(60))) for i in range(200)]
+    twice, line = words(8), words(4)
+    rows += [
+        (900, " ".join(words(300))), (901, " ".join(words(60, 5))), (902, " ".join(words(54) + ["#ab"] * 6)),
+        (903, "\n".join(" ".join(x) for x in [words(44), line, line, line, line])), (904, " ".join(twice + words(44) + twice)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r["doc_id"]: r for r in outliers.quality(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert sorted(i for i, r in got.items() if not r["kept"]) == [900, 901, 902, 903, 904]
+
+
 def test_language_model_gradient_and_scores(spark, empty):
     rng = np.random.default_rng(0)
     n = 300
