@@ -3,8 +3,8 @@
 The model reads subword ids. It gives every next id the probability of its class, from one head of
 causal self-attention over a window of ids and the class that tends to follow the last id, times the
 id's share of its class. Counts and shares come from all training texts; the attention's weights are
-trained by tasks side by side on a fixed share of the training texts and averaged, round by round, so
-what is learnt from grows with the corpus. Long texts are scored in overlapping windows that give
+trained by tasks side by side on all training texts and averaged, round by round, so what is learnt from
+grows with the corpus. Long texts are scored in overlapping windows that give
 each id once.
 """
 
@@ -23,7 +23,6 @@ LENGTH, STRIDE = 32, 24  # ids a window reads, and ids that all but a text's fir
 DIM, HIDDEN, CLASSES = 16, 16, 48
 ROWS = 1024  # embeddings: the most frequent ids have their own, the others share by remainder
 LAST = 256  # last ids that have their own table of following classes
-SHARED_BY = 48  # every so-many-th training text trains the attention
 HOT_WORDS = 150_000  # words whose counts every task holds; the others are joined
 END = b""  # no word is empty
 
@@ -90,9 +89,8 @@ class Attention:
 
     def learn(self, stream, batches_of: int = 64, rate: float = 0.05, seed: int = 0) -> None:
         """One pass of Adagrad over windows of a row of ids (start id before every text)."""
-        n = (len(stream) - 1) // LENGTH
-        if n < 1:
-            return
+        n = -(-(len(stream) - 1) // LENGTH)
+        stream = np.append(stream, np.full(n * LENGTH + 1 - len(stream), self.start))  # starts are not predicted
         ids, targets = stream[: n * LENGTH].reshape(n, LENGTH), stream[1 : n * LENGTH + 1].reshape(n, LENGTH)
         order = np.random.default_rng(seed).permutation(n)
         seen = np.full(len(self.weights), 1e-6, dtype=np.float32)
@@ -150,7 +148,7 @@ class Attention:
 
 
 def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One pass over training texts: rows word, n of every word of a task, and rows with the ids of some texts."""
+    """One pass over training texts: rows word, n of every word of a task, and rows with the ids of a text, n its number in its task."""
 
     def count(batches):
         import pyarrow as pa
@@ -163,6 +161,7 @@ def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
             )
 
         words: Counter = Counter()
+        nth = 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for t in texts:
@@ -171,16 +170,15 @@ def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                     yield flush(words)
                     words = Counter()
             words[END] += len(texts)
-            some = [_lower(t) for t, s in zip(texts, b.column(1).to_pylist(), strict=True) if s]
-            if some:
-                ids = encoder(tokenizer).encode(some)
+            for lo, hi in slices(texts):
+                ids = encoder(tokenizer).encode([_lower(t) for t in texts[lo:hi]])
                 no = pa.nulls(len(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([no, pa.array([0] * len(ids), pa.int64()), pa.array(ids, pa.binary())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([no, pa.array(range(nth, nth + len(ids)), pa.int64()), pa.array(ids, pa.binary())], schema=kinds)
+                nth += len(ids)
         if words:
             yield flush(words)
 
-    some = F.pmod(F.xxhash64("text"), SHARED_BY) == 0
-    return settle(docs.select("text", some.alias("some")).mapInArrow(count, "word binary, n long, ids binary"), "corpus-counts")
+    return settle(docs.select("text").mapInArrow(count, "word binary, n long, ids binary"), "corpus-counts")
 
 
 def _id_counts(words: DataFrame, tokenizer: str, end: int, vocabulary: int):
@@ -236,7 +234,7 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
     rows = np.where(place < ROWS - 32, place, ROWS - 32 + place % 32)
     last = np.where(place < LAST - 1, place, LAST - 1)
     frequent = 2048
-    texts = counts.filter("ids is not null").select("ids")
+    texts = counts.filter("ids is not null").select("ids", "n")
     total = texts.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 4
 
     def streamed(blobs):
@@ -270,8 +268,10 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
     prior = (of_class + 1) / (of_class + 1).sum()
     follow = np.log((follow + 20 * prior) / (follow.sum(axis=1, keepdims=True) + 20)).astype(np.float32)
     model = Attention(rows, last, follow, classes, share, start, end)
+    if not total:  # nothing to train on: the counts alone decide
+        model.parts()["o"][:] = 0
     n = max(1, int(total // task_ids))
-    deal = texts.repartition(n, F.xxhash64("ids"))
+    deal = texts.repartition(n, F.xxhash64("ids", "n"))  # with the number, so that copies go to many tasks
     for r in range(rounds if total else 0):
         weights = model.weights
 

@@ -324,6 +324,24 @@ def test_language_model_gradient_and_scores(spark, empty):
     assert lm.score(empty.withColumn("held_out", F.lit(False)), tokenizer=tokenizer_path()).count() == 0
 
 
+def test_language_model_learns_from_every_training_text(spark, empty):
+    rows = [(i, f"text {i} of few") for i in range(6)] + [(9, "a copy")] * 40
+    counts = lm.corpus_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), tokenizer_path())
+    texts = counts.filter("ids is not null")
+    assert texts.count() == len(rows)
+    copies = texts.groupBy("ids").agg(F.count_distinct("n").alias("n")).agg(F.max("n")).first()[0]
+    assert copies >= 20  # numbered apart within a task
+    words = counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
+    weights = lm.train(counts, words, tokenizer_path()).weights
+    nothing = lm.corpus_counts(empty, tokenizer_path())
+    fresh = lm.train(nothing, nothing.select("word", F.col("n").alias("c")), tokenizer_path())
+    assert not fresh.parts()["o"].any() and weights.shape == fresh.weights.shape
+    model = lm.Attention(*[getattr(fresh, k) for k in ("rows", "last", "follow", "classes", "share", "start", "end")])
+    before = model.weights.copy()
+    model.learn(np.array([model.start, 5, 6, model.end]))  # shorter than a window
+    assert (model.weights != before).any()
+
+
 def test_archive_round_trip(spark):
     big = "<p>" + "x" * 200 + "é</p>"
     rows = [(3, "u3", big), (1, "u1", big), (2, None, big), (4, "u4", "s"), (5, "u5", "s"), (6, "u6", None), (7, "u7", ""), (None, "un", big), (8, "a\r\nb", big), (8, "u8", big)]
