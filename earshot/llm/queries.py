@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import decontaminate, jaccard, langid, lm, outliers, packing, pii, token_files, toxicity, warc
+from earshot.llm import bpe, decontaminate, jaccard, langid, lm, outliers, packing, pii, token_files, toxicity, warc
 from earshot.llm.common import remainder, table, tokenizer_path
 
 
@@ -66,5 +66,18 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, key="corpus")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_warc_archive, op10_pii_surrogates)}
+def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.decode_texts(encoded, tokenizer_path()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules,
+        op7_language_id, op8_lm_scoring, op9_warc_archive, op10_pii_surrogates, op11_bpe_encoding,
+    )
+}
 ORACLES: dict[str, str] = {}
