@@ -27,8 +27,8 @@ SEAM = 20  # bits of a token id in a pair's key
 # Characters up to U+024F have no canonical compositions among themselves.
 _plain = re.compile("[\x21-\x7e\xa1-ɏ]*")
 _between = re.compile("[^\t\n\r ]+")
-_WORDS = 300_000
-_PIECES = 200_000
+_WORDS = 150_000
+_PIECES = 450_000
 _PAIRS = 1_000_000
 
 
@@ -52,8 +52,10 @@ class SuffixAutomaton:
                 while size <= self.length[self.link[at]]:
                     at = self.link[at]
                 own.setdefault(at, []).append((size, token))
-        self.own = {state: tuple(sorted(found, reverse=True)) for state, found in own.items()}
-        self.chain: dict[int, tuple[tuple[int, int], ...]] = {-1: ()}
+        #: (length, token) of the tokens that end the strings of each state, longest first
+        self.suffixes: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
+        for state in sorted(range(1, len(self.step)), key=self.length.__getitem__):
+            self.suffixes[state] = tuple(sorted(own.get(state, ()), reverse=True)) + self.suffixes[self.link[state]]
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -85,20 +87,6 @@ class SuffixAutomaton:
             self.link[new] = there if good else self._split(state, symbol, there)
         return new
 
-    def suffixes(self, state: int) -> tuple[tuple[int, int], ...]:
-        """(length, token) of the tokens that end the strings of a state, longest first."""
-        found = self.chain.get(state)
-        if found is None:
-            todo = []
-            while state not in self.chain:
-                todo.append(state)
-                state = self.link[state]
-            found = self.chain[state]
-            for s in reversed(todo):
-                found = self.own.get(s, ()) + found
-                self.chain[s] = found
-        return found
-
 
 class PairTable:
     """Merges of a byte-pair vocabulary: ranks, halves of each token, and which tokens may meet."""
@@ -149,13 +137,11 @@ class PairTable:
             else:
                 return True
 
-    def compatible(self, x: int, y: int) -> bool:
-        key = x << SEAM | y
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= _PAIRS:
-                self.known.clear()
-            found = self.known[key] = self._apart(x, y)
+    def compatible(self, key: int) -> bool:
+        """Whether the two tokens of a pair's key may stand side by side; kept in ``known``."""
+        if len(self.known) >= _PAIRS:
+            self.known.clear()
+        found = self.known[key] = self._apart(key >> SEAM, key & ((1 << SEAM) - 1))
         return found
 
 
@@ -201,7 +187,8 @@ class Bpe:
             raise ValueError(f"decoder {kind} is not supported")
         self.joins_bytes = kind == "ByteLevel"
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.names))]
         parts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.pattern = None
         if len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"]:
@@ -238,21 +225,36 @@ class Bpe:
         n = len(piece)
         last = [0] * (n + 1)
         size = [0] * (n + 1)
-        auto, compatible, inner = self.automaton, self.pair.compatible, self.inner
-        step, link, length, chain, suffixes = auto.step, auto.link, auto.length, auto.chain, auto.suffixes
-        state = held = 0
-        for i in range(1, n + 1):
-            symbol = inner[piece[i - 1]] if i < n else self.final[piece[i - 1]]
-            while symbol not in step[state]:
+        auto = self.automaton
+        step, link, length, suffixes = auto.step, auto.link, auto.length, auto.suffixes
+        known, compatible = self.pair.known.get, self.pair.compatible
+        inner = self.inner
+        symbols = [inner[x] for x in piece]
+        symbols[-1] = self.final[piece[-1]]
+        state = held = i = 0
+        for symbol in symbols:
+            i += 1
+            to = step[state].get(symbol)
+            while to is None:
                 state = link[state]
                 held = length[state]
-            state = step[state][symbol]
+                to = step[state].get(symbol)
+            state = to
             held += 1
-            found = chain.get(state)
-            for m, token in suffixes(state) if found is None else found:
-                if m <= held and (m == i or compatible(last[i - m], token)):
-                    last[i], size[i] = token, m
-                    break
+            for m, token in suffixes[state]:
+                if m < i:
+                    if m > held:
+                        continue
+                    key = last[i - m] << SEAM | token
+                    fits = known(key)
+                    if fits is None:
+                        fits = compatible(key)
+                    if not fits:
+                        continue
+                elif m > held:
+                    continue
+                last[i], size[i] = token, m
+                break
         out, i = [], n
         while i:
             out.append(last[i])
@@ -263,7 +265,8 @@ class Bpe:
     def _piece(self, piece: bytes) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = b"".join([t.to_bytes(4, "little") for t in self.encode_piece(piece)])
+            raw = self.raw
+            found = b"".join([raw[t] for t in self.encode_piece(piece)])
             if len(piece) <= 64:
                 if len(self.pieces) >= _PIECES:
                     self.pieces.clear()
@@ -271,6 +274,11 @@ class Bpe:
         return found
 
     def _word(self, word: str) -> bytes:
+        if _plain.fullmatch(word) and "\u0130" not in word:  # its small form is two characters
+            if word.isalpha():
+                return self._piece(word.lower().encode())
+            if word[-1] in ",." and word[:-1].isalpha():
+                return self._piece(word[:-1].lower().encode()) + self._piece(word[-1].encode())
         cut = self._pattern_pieces if _plain.fullmatch(word) else self._library_pieces
         return b"".join([self._piece(p) for p in cut(word)])
 
