@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/earshot/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "part") -> DataFrame:
+def settle(df: DataFrame, name: str = "part", **options: str) -> DataFrame:
     """A small derived table, written to the shared folder and read back.
 
     For tables that rows are about to be joined with: bounds, offsets, priors, examples.
@@ -27,11 +27,12 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     before learning that the small one fits a broadcast. The written table has its exact
     size: Catalyst broadcasts it when it is below ``spark.sql.autoBroadcastJoinThreshold``
     and joins by key otherwise. It also cuts the lineage, and is not computed again when
-    an executor is lost. This runs the job that makes the table.
+    an executor is lost. This runs the job that makes the table. ``options`` go to the
+    Parquet writer.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
