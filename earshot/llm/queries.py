@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import bpe, decontaminate, jaccard, langid, lm, outliers, packing, pii, token_files, toxicity, warc
-from earshot.llm.common import remainder, table, tokenizer_path
+from earshot.llm import align, bpe, decontaminate, jaccard, langid, lm, outliers, packing, pii, token_files, toxicity, warc
+from earshot.llm.common import remainder, settle, table, tokenizer_path
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +73,19 @@ def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align_spans(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    spans = settle(found.withColumn("groups_sha256", digest).drop("groups"), "spans", compression="zstd")
+    return align.count_links(spans, align.pair_counts(spans)).drop("row")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules,
         op7_language_id, op8_lm_scoring, op9_warc_archive, op10_pii_surrogates, op11_bpe_encoding,
+        op12_token_alignment,
     )
 }
 ORACLES: dict[str, str] = {}
