@@ -37,8 +37,8 @@ from earshot.llm.encoder import slices
 SPLIT = 15  # bits of a B id in a pair's key
 HOT = 1_000_000  # pairs whose counts every task holds: at most 13 MB
 _seam = re.compile(r"(?<=\S)(?= \s*\S)")
-_CHUNKS = 250_000  # chunks met more than once that a task keeps
-_ONCE = 800_000  # marks of chunks met once
+_CHUNKS = 600_000  # chunks met more than once that a task keeps
+_ONCE = 1_500_000  # marks of chunks met once
 BLANK = "▁"  # stands for a blank in pieces
 
 
@@ -280,7 +280,7 @@ def align_spans(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         both = aligner(path_a, path_b)
         for b in batches:
             names, texts = b.column(0), b.column(1).to_pylist()
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts):
                 counts, groups, pairs, times, ends = [], [], [], [], [0]
                 for found in both.align(texts[lo:hi]):
                     listing = ";".join([c.groups for c in found])

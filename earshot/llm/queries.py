@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import align, bpe, decontaminate, jaccard, langid, lm, outliers, packing, pii, token_files, toxicity, warc
+from earshot.llm import align, bpe, decontaminate, jaccard, langid, lm, negatives, outliers, packing, pii, token_files, toxicity, warc
 from earshot.llm.common import remainder, settle, table, tokenizer_path
 
 
@@ -80,12 +80,35 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.count_links(spans, align.pair_counts(spans)).drop("row")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_decontamination, op3_jaccard_join, op4_best_fit_packing, op5_toxicity, op6_quality_rules,
         op7_language_id, op8_lm_scoring, op9_warc_archive, op10_pii_surrogates, op11_bpe_encoding,
-        op12_token_alignment,
+        op12_token_alignment, op13_hard_negatives,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_hard_negatives": """
+      WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+      p AS (SELECT a, c AS p, score AS ps FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5),
+      n AS (SELECT p.a, p.p, p.ps, s.c, s.score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.c) AS rank
+            FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps)
+      SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, c AS negative_id, ps AS positive_score, score AS negative_score
+      FROM n WHERE rank <= 10""",
+}
