@@ -25,7 +25,6 @@ from array import array
 from collections import Counter
 from itertools import chain
 from operator import itemgetter
-from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,13 +70,10 @@ def refined_ends(begin, end, lengths):
     return base[run] + total - before[run]
 
 
-class Chunk(NamedTuple):
-    """What a chunk adds to a text."""
-
-    n_a: int
-    groups: str
-    links: bytes  # keys of its linked pairs, one for each link (32 bits)
-    many: tuple[tuple[int, int], ...]  # (key, links) of groups with very many links
+#: What a chunk adds to a text: tokens of A, group list, keys of its linked pairs (32 bits, one for each
+#: link), and (key, links) of groups with very many links. A plain tuple: the collector passes over it.
+Chunk = tuple[int, str, bytes, tuple[tuple[int, int], ...]]
+N_A, GROUPS, LINKS, MANY = map(itemgetter, range(4))
 
 
 def chunks_of(a, b, cut_a, cut_b, stops) -> list[Chunk]:
@@ -102,7 +98,7 @@ def chunks_of(a, b, cut_a, cut_b, stops) -> list[Chunk]:
                     many += [(u << SPLIT | v, m * w) for u, m in Counter(x).items() for v, w in right]
             i, j = p, q
         g = stop
-        out.append(Chunk(i - first, ";".join(parts), array("i", links).tobytes(), tuple(many)))
+        out.append((i - first, ";".join(parts), array("i", links).tobytes(), tuple(many)))
     return out
 
 
@@ -141,6 +137,9 @@ class Aligner:
         # spans count bytes or characters, as the library has it
         self.in_bytes = max(self._spans("é é")[1]) == 5
         plain = all(BLANK not in p.lstrip(BLANK) for p in pieces)
+        # A mark after a letter is a token of its own for A's pattern, and for B where no piece joins the two.
+        joined = {p[i + 1] for p in pieces for i in range(len(p) - 1) if p[i].isalpha()}
+        self.marks = {m: self._mark(m) for m in ",.;:!?" if m not in joined}
         kind = told.get("pre_tokenizer") or {}
         self.by_chunk = plain and told.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex")
         self.chunks: dict[str, Chunk] = {}
@@ -183,6 +182,11 @@ class Aligner:
             ends_b = np.cumsum(self.length_b[b])
         return a, b, ends_a, ends_b
 
+    def _mark(self, mark: str) -> Chunk:
+        a = self.a.encode("a" + mark, add_special_tokens=False).ids[-1]
+        b = self._spans("a" + mark)[0][-1]
+        return chunks_of([a], [b], [1], [1], [1])[0]
+
     def _whole(self, text: str) -> Chunk | None:
         got = self._tokens(" " + text)
         if got is None:
@@ -192,17 +196,22 @@ class Aligner:
         place = [np.searchsorted(e, cuts, side="right").tolist() for e in (ends_a, ends_b)]
         return chunks_of(a.tolist(), b.tolist(), *place, [len(cuts)])[0]
 
-    def _learn(self, chunks: list[str]) -> dict[str, Chunk | None]:
+    def _learn(self, chunks: set[str]) -> dict[str, Chunk | None]:
         """Chunks not met before, through both tokenizers in one text; alone where that is not possible."""
         new: dict[str, Chunk | None] = {}
-        rows = []
+        rows, marked = set(), []
         for c in chunks:
             if c[-1].isspace() or len(c) > 1 << 16:
                 new[c] = self._whole(c[1:])
+            elif c[-1] in self.marks and c[-2].isalpha():
+                marked.append(c)
+                if c[:-1] not in self.chunks:
+                    rows.add(c[:-1])
             else:
-                rows.append(c)
-        for lo in range(0, len(rows), 4000):
-            some = rows[lo : lo + 4000]
+                rows.add(c)
+        todo = sorted(rows)
+        for lo in range(0, len(todo), 4000):
+            some = todo[lo : lo + 4000]
             got = self._tokens("".join(some))
             if got is not None:
                 a, b, ends_a, ends_b = got
@@ -215,6 +224,9 @@ class Aligner:
                     new.update(zip(some, chunks_of(a.tolist(), b.tolist(), *place, stops), strict=True))
                     continue
             new.update((c, self._whole(c[1:])) for c in some)
+        for c in marked:
+            stem, mark = self.chunks.get(c[:-1]) or new[c[:-1]], self.marks[c[-1]]
+            new[c] = stem and (stem[0] + mark[0], f"{stem[1]};{mark[1]}", stem[2] + mark[2], stem[3])
         if len(self.once) + len(new) > _ONCE:
             self.once.clear()
         marks = {hash(c): c for c, x in new.items() if x is not None and len(c) <= 64}
@@ -236,7 +248,7 @@ class Aligner:
         out = [list(map(self.chunks.get, cs)) for cs in cut]
         missing = {c for cs, found in zip(cut, out, strict=True) if None in found for c, x in zip(cs, found, strict=True) if x is None}
         if missing:
-            new = self._learn(sorted(missing)) if self.by_chunk else {c: self._whole(c[1:]) for c in missing}
+            new = self._learn(missing) if self.by_chunk else {c: self._whole(c[1:]) for c in missing}
             for k, found in enumerate(out):
                 if None in found:
                     found = [new[c] if x is None else x for c, x in zip(cut[k], found, strict=True)]
@@ -250,8 +262,8 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def linked(found: list[Chunk]):
     """Distinct linked pairs of a text's chunks, in order, and how often each is linked."""
-    keys, times = np.unique(np.frombuffer(b"".join([c.links for c in found]), np.int32), return_counts=True)
-    rest = [m for c in found for m in c.many]
+    keys, times = np.unique(np.frombuffer(b"".join(map(LINKS, found)), np.int32), return_counts=True)
+    rest = [m for c in found if c[3] for m in c[3]]
     if rest:
         more, weight = np.array(rest, np.int64).T
         both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
@@ -283,14 +295,14 @@ def align_spans(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for lo, hi in slices(texts):
                 counts, groups, pairs, times, ends = [], [], [], [], [0]
                 for found in both.align(texts[lo:hi]):
-                    listing = ";".join([c.groups for c in found])
+                    listing = ";".join(map(GROUPS, found))
                     groups.append(listing)
                     keys, many = linked(found)
                     pairs.append(keys)
                     times.append(many)
                     ends.append(ends[-1] + len(keys))
                     # a group adds two ids and every comma one more
-                    n_a, n_groups = sum(map(itemgetter(0), found)), listing.count(";") + 1 if found else 0
+                    n_a, n_groups = sum(map(N_A, found)), listing.count(";") + 1 if found else 0
                     counts.append((n_a, listing.count(",") + 2 * n_groups - n_a, n_groups, int(many.sum())))
                 stops = pa.array(ends, pa.int32())
 
