@@ -7,12 +7,13 @@ from earshot.catalog import (
     ranks,
     scores,
     sequences,
+    sweep_plan,
     sweeps,
     texts,
     transcripts,
 )
 
-MODULES = [texts, filters, joins, aggregates, ranks, scores, sequences, sweeps, transcripts]
+MODULES = [texts, filters, joins, aggregates, ranks, scores, sequences, sweeps, sweep_plan, transcripts]
 
 
 def queries() -> dict:

@@ -86,6 +86,25 @@ def jn10(spark, sf):
     return M.keep_collated(docs, table(spark, sf, "labels"), "doc_id")
 
 
+def fl6_cell(spark, sf):
+    """The first 40 events of every user, each user in an order of their own."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return cap_rows(e, "user_id", 40, "event_id", cell=["user_id"])
+
+
+def fl6_cell_hot(spark, sf):
+    """The first 1,200 of every event type: more than a window limit takes, so by counts per bucket."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return cap_rows(e, 5, 1200, "event_id", cell=["event_type"])
+
+
+def fl6_cell_repeated(spark, sf):
+    """The same where keys repeat: all events of a user share one key."""
+    e = table(spark, sf, "events").select("user_id", "event_type")
+    capped = cap_rows(e, 5, 1200, "user_id", one_more=True, cell=["event_type"])
+    return capped.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "fl1_filter_manifest": fl1,
     "fl1_skip_reason": fl1_reasons,
@@ -95,6 +114,9 @@ QUERIES = {
     "fl5_crop_size": fl5,
     "fl6_cap_rows": fl6,
     "fl6_cap_rows_one_more": fl6_one_more,
+    "fl6_cap_per_cell": fl6_cell,
+    "fl6_cap_per_cell_buckets": fl6_cell_hot,
+    "fl6_cap_per_cell_repeated_keys": fl6_cell_repeated,
     "wn3_dense_reindex": wn3,
     "ag12_duration_report": ag12,
     "jn10_keep_collated": jn10,
@@ -135,6 +157,17 @@ ORACLES = {
       FROM documents""",
     "fl6_cap_rows": _cap_sql(250),
     "fl6_cap_rows_one_more": _cap_sql(251),
+    "fl6_cap_per_cell": """
+      SELECT event_id, user_id, event_type, value FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || ':' || event_id), event_id) <= 40""",
+    "fl6_cap_per_cell_buckets": """
+      SELECT event_id, user_id, event_type FROM events
+      QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('5:' || event_id), event_id) <= 1200""",
+    "fl6_cap_per_cell_repeated_keys": """
+      SELECT event_type, user_id, count(*) AS n FROM (
+        SELECT event_type, user_id FROM events
+        QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('5:' || user_id), user_id) <= 1201)
+      GROUP BY ALL""",
     "wn3_dense_reindex": f"""
       SELECT 'documents' AS split, doc_id AS line_no, lang AS label, row_number() OVER (ORDER BY doc_id) - 1 AS index
       FROM documents WHERE {SQL_REASON} IS NULL""",

@@ -136,6 +136,27 @@ def balanced_cut(
     )
 
 
+def head_cut(df: DataFrame, group: list[str], order: list[str], bucket: Column, n: int) -> DataFrame:
+    """Where to cut groups of more than ``n`` rows: the group's columns, ``last``, ``_quota``.
+
+    ``last`` is the order key of the n-th row and ``_quota`` how many rows of that very key
+    belong to the head (more than one where keys repeat). Groups of at most n rows are left out.
+    """
+    narrow = df.select(*group, *order, bucket.alias("_bucket"))
+    offsets = settle(_offsets(narrow, group), "offsets")
+    sizes = offsets.groupBy(*group).agg(F.sum("_in").alias("_n")).filter(F.col("_n") > n)
+    last = _rows_at(narrow, offsets, group, order, sizes.select(*group, F.lit(n).alias("_rank")))
+    last = settle(last.select(*group, F.struct(*order).alias("last")), "last")
+    lower = join_on(narrow, last, group).filter(F.struct(*order) < F.col("last"))
+    before = settle(lower.groupBy(*group).agg(F.count(F.lit(1)).alias("_lower")), "lower")
+    return settle(
+        join_on(last, before, group, "left").select(
+            *group, "last", (F.lit(n) - F.coalesce("_lower", F.lit(0))).alias("_quota")
+        ),
+        "cut",
+    )
+
+
 def keep_head(df: DataFrame, cut: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Rows up to their group's cut, with the cut's other columns.
 

@@ -11,6 +11,7 @@ from earshot.operators.ranking import (
     attach,
     balanced_cut,
     bucketed_rank,
+    head_cut,
     join_on,
     keep_head,
     key_bucket,
@@ -19,6 +20,9 @@ from earshot.operators.ranking import (
 )
 from earshot.session import settle
 
+# Up to this rank Spark limits the rows of a group in every task (its default setting).
+WINDOW_LIMIT = 1000
+
 
 def seeded_order(df: DataFrame, seed, id_col: str, out: str = "order_key") -> DataFrame:
     """SM-1: a shuffle key per row; ``seed`` is a number or a column."""
@@ -26,14 +30,35 @@ def seeded_order(df: DataFrame, seed, id_col: str, out: str = "order_key") -> Da
 
 
 def cap_rows(
-    df: DataFrame, seed: int, n: int, id_col: str, one_more: bool = False
+    df: DataFrame, seed, n: int, id_col: str, one_more: bool = False, cell: list[str] = [], digits: int = 3
 ) -> DataFrame:
-    """FL-6: the first ``n`` rows in shuffled order.
+    """FL-6: the first ``n`` rows in shuffled order, of the table or of every ``cell``.
 
+    ``seed`` is a number, or the name of a column when the order differs by cell.
     ``one_more=True`` keeps ``n + 1``, as evaluation in the original does (its stop
-    test runs one row late). Plans as TakeOrderedAndProject: each task keeps ``n`` rows.
+    test runs one row late). Rows that repeat an id count each.
+
+    No cell is sorted whole. A table's cap plans as TakeOrderedAndProject. Up to 1,000 rows per
+    cell, Spark turns the rank filter into a limit per task (WindowGroupLimit). Beyond,
+    the n-th key of each cell is found by counts per bucket, and rows are compared with it; only
+    rows of that one key, where it repeats, are ranked.
     """
-    return df.orderBy(order_key(seed, id_col), F.col(id_col)).limit(n + 1 if one_more else n)
+    keep = n + 1 if one_more else n
+    key = order_key(F.col(seed) if isinstance(seed, str) else seed, id_col)
+    if not cell:
+        return df.orderBy(key, F.col(id_col)).limit(keep)
+    rows, order = df.withColumn("_key", key), ["_key", id_col]
+    if keep <= WINDOW_LIMIT:
+        w = Window.partitionBy(*cell).orderBy(*order)
+        ranked = rows.withColumn("_rn", F.row_number().over(w))
+        return ranked.filter(F.col("_rn") <= keep).select(*df.columns)
+    cut = head_cut(rows, cell, order, key_bucket(F.col("_key"), digits), keep)
+    known = join_on(rows, cut, cell, "left")
+    here = F.struct(*order)
+    below = known.filter(F.col("last").isNull() | (here < F.col("last")))
+    w = Window.partitionBy(*cell).orderBy(F.xxhash64(*df.columns))
+    edge = known.filter(here == F.col("last")).withColumn("_rn", F.row_number().over(w))
+    return below.select(*df.columns).unionByName(edge.filter(F.col("_rn") <= F.col("_quota")).select(*df.columns))
 
 
 def class_counts(df: DataFrame, label: str, cell: list[str] = []) -> DataFrame:

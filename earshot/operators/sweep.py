@@ -114,9 +114,9 @@ def report_cell(acc: str = "acc", acc_cf: str = "acc_cf", n: str = "n_chop"):
 
 
 def report_pivot(
-    means: DataFrame, columns: list, rows: str = "n_shot", column: str = "model_tag"
+    means: DataFrame, columns: list, rows: str | list[str] = "n_shot", column: str = "model_tag"
 ) -> DataFrame:
-    """AG-9: a row per shot count, a column per checkpoint.
+    """AG-9: a row per shot count (or per key of ``rows``), a column per checkpoint.
 
     The column values are given, so the pivot needs no pass to find them.
     """
