@@ -115,6 +115,8 @@ class PairTable:
             self.whole[t] = True
         for z in order:
             x, y = self.left[z], self.right[z]
+            if x not in self.symbols or y not in self.symbols:
+                raise ValueError("merges are not in the order in which their parts are made")
             self.symbols[z] = self.symbols[x] + self.symbols[y]
             self.whole[z] = self.whole[x] and self.whole[y] and self._apart(x, y, self.rank[z])
 
