@@ -63,28 +63,30 @@ def jn8(spark, sf):
 
 
 def jn9(spark, sf):
-    """Turns as word-length tokens, replaced by 64-wide vectors; sums that depend on the order."""
+    """Turns as word-length tokens, replaced by 64-wide vectors: sums per component that depend on the
+    order. Lengths without a vector give NULL, turns without words stay."""
     t = turns(spark, sf).select(
         "conv_id", "turn", F.transform("words", lambda w: F.length(w)).alias("tokens")
     )
     vecs = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec")
     )
-    e = embed_tokens(t, vecs, ["conv_id", "turn"], "tokens")
+    e = embed_tokens(t, vecs, ["conv_id", "turn"], "tokens", unknown="null")
 
     def weighted(c):
         parts = F.transform(
-            "vectors", lambda v, i: F.get(v, F.lit(c)).cast("double") * (i + 1).cast("double")
+            "vectors", lambda v, i: F.coalesce(F.get(v, c).cast("double"), F.lit(0.0)) * (i + 1).cast("double")
         )
-        return F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6)
+        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
+    sums = F.transform(F.sequence(F.lit(0), F.lit(63)), weighted)
     return e.select(
         "conv_id",
         "turn",
         F.size("vectors").cast("bigint").alias("n"),
-        weighted(0).alias("first"),
-        weighted(63).alias("last"),
-    )
+        F.size(F.filter("vectors", lambda v: v.isNull())).cast("bigint").alias("n_unknown"),
+        F.posexplode(sums).alias("component", "value"),
+    ).withColumn("value", F.round("value", 6))
 
 
 def jn11(spark, sf):
@@ -130,11 +132,15 @@ ORACLES = {
       FROM benchmark, (SELECT DISTINCT lang FROM documents)""",
     "jn9_embed_tokens": f"""
       WITH t AS (SELECT conv_id, turn, {sql_words('text')} AS w FROM conversations),
-      l AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t)
-      SELECT conv_id, turn, count(*) AS n,
-             round(sum(CAST(embedding[1] AS DOUBLE) * i), 6) AS first,
-             round(sum(CAST(embedding[64] AS DOUBLE) * i), 6) AS last
-      FROM l JOIN embeddings ON vec_id = length(word) GROUP BY conv_id, turn""",
+      l AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+      n AS (SELECT t.conv_id, t.turn, count(word) AS n, count(word) - count(vec_id) AS n_unknown
+            FROM t LEFT JOIN l USING (conv_id, turn) LEFT JOIN embeddings ON vec_id = length(word) GROUP BY ALL),
+      v AS (SELECT conv_id, turn, i, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS component
+            FROM l JOIN embeddings ON vec_id = length(word)),
+      s AS (SELECT conv_id, turn, component, sum(x * i) AS value FROM v GROUP BY ALL)
+      SELECT g.conv_id, g.turn, n, n_unknown, CAST(c AS INTEGER) AS component, round(coalesce(value, 0), 6) AS value
+      FROM (SELECT * FROM n, range(64) r(c)) g
+      LEFT JOIN s ON s.conv_id = g.conv_id AND s.turn = g.turn AND s.component = c""",
     "jn11_pair_adjacent": f"""
       WITH t AS (SELECT conv_id, turn, {sql_words('text')} AS w FROM conversations)
       SELECT conv_id, CAST(turn // 2 AS BIGINT) AS pair_no, count(*) AS n_rows, CAST(sum(len(w)) AS BIGINT) AS n_words,

@@ -89,9 +89,8 @@ def sc8(spark, sf):
 
 
 def sm4(spark, sf):
-    """Sequences decoded up to eight steps over the first ten scores, eos = 3."""
-    t = token_scores(spark, sf).withColumn("ten", F.slice("scores", 1, 10))
-    d = R.greedy_decode(t, "seq", "pos", "ten", eos=3, max_len=8)
+    """Sequences decoded over all 64 scores, eos = 3."""
+    d = R.greedy_decode(token_scores(spark, sf), "seq", "pos", "scores", eos=3)
     return d.select("seq", F.array_join("tokens", ",").alias("tokens"))
 
 
@@ -250,7 +249,7 @@ ORACLES = {
       FROM l WHERE v IS NOT NULL""",
     "sm4_greedy_decode": """
       WITH t AS (SELECT vec_id // 10 AS seq, vec_id % 10 AS pos,
-                        list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS tok FROM embeddings WHERE vec_id % 10 < 8),
+                        list_position(embedding, list_max(embedding)) - 1 AS tok FROM embeddings),
       e AS (SELECT *, min(CASE WHEN tok = 3 THEN pos END) OVER (PARTITION BY seq) AS eos FROM t)
       SELECT seq, string_agg(CASE WHEN pos > eos THEN 3 ELSE tok END, ',' ORDER BY pos) AS tokens FROM e GROUP BY seq""",
     "st1_collect_batches": """

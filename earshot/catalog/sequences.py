@@ -146,9 +146,8 @@ def ar8(spark, sf):
 
 
 def _encoded(spark, sf):
-    """Counting and encoding share one placement of the texts by id (a reused exchange)."""
-    docs = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
-    vocab = Q.build_vocab(docs.select(F.explode(split_words("text")).alias("word")), "word")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vocab = Q.build_vocab(_words(spark, sf), "word")
     return Q.encode(docs, vocab, ["doc_id"], "text"), vocab
 
 
@@ -215,7 +214,7 @@ SQL_EXAMPLES = f"""
 
 SQL_VOCAB = f"""
   l AS (SELECT unnest(w) AS symbol FROM ({SQL_DOC_WORDS})),
-  v AS (SELECT symbol, count(*) AS n FROM l GROUP BY symbol ORDER BY n DESC, symbol LIMIT 50256),
+  v AS (SELECT symbol, count(*) AS n FROM l GROUP BY symbol),
   vocab AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, symbol) - 1 AS INTEGER) AS token_id, symbol, n FROM v)
 """
 
@@ -272,12 +271,12 @@ ORACLES = {
     "ar8_encode": f"""
       WITH {SQL_VOCAB},
       w AS (SELECT doc_id, unnest(w) AS symbol, generate_subscripts(w, 1) AS i FROM ({SQL_DOC_WORDS}))
-      SELECT d.doc_id, coalesce(string_agg(coalesce(token_id, 50256), ' ' ORDER BY i) FILTER (i IS NOT NULL), '') AS token_ids
+      SELECT d.doc_id, coalesce(string_agg(token_id, ' ' ORDER BY i) FILTER (i IS NOT NULL), '') AS token_ids
       FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN vocab USING (symbol) GROUP BY d.doc_id""",
     "ar8_decode": f"""
       WITH {SQL_VOCAB},
       w AS (SELECT doc_id, unnest(w) AS symbol, generate_subscripts(w, 1) AS i FROM ({SQL_DOC_WORDS})),
-      j AS (SELECT doc_id, i, CASE WHEN token_id IS NULL THEN '<|endoftext|>' ELSE w.symbol END AS s FROM w LEFT JOIN vocab USING (symbol))
+      j AS (SELECT doc_id, i, vocab.symbol AS s FROM w JOIN vocab USING (symbol))
       SELECT d.doc_id, coalesce(string_agg(s, ' ' ORDER BY i), '') AS text FROM documents d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""",
     "ar9_item_sizes": f"SELECT doc_id, n_chars AS input_size, CAST(len(w) AS BIGINT) AS target_size FROM ({SQL_DOC_WORDS})",
 }

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from earshot.functions.keys import order_key
 from earshot.functions.sequences import ones_mask
 from earshot.functions.text import split_words
-from earshot.operators.ranking import LINES_PER_BUCKET, bucketed_rank, join_on, key_bucket
-from earshot.operators.scoring import SPECIAL_ID, VOCAB_SIZE
+from earshot.operators.ranking import LINES_PER_BUCKET, bucketed_rank, dense_ids, join_on, key_bucket, rows_before
 from earshot.session import settle
 
 # Prompt of training items, and of generation.
@@ -62,32 +65,132 @@ def position_ids_long(df: DataFrame, seq: list[str], pos: str, mask: str, out: s
     )
 
 
+def size_cuts(df: DataFrame, size: str, k: int) -> list[float]:
+    """Exact quantiles i/k (i = 1 .. k) of the sizes, linear between neighbours; none without rows.
+
+    Rows are counted per distinct size and the counts added up over sorted tasks; the two sizes
+    around each cut are the ones whose ranks hold its place. No buffer holds the sizes.
+    """
+    ranked = rows_before(df.select(F.col(size).alias("size")).filter("size is not null"), "size")
+    ranked = settle(ranked, "sizes")
+    total = ranked.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return []
+    places = [i / k * (total - 1) for i in range(1, k + 1)]
+    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+    inside = F.filter(
+        F.array(*[F.lit(r).cast("bigint") for r in wanted]),
+        lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")),
+    )
+    found = ranked.select("size", F.explode(inside).alias("rank")).collect()  # two rows a cut
+    at = {r["rank"]: float(r["size"]) for r in found}
+    cuts = []
+    for p in places:
+        low, high = math.floor(p), math.ceil(p)
+        cuts.append(at[low] if low == high else (high - p) * at[low] + (p - low) * at[high])
+    return cuts
+
+
 def with_size_buckets(df: DataFrame, size: str, k: int) -> DataFrame:
     """WN-5: ``bucket`` (0-based) and ``bucketed_size`` = upper bound of the row's bucket.
 
-    Cut points are the exact quantiles i/k. Crop the size first (FL-5): the quantiles
-    keep a count per distinct size, and cropping bounds those.
+    Cut points are the exact quantiles i/k, found first (``size_cuts``); then every row compares
+    itself with k numbers. A row without a size has no bucket.
     """
     if k < 1:
         return df.withColumns({"bucket": F.lit(0), "bucketed_size": F.col(size).cast("double")})
-    points = F.array(*[F.lit(i / k) for i in range(1, k + 1)])
-    cuts = df.agg(F.percentile(F.col(size).cast("double"), points).alias("cuts"))
-    rows = df.withColumn("_cuts", cuts.scalar())
-    fits = F.filter("_cuts", lambda c: c >= F.col(size))
-    return rows.withColumns(
-        {"bucket": F.lit(k) - F.size(fits), "bucketed_size": F.get(fits, F.lit(0))}
-    ).drop("_cuts")
+    cuts = F.array(*[F.lit(c) for c in size_cuts(df, size, k)]).cast("array<double>")
+    fits = F.filter(cuts, lambda c: c >= F.col(size))
+    known = F.col(size).isNotNull()
+    return df.withColumns(
+        {"bucket": F.when(known, F.lit(k) - F.size(fits)), "bucketed_size": F.when(known, F.get(fits, F.lit(0)))}
+    )
+
+
+# Sizes that one task batches at a time.
+SIZES_PER_BLOCK = 2048
+ANY = 1 << 31  # rows of size 0 that fit a batch
+
+
+def identity():
+    """How a run over sizes changes the open batch, before any size: (starts, slopes, values, opened).
+
+    The state is how many rows the open batch holds. From ``starts[i]`` to the next start, a state h becomes
+    ``values[i] + slopes[i] * (h - starts[i])`` (slope 0 or 1), and ``opened[i]`` batches are opened.
+    """
+    return np.array([0]), np.array([1]), np.array([0]), np.array([0])
+
+
+def _split(f, level: int):
+    """Pieces cut where the resulting state reaches ``level``."""
+    starts, slopes, values, opened = f
+    size = np.append(starts[1:], 1 << 40) - starts
+    at = np.flatnonzero((slopes == 1) & (values < level) & (level < values + size))
+    put = at + 1
+    return (
+        np.insert(starts, put, starts[at] + level - values[at]),
+        np.insert(slopes, put, 1),
+        np.insert(values, put, level),
+        np.insert(opened, put, opened[at]),
+    )
+
+
+def then(f, cap: int, n: int):
+    """``f`` followed by ``n`` rows of a size of which ``cap`` fit a batch; caps fall from call to call.
+
+    From a state h, min(h, cap) + n rows fill batches of cap: the last one holds
+    (min(h, cap) + n - 1) mod cap + 1.
+    """
+    f = _split(f, cap)
+    wrap = cap - (n - 1) % cap
+    for level in (wrap, wrap - cap):
+        if 0 < level < cap:
+            f = _split(f, level)
+    starts, slopes, values, opened = f
+    full = values >= cap
+    total = np.minimum(values, cap) + n - 1
+    slopes = np.where(full, 0, slopes)
+    values, opened = total % cap + 1, opened + total // cap
+    # neighbours that go on in one line are one piece
+    step = np.diff(starts)
+    same = (np.diff(opened) == 0) & (slopes[1:] == slopes[:-1]) & (values[1:] == values[:-1] + slopes[:-1] * step)
+    keep = np.append(True, ~same)
+    return starts[keep], slopes[keep], values[keep], opened[keep]
+
+
+def at_state(f, held: int) -> tuple[int, int]:
+    """Batches opened and rows held at the end, from ``held`` rows at the start."""
+    starts, slopes, values, opened = f
+    i = int(np.searchsorted(starts, held, side="right")) - 1
+    return int(opened[i]), int(values[i] + slopes[i] * (held - starts[i]))
+
+
+def _fits(size: int, max_tokens: int, max_rows: int | None) -> int:
+    cap = max(1, max_tokens // size) if size > 0 else ANY
+    return cap if max_rows is None else min(cap, max_rows)
+
+
+def _compose(max_tokens: int, max_rows: int | None):
+    """The state function of a block of sizes."""
+
+    def compose(key: tuple, sizes: pd.DataFrame) -> pd.DataFrame:
+        sizes = sizes.sort_values("size")
+        f = identity()
+        for size, n in zip(sizes["size"].tolist(), sizes["n"].tolist()):
+            f = then(f, _fits(size, max_tokens, max_rows), n)
+        return pd.DataFrame({"block": key[0], "start": f[0], "slope": f[1], "value": f[2], "opened": f[3]})
+
+    return compose
 
 
 def _fill_batches(max_tokens: int, max_rows: int | None):
-    """Greedy batching of a size histogram, ascending; one plan row per size."""
+    """Greedy batching of a block of sizes, ascending, from the state before it; one plan row per size."""
 
     def fill(sizes: pd.DataFrame) -> pd.DataFrame:
         sizes = sizes.sort_values("size")
-        batch, held, plan = 0, 0, []
+        batch, held, plan = int(sizes["batch"].iloc[0]), int(sizes["held"].iloc[0]), []
         for size, n in zip(sizes["size"].tolist(), sizes["n"].tolist()):
-            cap = max(1, max_tokens // size) if size > 0 else 2**31
-            cap = cap if max_rows is None else min(cap, max_rows)
+            cap = _fits(size, max_tokens, max_rows)
             room = min(n, max(0, cap - held))
             plan.append((size, batch, room, cap))
             rest = n - room
@@ -105,15 +208,28 @@ def token_budget_batches(
     """WN-6: ``batch`` per row so that rows x longest row stays within ``max_tokens``.
 
     Greedy over ascending size, ties in hashed id order, exactly as a single loop over
-    all rows would do it. The loop only needs how many rows have each size, so it runs
-    over that histogram (cropped sizes: at most 320,000 entries); a row finds its batch
-    from its rank among the rows of equal size. A row longer than the budget is a batch
-    of its own.
+    all rows would do it. What a run of sizes does to the open batch is a function of the
+    rows it holds, a few straight pieces; so blocks of sizes are worked out side by side, and only
+    their functions are followed from block to block: at most two pieces per size and
+    no more than a batch of the block's smallest size has rows. With the state before it, each
+    block then plans its sizes, and a row finds its batch from its rank among the rows of equal
+    size, which are ranked in buckets. A row longer than the budget is a batch of its own.
     """
+    spark = df.sparkSession
     hist = df.groupBy(F.col(size).cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    plan = hist.groupBy().applyInPandas(
-        _fill_batches(max_tokens, max_rows),
-        "plan_size bigint, open_batch bigint, room bigint, cap bigint",
+    hist = settle(hist.withColumn("block", F.floor(F.col("size") / SIZES_PER_BLOCK)), "sizes")
+    pieces = hist.groupBy("block").applyInPandas(
+        _compose(max_tokens, max_rows), "block bigint, start bigint, slope bigint, value bigint, opened bigint"
+    )
+    batch, held, states = 0, 0, []
+    functions = pieces.toArrow().sort_by([("block", "ascending"), ("start", "ascending")]).to_pandas()
+    for block, f in functions.groupby("block", sort=True):
+        states.append((int(block), batch, held))
+        opened, held = at_state(tuple(f[c].to_numpy() for c in ("start", "slope", "value", "opened")), held)
+        batch += opened
+    before = spark.createDataFrame(states, "block bigint, batch bigint, held bigint")
+    plan = hist.join(before, "block").groupBy("block").applyInPandas(
+        _fill_batches(max_tokens, max_rows), "plan_size bigint, open_batch bigint, room bigint, cap bigint"
     )
     keyed = df.withColumns({"_key": order_key(0, id_col), "_size": F.col(size).cast("bigint")})
     ranked = bucketed_rank(keyed, ["_size"], ["_key", id_col], key_bucket(F.col("_key"), 3), "_rn")
@@ -237,57 +353,119 @@ def item_sizes(df: DataFrame, n_frames: str, tokens: str) -> DataFrame:
     )
 
 
-def build_vocab(words: DataFrame, word: str, max_size: int = VOCAB_SIZE) -> DataFrame:
+def build_vocab(words: DataFrame, word: str, max_size: int | None = None) -> DataFrame:
     """AR-8: symbol table (token_id, symbol, n), ids by falling count, then by symbol.
 
-    The vocabulary size is a property of the model; the top ``max_size`` symbols are
-    found with a top-k per task, and only those are ranked. The last id is the shared
-    special one, so one place is left for it.
+    Every symbol gets an id: the table is sorted by one range shuffle and numbered from
+    counts per task, so no task holds it whole. ``max_size`` is for a model whose vocabulary has
+    that size: the top ``max_size - 1`` symbols, the last id being the shared special one.
+    Written and read back.
     """
     counts = words.groupBy(F.col(word).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("symbol")).limit(max_size - 1)
-    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("symbol")))
-    return top.select((rank - 1).cast("int").alias("token_id"), "symbol", "n")
+    order = [F.col("n").desc(), F.col("symbol")]
+    kept = counts if max_size is None else counts.orderBy(*order).limit(max_size - 1)
+    vocab = dense_ids(kept, order, "token_id")
+    return settle(vocab.select(F.col("token_id").cast("int").alias("token_id"), "symbol", "n"), "vocab")
 
 
-def _together(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows placed by key before they fan out, so that regrouping needs no second shuffle:
-    the compact rows move once instead of one row per token."""
-    return df.repartition(*keys)
+# What every task may hold of a vocabulary: the first ids, of symbols of bounded length.
+HOT_SYMBOLS = 300_000
+HOT_LENGTH = 64
 
 
-def encode(
-    df: DataFrame, vocab: DataFrame, keys: list[str], text: str, unk: int = SPECIAL_ID
-) -> DataFrame:
-    """AR-8: text -> ``token_ids``; words outside the vocabulary get the special id."""
-    longform = _together(df.select(*keys, text), keys).select(
-        *keys, F.posexplode_outer(split_words(text)).alias("_pos", "_word")
+def _hot(vocab: DataFrame) -> DataFrame:
+    """The most frequent symbols: at most HOT_SYMBOLS rows of at most HOT_LENGTH characters."""
+    return vocab.filter((F.col("token_id") < HOT_SYMBOLS) & (F.length("symbol") <= HOT_LENGTH))
+
+
+def _swap(df: DataFrame, keys: list[str], values: str, words: bool, vocab: DataFrame, out: str, rest) -> DataFrame:
+    """``values`` of every row looked up in a vocabulary, in whole Arrow batches.
+
+    The frequent part of the vocabulary, bounded in rows and length, is held by every task. Rows whose
+    values are all there are done where they are read. Values that are not (``cold``) meet the rest of
+    the vocabulary in a join by value, and only the rows that have some are brought together again.
+    ``words``: texts to ids, else ids to symbols. ``rest`` stands for unknown values.
+    """
+    spark = df.sparkSession
+    hot = _hot(vocab).select("token_id", "symbol").toArrow()
+    pairs = hot.column("symbol").to_pylist(), hot.column("token_id").to_pylist()
+    held = spark.sparkContext.broadcast(dict(zip(*pairs)) if words else dict(zip(*reversed(pairs))))
+    complete = vocab.count() == hot.num_rows
+    from_type, to_type = ("string", "int") if words else ("int", "string")
+    fields = [StructField(k, df.schema[k].dataType) for k in keys]
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = held.value
+        kinds = pa.string() if words else pa.int32(), pa.int32() if words else pa.string()
+        for b in batches:
+            for lo in range(0, len(b), 1000):
+                some = b.slice(lo, 1000)
+                lists = some.column(len(keys)).to_pylist()
+                found, places, cold = [], [], []
+                for v in lists:
+                    v = (v.split() if words else v) if v is not None else []
+                    ids = [known.get(x) for x in v]
+                    missing = [i for i, x in enumerate(ids) if x is None]
+                    if complete and missing:
+                        for i in missing:
+                            ids[i] = rest
+                        missing = []
+                    found.append(ids)
+                    places.append(missing)
+                    cold.append([v[i] for i in missing])
+                cols = [pa.array(found, pa.list_(kinds[1])), pa.array(places, pa.list_(pa.int32())), pa.array(cold, pa.list_(kinds[0]))]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *cols], names=[*keys, out, "_places", "_cold"])
+
+    schema = StructType(
+        [*fields, StructField(out, ArrayType(_type(to_type))), StructField("_places", ArrayType(IntegerType())),
+         StructField("_cold", ArrayType(_type(from_type)))]
     )
-    table = vocab.select(F.col("symbol").alias("_symbol"), "token_id")
-    coded = longform.join(table, F.col("_word") == F.col("_symbol"), "left")
-    token = F.when(
-        F.col("_pos").isNotNull(),
-        F.struct("_pos", F.coalesce("token_id", F.lit(unk)).alias("id")),
+    rows = df.select(*keys, values).mapInArrow(run, schema)
+    if complete:
+        return rows.select(*keys, out)
+    rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()), "swapped")
+    done = rows.filter(F.size("_places") == 0).select(*keys, out)
+    open_rows = rows.filter(F.size("_places") > 0)
+    asked = open_rows.select("_row", F.explode(F.arrays_zip("_places", "_cold")).alias("c"))
+    asked = asked.select("_row", F.col("c._places").alias("_at"), F.col("c._cold").alias("_value"))
+    table = vocab.select(
+        F.col("symbol" if words else "token_id").alias("_value"), F.col("token_id" if words else "symbol").alias("_new")
     )
-    ordered = F.array_sort(F.collect_list(token))
-    return coded.groupBy(*keys).agg(F.transform(ordered, lambda t: t["id"]).alias("token_ids"))
+    answer = asked.join(table, "_value", "left").select("_row", "_at", F.coalesce("_new", F.lit(rest)).alias("_new"))
+    per_row = answer.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_new"))).alias("_m"))
+    filled = F.transform(out, lambda x, i: F.coalesce(x, F.try_element_at("_m", i)))
+    late = open_rows.join(per_row, "_row").select(*keys, filled.alias(out))
+    return done.unionByName(late)
+
+
+def _type(name: str):
+    return StringType() if name == "string" else IntegerType()
+
+
+def special_id(vocab: DataFrame) -> int:
+    """The id behind the last one of a whole vocabulary, for what is not in it."""
+    last = vocab.agg(F.max("token_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def encode(df: DataFrame, vocab: DataFrame, keys: list[str], text: str, unk: int | None = None) -> DataFrame:
+    """AR-8: text -> ``token_ids``, row by row where the texts are read.
+
+    Words outside the vocabulary get ``unk``, by default the id behind the last one. A null or blank
+    text has no ids; repeated keys stay rows of their own.
+    """
+    return _swap(df, keys, text, True, vocab, "token_ids", special_id(vocab) if unk is None else unk)
 
 
 def decode(
     df: DataFrame, vocab: DataFrame, keys: list[str], tokens: str, special: str = "<|endoftext|>"
 ) -> DataFrame:
-    """AR-8: token ids -> ``text``, symbols joined by blanks."""
-    longform = _together(df.select(*keys, tokens), keys).select(
-        *keys, F.posexplode_outer(tokens).alias("_pos", "_id")
-    )
-    table = vocab.select(F.col("token_id").alias("_token"), "symbol")
-    named = longform.join(table, F.col("_id") == F.col("_token"), "left")
-    word = F.when(
-        F.col("_pos").isNotNull(),
-        F.struct("_pos", F.coalesce("symbol", F.lit(special)).alias("w")),
+    """AR-8: token ids -> ``text``, symbols joined by blanks; ids outside the vocabulary give ``special``."""
+    return _swap(df, keys, tokens, False, vocab, "_symbols", special).select(
+        *keys, F.array_join("_symbols", " ").alias("text")
     )
-    ordered = F.transform(F.array_sort(F.collect_list(word)), lambda t: t["w"])
-    return named.groupBy(*keys).agg(F.array_join(ordered, " ").alias("text"))
 
 
 def embed_tokens(
@@ -297,21 +475,44 @@ def embed_tokens(
     tokens: str,
     token_id: str = "token_id",
     vec: str = "vec",
-    broadcast_rows: int = VOCAB_SIZE,
+    unknown: str = "error",
 ) -> DataFrame:
     """JN-9: every token id replaced by its vector, order kept (``vectors``).
 
-    The table is broadcast after counting that it has at most ``broadcast_rows`` rows
-    (a bounded count, the one job this call runs); a longer table is joined by key.
+    An id that is not in the table fails the job and is named; ``unknown="null"`` puts NULL in its
+    place. Rows without tokens, and null token arrays, keep their place with an empty list.
+    The table is dealt by token id. Ids so frequent that one task would get a large share of all
+    tokens (counted first, at most 8 per task) are split: their tokens are dealt over several tasks, each
+    of which gets their vector. Nothing is hinted; a small table is broadcast by its measured size.
     """
-    small = table.select(token_id).limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = table.select(F.col(token_id).alias("_token"), F.col(vec).alias("_vec"))
-    longform = _together(df.select(*keys, tokens), keys).select(
-        *keys, F.posexplode(tokens).alias("_pos", "_id")
+    if unknown not in ("error", "null"):
+        raise ValueError("unknown: 'error' or 'null'")
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.select(*keys, F.col(tokens).alias("_ids")).withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    longform = rows.select("_row", F.posexplode("_ids").alias("_pos", "_id"))
+    counts = settle(longform.groupBy("_id").agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // (8 * tasks))
+    hot = settle(counts.filter(F.col("n") > share).select(F.col("_id").alias("_hot")), "hot")  # fewer than 8 a task
+    salted = longform.join(hot, F.col("_id") == F.col("_hot"), "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_row", "_pos"), F.lit(tasks))).otherwise(F.lit(0))
     )
-    joined = longform.join(F.broadcast(side) if small else side, F.col("_id") == F.col("_token"))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_vec")))
-    return joined.groupBy(*keys).agg(F.transform(ordered, lambda t: t["_vec"]).alias("vectors"))
+    side = table.select(F.col(token_id).alias("_token"), F.col(vec).alias("_vec"))
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))
+    side = side.join(hot, F.col("_token") == F.col("_hot"), "left").select("_token", "_vec", F.explode(copies).alias("_part"))
+    side = settle(side, "vectors")
+    joined = salted.join(side, (F.col("_id") == F.col("_token")) & (F.col("_salt") == F.col("_part")), "left")
+    kind = table.schema[vec].dataType
+    found = F.col("_vec")
+    if unknown == "error":
+        name = F.coalesce(F.col("_id").cast("string"), F.lit("NULL"))
+        fail = F.raise_error(F.concat(F.lit("token without a vector: "), name)).cast(kind)
+        found = F.when(F.col("_token").isNull(), fail).otherwise(F.col("_vec"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", found.alias("_vec"))))
+    lists = joined.groupBy("_row").agg(F.transform(ordered, lambda t: t["_vec"]).alias("vectors"))
+    none = F.array().cast(ArrayType(kind))
+    return rows.join(lists, "_row", "left").select(*keys, F.coalesce("vectors", none).alias("vectors"))
 
 
 def pair_adjacent(

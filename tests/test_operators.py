@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions.keys import order_key
+from earshot.functions.text import split_words
 from earshot.operators import calibration as C
 from earshot.operators import errors as R
 from earshot.operators import manifest as M
@@ -17,7 +18,7 @@ from earshot.operators import sampling as P
 from earshot.operators import scoring as G
 from earshot.operators import sequences as Q
 from earshot.operators import sweep as W
-from earshot.operators.ranking import bucketed_rank, line_bucket
+from earshot.operators.ranking import bucketed_rank, dense_ids, line_bucket
 from earshot.plans.corpus import training_items
 from earshot.plans.few_shot import evaluate
 from earshot.plans.generation import generate_hypotheses, written_rows
@@ -340,6 +341,52 @@ def test_batches_match_one_loop(spark, max_tokens, max_rows):
         assert got[i] == batch
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_batches_are_composed_from_blocks(spark, monkeypatch, seed):
+    """Blocks of few sizes, composed, give the same batches as the loop over all rows."""
+    monkeypatch.setattr(Q, "SIZES_PER_BLOCK", 5)
+    rng = random.Random(seed)
+    most, tokens, cap = rng.choice([(60, 200, None), (200, 150, 7), (40, 1000, 50), (9, 30, None)])
+    sizes = [rng.choice([rng.randrange(0, most), most]) for _ in range(400)] + [0] * rng.randrange(3)
+    df = spark.createDataFrame(list(enumerate(sizes)), "id bigint, size bigint").repartition(4)
+    got = {r.id: r.batch for r in Q.token_budget_batches(df, "size", "id", tokens, cap).collect()}
+    batch, held, want = 0, 0, {}
+    for i, size in sorted(enumerate(sizes), key=lambda r: (r[1], md5(f"0:{r[0]}"), r[0])):
+        if held and ((held + 1) * size > tokens or (cap and held + 1 > cap)):
+            batch, held = batch + 1, 0
+        held += 1
+        want[i] = batch
+    assert got == want
+
+
+def test_state_functions_compose():
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes = [(rng.randrange(1, 40), rng.randrange(1, 60)) for _ in range(rng.randrange(1, 12))]
+        sizes.sort(reverse=True)  # caps fall as sizes rise
+        f = Q.identity()
+        for cap, n in sizes:
+            f = Q.then(f, cap, n)
+        for h in range(0, 90):
+            held, opened = h, 0
+            for cap, n in sizes:
+                for _ in range(n):
+                    if held >= cap:
+                        opened, held = opened + 1, 0
+                    held += 1
+            assert Q.at_state(f, h) == (opened, held)
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_size_cuts_are_exact_quantiles(spark, k):
+    rng = random.Random(k)
+    for n in (1, 2, 11, 500):
+        values = [rng.choice([5, 5, 5, rng.randrange(1000)]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values], "size bigint").repartition(3)
+        assert np.allclose(Q.size_cuts(df, "size", k), np.quantile(values, [i / k for i in range(1, k + 1)]))
+    assert Q.size_cuts(df.limit(0), "size", k) == []
+
+
 def test_size_buckets(spark):
     df = spark.createDataFrame([(i,) for i in [1, 2, 2, 3, 9]], "size bigint")
     got = {r.size: (r.bucket, r.bucketed_size) for r in Q.with_size_buckets(df, "size", 2).collect()}
@@ -394,12 +441,60 @@ def test_vocabulary_round_trip(spark):
     assert dec == {0: "b a b", 1: "? a b", 2: "", 3: ""}
 
 
-def test_embedding_both_ways(spark):
-    df = spark.createDataFrame([(0, [2, 0, 2]), (1, [1])], "id int, t array<int>")
+@pytest.mark.parametrize("most, length", [(300_000, 64), (2, 64), (0, 64), (300_000, 2)])
+def test_vocabulary_is_whole_and_split(spark, monkeypatch, most, length):
+    """Every symbol has a dense id; texts come back however much of the vocabulary the tasks hold."""
+    monkeypatch.setattr(Q, "HOT_SYMBOLS", most)
+    monkeypatch.setattr(Q, "HOT_LENGTH", length)
+    rng = random.Random(2)
+    texts = [" ".join("w" * rng.randrange(1, 5) + str(rng.randrange(40)) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (90, None), (91, " \n")]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    vocab = Q.build_vocab(docs.select(F.explode(split_words("text")).alias("w")), "w")
+    counts = {}
+    for _, t in rows:
+        for w in (t or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    want = sorted(counts, key=lambda w: (-counts[w], w))
+    assert [(r.token_id, r.symbol, r.n) for r in vocab.orderBy("token_id").collect()] == [(i, w, counts[w]) for i, w in enumerate(want)]
+    enc = Q.encode(docs, vocab, ["id"], "text")
+    ids = {w: i for i, w in enumerate(want)}
+    assert sorted((r.id, r.token_ids) for r in enc.collect()) == sorted((i, [ids[w] for w in (t or "").split()]) for i, t in rows)
+    dec = Q.decode(enc, vocab, ["id"], "token_ids")
+    assert sorted(tuple(r) for r in dec.collect()) == sorted((i, " ".join((t or "").split())) for i, t in rows)
+    other = spark.createDataFrame([(0, "never seen w1")], "id int, text string")
+    assert Q.encode(other, vocab, ["id"], "text").first().token_ids[:2] == [len(want), len(want)]
+
+
+def test_encoding_needs_no_exchange(spark):
+    docs = spark.createDataFrame([(0, "a b")], "id int, text string")
+    vocab = Q.build_vocab(docs.select(F.explode(F.split("text", " ")).alias("w")), "w")
+    plan = Q.encode(docs, vocab, ["id"], "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_dense_ids(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5)
+    got = sorted(tuple(r) for r in dense_ids(df, [F.col("x").desc()], "i").collect())
+    assert got == [(x, 999 - x) for x in range(1000)]
+    assert dense_ids(df.limit(0), [F.col("x")], "i").count() == 0
+
+
+def test_embedding_keeps_every_row(spark):
+    rows = [(0, [2, 0, 2]), (1, [1]), (2, []), (3, None), (4, [1] * 500), (0, [0])]
+    df = spark.createDataFrame(rows, "id int, t array<int>").repartition(3)
     table = spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(3)], "token_id int, vec array<float>")
-    for rows in (10, 1):
-        got = {r.id: r.vectors for r in Q.embed_tokens(df, table, ["id"], "t", broadcast_rows=rows).collect()}
-        assert got == {0: [[2.0, -2.0], [0.0, 0.0], [2.0, -2.0]], 1: [[1.0, -1.0]]}
+    got = sorted((r.id, r.vectors) for r in Q.embed_tokens(df, table, ["id"], "t").collect())
+    assert got == sorted((i, [[float(x), -float(x)] for x in t or []]) for i, t in rows)
+
+
+def test_embedding_of_unknown_ids(spark):
+    df = spark.createDataFrame([(0, [0, 7, 1]), (1, [9]), (2, []), (3, [None])], "id int, t array<int>")
+    table = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "token_id int, vec array<float>")
+    got = {r.id: r.vectors for r in Q.embed_tokens(df, table, ["id"], "t", unknown="null").collect()}
+    assert got == {0: [[0.0], None, [1.0]], 1: [None], 2: [], 3: [None]}
+    with pytest.raises(Exception, match="token without a vector"):
+        Q.embed_tokens(df, table, ["id"], "t").collect()
 
 
 def test_pairs_of_rows(spark):
