@@ -44,25 +44,18 @@ BLANK = "▁"  # stands for a blank in pieces
 def refined_ends(begin, end, lengths):
     """Byte ends of tokens from coarse byte spans and decoded lengths.
 
-    A token closes a run where the next one begins at or after its end and the run has grown; inside
-    a run, ends follow from the lengths. None where the lengths do not fill a run.
+    A token closes a run where the next one begins at or after its end, and its end lies beyond the
+    run before; so tokens that share a character form a run, and so do pieces without surface and the
+    one that has it. Inside a run, ends follow from the lengths. None where the lengths do not fill a run.
     """
     n = len(end)
     if not n:
         return end
-    grown = np.empty(n, bool)
-    grown[0] = end[0] > 0
-    grown[1:] = end[1:] > np.maximum.accumulate(end)[:-1]
-    free = np.ones(n, bool)
-    free[:-1] = begin[1:] >= end[:-1]
-    # the last token of several that end together closes
-    last = np.ones(n, bool)
-    last[:-1] = end[1:] != end[:-1]
-    closes = free & last & (grown | (end == np.maximum.accumulate(end)))
-    closes[-1] = True
+    free = np.flatnonzero(np.append(begin[1:] >= end[:-1], True))
+    before = np.maximum.accumulate(np.concatenate([[0], end[free]]))[:-1]
+    at = free[end[free] > before]
     total = np.cumsum(lengths)
-    at = np.flatnonzero(closes)
-    if not (total[at] == end[at]).all():
+    if not len(at) or at[-1] != n - 1 or not (total[at] == end[at]).all():
         return None
     run = np.searchsorted(at, np.arange(n))
     base = np.concatenate([[0], end[at[:-1]]])
