@@ -11,8 +11,9 @@ from earshot.operators.calibration import mean_vector
 from earshot.operators.sequences import collect_batches
 from earshot.operators.sweep import SEEDS, label_pairs
 from earshot.plans.few_shot import few_shot_eval
-from earshot.plans.generation import generate_hypotheses
-from earshot.session import settle
+from earshot.plans.generation import generate_hypotheses, transcribe
+from earshot.session import settle, shared_dir
+from earshot.sources.manifests import read_labels, read_manifest
 
 PAD = 9
 
@@ -79,6 +80,17 @@ def sc7(spark, sf):
     return R.token_accuracy(token_scores(spark, sf), PAD, ["seq"], "target", "scores")
 
 
+def sc6_prefix(spark, sf):
+    """The first three positions of every sequence are a prompt."""
+    t = token_scores(spark, sf).withColumn("lprobs", V.log_softmax("scores"))
+    n = R.masked_nll(t, PAD, "seq", "pos", "target", "lprobs", ignore_prefix=3)
+    return n.withColumn("loss", F.round("loss", 6))
+
+
+def sc7_prefix(spark, sf):
+    return R.token_accuracy(token_scores(spark, sf), PAD, ["seq"], "target", "scores", "pos", 3)
+
+
 def sc8(spark, sf):
     s = R.shift_scores(token_scores(spark, sf), "seq", "pos", "scores", "target")
     return s.select(
@@ -167,6 +179,38 @@ def ud2(spark, sf):
     return g.select("doc_id", "target", "prompt", "hyp", "error")
 
 
+def _echo_batches():
+    def generate(texts):
+        if any("#" in t for t in texts):
+            raise ValueError("mark in text")
+        return [t + "\nsecond line" for t in texts]
+
+    return generate
+
+
+def ud2_batches(spark, sf):
+    """The stand-in called with 32 documents at a time; a batch with a marked text is halved."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    g = generate_hypotheses(d, _echo_batches, ["text"], "lang", batch_size=32)
+    return g.select("doc_id", "target", "prompt", "hyp", "error")
+
+
+def ud2_plan(spark, sf):
+    """Up to 200 documents of every language through the generation stage, and read back."""
+    d = table(spark, sf, "documents").select(
+        F.col("lang").alias("split"), F.col("doc_id").alias("id"), F.col("source").alias("target"), "text",
+        F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"), F.col("n_chars").alias("n_frames"),
+    )
+    out = shared_dir(spark, "transcripts")
+    transcribe(d, _echo_batches, ["text"], out, 200, seed=3, batch_size=32, root="/corpus")
+    lines = read_labels(spark, f"{out}/ltr")
+    files = read_manifest(spark, f"{out}/tsv").select("split", "line_no", "root", "path", "n_frames", "label")
+    both = lines.join(files, ["split", "line_no"])
+    return both.select(
+        "split", "line_no", "root", "path", "n_frames", "label", "answer", "question", F.md5("text").alias("text_md5")
+    )
+
+
 QUERIES = {
     "sc3_softmax": sc3,
     "sc3_log_softmax": sc3_log,
@@ -176,11 +220,15 @@ QUERIES = {
     "sc6_masked_nll": sc6,
     "sc6_masked_nll_dedicated_pad": sc6_dedicated,
     "sc7_token_accuracy": sc7,
+    "sc6_masked_nll_prefix": sc6_prefix,
+    "sc7_token_accuracy_prefix": sc7_prefix,
     "sc8_shift_scores": sc8,
     "sm4_greedy_decode": sm4,
     "st1_collect_batches": st1,
     "ud1_score": ud1,
     "ud2_generate_hypotheses": ud2,
+    "ud2_generate_batches": ud2_batches,
+    "ud2_generation_plan": ud2_plan,
     "ud3_few_shot_eval": ud3,
 }
 
@@ -264,7 +312,25 @@ ORACLES = {
              CASE WHEN contains(text, '#') THEN NULL ELSE trim(trim(split_part(text, chr(10), 1), '.')) END AS hyp,
              CASE WHEN contains(text, '#') THEN 'ValueError: mark in text' END AS error
       FROM documents""",
+    "ud2_generation_plan": """
+      WITH c AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) <= 200)
+      SELECT lang AS split, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) - 1 AS line_no, '/corpus' AS root,
+             doc_id || '.wav' AS path, n_chars AS n_frames, source AS label, source AS answer, 'What is the scenario?' AS question,
+             md5(replace(replace(trim(trim(split_part(text, chr(10), 1), '.')), chr(9), '#'), chr(13), '')) AS text_md5
+      FROM c WHERE NOT contains(text, '#')""",
+    "sc6_masked_nll_prefix": f"""
+      WITH {SQL_SOFTMAX},
+      t AS (SELECT id // 10 AS seq, id % 10 AS pos, truth AS target, -ln(p[truth + 1]) AS nll FROM p WHERE id % 10 >= 3),
+      f AS (SELECT *, min(CASE WHEN target = 9 THEN pos END) OVER (PARTITION BY seq) AS first_pad FROM t)
+      SELECT seq, round(coalesce(sum(CASE WHEN target <> 9 OR pos = first_pad THEN nll END), 0), 6) AS loss,
+             count(CASE WHEN target <> 9 THEN 1 END) AS n_real
+      FROM f GROUP BY seq""",
+    "sc7_token_accuracy_prefix": f"""
+      SELECT seq, count(CASE WHEN target <> 9 AND {SQL_BEST} = target THEN 1 END) AS n_correct,
+             count(CASE WHEN target <> 9 THEN 1 END) AS total
+      FROM ({SQL_SEQ}) WHERE pos >= 3 GROUP BY seq""",
     "ud3_few_shot_eval": f"""
       WITH {SQL_RUNS}
       SELECT scenarios, seed, round(acc, 6) AS acc, round(acc_cf, 6) AS acc_cf, n_chop, n_classes, n FROM runs""",
 }
+ORACLES["ud2_generate_batches"] = ORACLES["ud2_generate_hypotheses"]

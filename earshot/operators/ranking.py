@@ -113,17 +113,34 @@ def rows_at_ranks(
     return _rows_at(narrow, settle(_offsets(narrow, group), "offsets"), group, order, wanted)
 
 
+def _in_buckets(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Key columns with a ``_bucket`` of the hash key ``order[0]``, as deep as the group is large.
+
+    Groups are counted first: one of at most LINES_PER_BUCKET rows is one bucket, so a thousand small
+    groups have a thousand buckets; each further digit splits a group into sixteen.
+    """
+    narrow = df.select(*group, *order)
+    sizes = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    digits = F.ceil(F.log(16.0, F.col("_n") / F.lit(LINES_PER_BUCKET)))
+    depth = settle(sizes.select(*group, F.greatest(digits, F.lit(0)).cast("int").alias("_depth")), "depth")
+    return join_on(narrow, depth, group).withColumn("_bucket", F.substr(order[0], F.lit(1), "_depth")).drop("_depth")
+
+
 def balanced_cut(
-    df: DataFrame, label: str, order: list[str], bucket: Column, cell: list[str] = []
+    df: DataFrame, label: str, order: list[str], bucket: Column | None, cell: list[str] = []
 ) -> DataFrame:
     """Where to cut every class so that all classes of a cell keep ``n_chop`` rows.
 
     One row per (cell, class): ``last`` = the order key of its last kept row, ``n_chop``
     = rows of the cell's rarest class, ``n_classes``. Only key columns are read; rows
     are counted per bucket with partial aggregation, and one bucket per class is sorted.
+    Without a ``bucket``, ``order`` starts with a hash key and buckets follow the classes' sizes.
     """
     group = [*cell, label]
-    narrow = df.select(*group, *order, bucket.alias("_bucket"))
+    if bucket is None:
+        narrow = _in_buckets(df, group, order)
+    else:
+        narrow = df.select(*group, *order, bucket.alias("_bucket"))
     offsets = settle(_offsets(narrow, group), "offsets")
     sizes = offsets.groupBy(*group).agg(F.sum("_in").alias("_n"))
     chop = sizes.groupBy(*cell).agg(

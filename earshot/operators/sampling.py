@@ -81,12 +81,13 @@ def balanced_head(
     order: list[str],
     cell: list[str] = [],
     method: str = "buckets",
-    digits: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
     """WN-1: the first ``n_chop`` rows of every class, so that classes are equal in size.
 
     ``order`` starts with a hexadecimal hash key (SM-1) and ends with a unique id.
-    ``method="buckets"`` finds the cut without sorting a class (see ``ranking``);
+    ``method="buckets"`` finds the cut without sorting a class (see ``ranking``), in buckets
+    that follow the size of each class, or of ``digits`` digits of the key;
     ``"window"`` is the plain form, for classes that fit one task.
     """
     group = [*cell, label]
@@ -97,7 +98,8 @@ def balanced_head(
         return ranked.filter(F.col("_rn") <= F.col("n_chop")).drop("_rn", "n_chop")
     if method != "buckets":
         raise ValueError("method: 'buckets' or 'window'")
-    cut = balanced_cut(df, label, order, key_bucket(F.col(order[0]), digits), cell)
+    bucket = None if digits is None else key_bucket(F.col(order[0]), digits)
+    cut = balanced_cut(df, label, order, bucket, cell)
     return keep_head(df, cut.drop("n_chop", "n_classes"), group, order)
 
 

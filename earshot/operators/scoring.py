@@ -98,11 +98,13 @@ def masked_nll(
     target: str,
     lprobs: str,
     pad_is_eos: bool = True,
+    ignore_prefix: int = 0,
 ) -> DataFrame:
     """SC-6: summed loss per sequence over real tokens plus the first pad (the eos).
 
     With a dedicated pad id (``pad_is_eos=False``) only real tokens count. Without a pad
-    all positions count. A target outside the scores fails. One pass with partial sums; no window and no second join, so a
+    all positions count. The first ``ignore_prefix`` positions (from 0) of every sequence are left
+    out, targets and scores. A target outside the scores fails. One pass with partial sums; no window and no second join, so a
     very long sequence is no hot spot.
     """
     found = F.get(F.col(lprobs), F.col(target))
@@ -111,7 +113,7 @@ def masked_nll(
     nll = -F.when(outside, fail.cast(found_type(df, lprobs))).otherwise(found).cast("double")
     is_pad = F.col(target) == pad
     return (
-        df.select(seq, F.col(pos).alias("_pos"), nll.alias("_nll"), is_pad.alias("_pad"))
+        _behind(df, pos, ignore_prefix).select(seq, F.col(pos).alias("_pos"), nll.alias("_nll"), is_pad.alias("_pad"))
         .groupBy(seq)
         .agg(
             F.coalesce(F.sum(F.when(~F.col("_pad"), F.col("_nll"))), F.lit(0.0)).alias("_real"),
@@ -131,8 +133,27 @@ def masked_nll(
     )
 
 
-def token_accuracy(df: DataFrame, pad: int, by: list[str], target: str, scores: str) -> DataFrame:
-    """SC-7: right and counted positions, pads (and so the eos) left out."""
+def _behind(df: DataFrame, pos: str | None, prefix: int) -> DataFrame:
+    """Positions from ``prefix`` on."""
+    if not prefix:
+        return df
+    if pos is None:
+        raise ValueError("a prefix needs the name of the position column")
+    return df.filter(F.col(pos) >= prefix)
+
+
+def token_accuracy(
+    df: DataFrame,
+    pad: int,
+    by: list[str],
+    target: str,
+    scores: str,
+    pos: str | None = None,
+    ignore_prefix: int = 0,
+) -> DataFrame:
+    """SC-7: right and counted positions, pads (and so the eos) left out, and the first
+    ``ignore_prefix`` positions of every sequence with them."""
+    df = _behind(df, pos, ignore_prefix)
     real = F.col(target) != pad
     right = real & (argmax(scores) == F.col(target))
     return df.groupBy(*by).agg(

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.scoring import VOCAB_SIZE
-
 # Sweep axes and the experiments that do not depend on the checkpoint.
 N_SHOTS = [0, 1, 2, 3, 4, 6, 8, 10]
 SEEDS = [0, 1, 2, 3, 4]
@@ -15,22 +13,27 @@ CELL = ["scenarios", "model_tag", "n_shot", "exp", "seed"]
 MIN_SUPPORT = 10
 
 
+# Labels in a block of the pair join, on average.
+LABELS_PER_BLOCK = 512
+
+
 def label_pairs(labels: DataFrame, label: str = "label", pos: str = "pos") -> DataFrame:
     """JN-3: every unordered pair of labels in list order, named ``a_b``.
 
-    The ordered label list (at most one label per vocabulary token, checked) becomes
-    one array and fans out from there, so no table is joined with itself.
+    Labels are dealt over blocks of about 512. A block meets itself and the blocks of higher number, as
+    one row per pair of blocks that holds their two short lists, so a task's memory does not grow with
+    the labels and their pairs are made side by side. A label listed twice counts at its first place.
     """
     once = labels.groupBy(F.col(label).alias("label")).agg(F.min(pos).alias("pos"))
-    listed = once.agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("ls"))
-    checked = listed.filter(
-        F.when(F.size("ls") <= VOCAB_SIZE, F.lit(True)).otherwise(
-            F.raise_error(F.lit("more labels than the vocabulary has tokens"))
-        )
-    )
-    first = checked.select("ls", F.posexplode("ls").alias("i", "a"))
-    rest = F.slice("ls", F.col("i") + 2, F.size("ls"))
-    pairs = first.select("a", F.explode(rest).alias("b"))
+    n = once.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(LABELS_PER_BLOCK)), F.lit(1)).cast("int").alias("n")).scalar()
+    dealt = once.select(F.pmod(F.xxhash64("label"), n).cast("int").alias("_x"), F.struct("pos", "label").alias("l"))
+    blocks = dealt.groupBy("_x").agg(F.collect_list("l").alias("la"))
+    left = blocks.select("*", F.explode(F.sequence("_x", n - 1)).alias("_y"))
+    right = blocks.select(F.col("_x").alias("_y"), F.col("la").alias("lb"))
+    one = left.join(right, "_y").select("_x", "_y", "lb", F.explode("la").alias("p"))
+    mates = F.filter("lb", lambda q: (F.col("_x") < F.col("_y")) | (F.col("p") < q))
+    both = one.select("p", F.explode(mates).alias("q"))
+    pairs = both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     return pairs.select(
         F.concat_ws("_", "a.label", "b.label").alias("scenarios"),
         F.col("a.pos").alias("pos_a"),

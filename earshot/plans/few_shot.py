@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from earshot.functions.keys import order_key
 from earshot.functions.vectors import label_probs
 from earshot.operators.calibration import correctness
-from earshot.operators.ranking import attach, balanced_cut, keep_head, key_bucket
+from earshot.operators.ranking import attach, balanced_cut, keep_head
 from earshot.session import settle
 
 
@@ -37,7 +37,6 @@ def evaluate(
     prior: DataFrame,
     cell: list[str],
     seeds: list[int] | None = None,
-    digits: int = 4,
 ) -> DataFrame:
     """UD-3 from predictions on: balance, calibrate, argmax, accuracy per cell and seed.
 
@@ -58,7 +57,7 @@ def evaluate(
     run, kept = [*base, "seed"], [*base, "seed"] if own else base
     order, group = ["order_key", "id"], [*run, "truth"]
     keys = _per_seed(preds.select(*kept, "id", "truth"), seeds)
-    cut = balanced_cut(keys, "truth", order, key_bucket(F.col("order_key"), digits), run)
+    cut = balanced_cut(keys, "truth", order, None, run)
     by = [c for c in kept if c in prior.columns]
     judged = attach(preds, settle(prior, "prior"), by).select(
         *kept,
@@ -83,11 +82,10 @@ def few_shot_eval(
     label_tokens,
     cell: list[str],
     seeds: list[int] | None = None,
-    digits: int = 4,
 ) -> DataFrame:
     """UD-3: stored or freshly computed score vectors to acc, acc_cf, n_chop per run.
 
     ``seeds`` lists seeds that share the scores; leave it out when ``seed`` is a column.
     """
     kept = [*cell, *(["seed"] if "seed" in scores.columns and "seed" not in cell else [])]
-    return evaluate(predictions(scores, label_tokens, kept), prior, cell, seeds, digits)
+    return evaluate(predictions(scores, label_tokens, kept), prior, cell, seeds)

@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.operators.sweep import CELL
+from earshot.session import settle
 
 LINES_PER_FILE = 1_000_000
 
 
 def write_manifest_pair(
-    df: DataFrame, out: str, root: str = "", lines_per_file: int = LINES_PER_FILE, mode: str = "overwrite"
+    df: DataFrame,
+    out: str,
+    root: str = "",
+    lines_per_file: int = LINES_PER_FILE,
+    mode: str = "overwrite",
+    other_splits: str = "drop",
 ) -> None:
     """SNK-1: ``out/ltr`` (target, prompt, hyp) and ``out/tsv`` (root line; path, frames, target).
 
     ``df`` holds ``split, line_no, target, prompt, hyp, path, n_frames`` with dense line
     numbers. Each file takes one block of line numbers, in order, the same blocks on
     both sides, so the files stay row-aligned and a split of any size is written by
-    many tasks. Tabs and newlines inside a field would break the format: they fail the
-    job (write a hypothesis escaped, ``#`` for tab and ``*`` for newline).
+    many tasks. ``df`` is computed once: both lines of a row are made together and written to the
+    shared folder, and the two sides are written from there, so they agree even where ``df`` would
+    give other rows when asked again, or a task fails on the way. Tabs and newlines inside a field
+    would break the format: they fail the job before anything is written (write a hypothesis escaped,
+    ``#`` for tab and ``*`` for newline). ``other_splits="keep"`` replaces only files of the splits in ``df``.
     """
+    if other_splits not in ("drop", "keep"):
+        raise ValueError("other_splits: 'drop' or 'keep'")
     part = F.floor(F.col("line_no") / F.lit(lines_per_file)).cast("bigint")
-    rows = df.withColumn("part", part)
 
     def field(c):
         s = F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -32,21 +42,27 @@ def write_manifest_pair(
     def line(*names):
         return F.concat_ws("\t", *[field(c) for c in names])
 
+    both = df.select(
+        "split", part.alias("part"), "line_no",
+        line("target", "prompt", "hyp").alias("ltr"), line("path", "n_frames", "target").alias("tsv"),
+    )
+    rows = settle(both, "pair")
+
     def save(lines: DataFrame, where: str) -> None:
         (
             lines.repartition("split", "part")
             .sortWithinPartitions("split", "part", "line_no")
             .select("split", "part", "value")
             .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic" if other_splits == "keep" else "static")
             .partitionBy("split", "part")
             .text(where)
         )
 
-    ltr = rows.select("split", "part", "line_no", line("target", "prompt", "hyp").alias("value"))
-    save(ltr, f"{out}/ltr")
-    tsv = rows.select("split", "part", "line_no", line("path", "n_frames", "target").alias("value"))
-    heads = rows.groupBy("split", "part").agg(
-        F.lit(-1).cast("bigint").alias("line_no"), F.lit(root).alias("value")
+    save(rows.select("split", "part", "line_no", F.col("ltr").alias("value")), f"{out}/ltr")
+    tsv = rows.select("split", "part", "line_no", F.col("tsv").alias("value"))
+    heads = rows.select("split", "part").distinct().select(
+        "split", "part", F.lit(-1).cast("bigint").alias("line_no"), F.lit(root).alias("value")
     )
     save(tsv.unionByName(heads), f"{out}/tsv")
 
