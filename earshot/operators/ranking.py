@@ -153,37 +153,39 @@ def balanced_cut(
     )
 
 
-def _sorted_sums(df: DataFrame, order: list[Column], n: Column, out: str) -> DataFrame:
-    """Sum of ``n`` over all rows before each row by ``order``.
+def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows sorted over all tasks by one range shuffle, written with their task and place in it.
 
-    One range shuffle sorts the rows over all tasks, and the result is written with each row's place.
-    Sums run inside a task; those of the tasks before come from a table of one row per task.
     ``order`` should be unique: rows that compare equal go to one task.
     """
-    rows = settle(df.orderBy(*order).withColumns({"_at": F.monotonically_increasing_id(), "_n": n}), "sorted")
-    rows = rows.withColumn("_task", F.shiftright("_at", 33))
-    sums = rows.groupBy("_task").agg(F.sum("_n").alias("_in"))
-    ahead = Window.unboundedPreceding, -1
-    start = F.coalesce(F.sum("_in").over(Window.orderBy("_task").rowsBetween(*ahead)), F.lit(0))
-    starts = settle(sums.select("_task", start.alias("_start")), "starts")
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_task").orderBy("_at").rowsBetween(*ahead)), F.lit(0))
-    return (
-        rows.withColumn("_before", inside)
-        .join(starts, "_task")
-        .withColumn(out, (F.col("_start") + F.col("_before")).cast("bigint"))
-        .drop("_at", "_n", "_task", "_start", "_before")
-    )
+    rows = settle(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return rows.withColumns({"_task": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _starts(rows: DataFrame, n: Column) -> DataFrame:
+    """Sum of ``n`` over the tasks before each task: one row per task."""
+    sums = rows.groupBy("_task").agg(F.sum(n).alias("_in"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    return settle(sums.select("_task", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start")), "starts")
 
 
 def dense_ids(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Numbers 0, 1, 2 ... over the whole table by ``order`` (BIGINT), without a window over it."""
-    return _sorted_sums(df, order, F.lit(1), out)
+    rows = _sorted(df, order)
+    numbered = rows.join(_starts(rows, F.lit(1)), "_task").withColumn(out, F.col("_start") + F.col("_at"))
+    return numbered.drop("_at", "_task", "_start")
 
 
 def rows_before(df: DataFrame, value: str, out: str = "before") -> DataFrame:
     """Distinct values with ``n`` rows each and how many rows of the table have a smaller one."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return _sorted_sums(counts, [F.col(value)], F.col("n"), out)
+    rows = _sorted(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), [F.col(value)])
+    place = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_before", F.coalesce(F.sum("n").over(place), F.lit(0)))
+    return (
+        inside.join(_starts(rows, F.col("n")), "_task")
+        .withColumn(out, (F.col("_start") + F.col("_before")).cast("bigint"))
+        .drop("_at", "_task", "_start", "_before")
+    )
 
 
 def head_cut(df: DataFrame, group: list[str], order: list[str], bucket: Column, n: int) -> DataFrame:

@@ -217,7 +217,7 @@ def token_budget_batches(
     """
     spark = df.sparkSession
     hist = df.groupBy(F.col(size).cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    hist = settle(hist.withColumn("block", F.floor(F.col("size") / SIZES_PER_BLOCK)), "sizes")
+    hist = hist.withColumn("block", F.floor(F.col("size") / SIZES_PER_BLOCK))
     pieces = hist.groupBy("block").applyInPandas(
         _compose(max_tokens, max_rows), "block bigint, start bigint, slope bigint, value bigint, opened bigint"
     )
@@ -359,69 +359,79 @@ def build_vocab(words: DataFrame, word: str, max_size: int | None = None) -> Dat
     Every symbol gets an id: the table is sorted by one range shuffle and numbered from
     counts per task, so no task holds it whole. ``max_size`` is for a model whose vocabulary has
     that size: the top ``max_size - 1`` symbols, the last id being the shared special one.
-    Written and read back.
     """
     counts = words.groupBy(F.col(word).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
     order = [F.col("n").desc(), F.col("symbol")]
     kept = counts if max_size is None else counts.orderBy(*order).limit(max_size - 1)
     vocab = dense_ids(kept, order, "token_id")
-    return settle(vocab.select(F.col("token_id").cast("int").alias("token_id"), "symbol", "n"), "vocab")
+    return vocab.select(F.col("token_id").cast("int").alias("token_id"), "symbol", "n")
 
 
 # What every task may hold of a vocabulary: the first ids, of symbols of bounded length.
-HOT_SYMBOLS = 300_000
+HOT_SYMBOLS = 1_000_000
 HOT_LENGTH = 64
 
 
-def _hot(vocab: DataFrame) -> DataFrame:
-    """The most frequent symbols: at most HOT_SYMBOLS rows of at most HOT_LENGTH characters."""
-    return vocab.filter((F.col("token_id") < HOT_SYMBOLS) & (F.length("symbol") <= HOT_LENGTH))
-
-
 def _swap(df: DataFrame, keys: list[str], values: str, words: bool, vocab: DataFrame, out: str, rest) -> DataFrame:
     """``values`` of every row looked up in a vocabulary, in whole Arrow batches.
 
-    The frequent part of the vocabulary, bounded in rows and length, is held by every task. Rows whose
-    values are all there are done where they are read. Values that are not (``cold``) meet the rest of
+    The frequent part of the vocabulary (at most HOT_SYMBOLS symbols of at most HOT_LENGTH characters) is
+    held by every task as one Arrow array. Rows whose values are all there are done where they are
+    read; if that is the whole vocabulary, all rows are. Values that are not there meet the rest of
     the vocabulary in a join by value, and only the rows that have some are brought together again.
     ``words``: texts to ids, else ids to symbols. ``rest`` stands for unknown values.
     """
     spark = df.sparkSession
-    hot = _hot(vocab).select("token_id", "symbol").toArrow()
-    pairs = hot.column("symbol").to_pylist(), hot.column("token_id").to_pylist()
-    held = spark.sparkContext.broadcast(dict(zip(*pairs)) if words else dict(zip(*reversed(pairs))))
-    complete = vocab.count() == hot.num_rows
-    from_type, to_type = ("string", "int") if words else ("int", "string")
+    here = (F.col("token_id") < HOT_SYMBOLS) & (F.length("symbol") <= HOT_LENGTH)
+    hot = vocab.filter(here).select("token_id", "symbol").toArrow()
+    complete = vocab.filter(~here | here.isNull()).isEmpty()
+    order = np.argsort(hot.column("token_id").to_numpy())
+    symbols = hot.column("symbol").combine_chunks().take(order)
+    held = spark.sparkContext.broadcast((hot.column("token_id").to_numpy()[order].astype(np.int32), symbols))
     fields = [StructField(k, df.schema[k].dataType) for k in keys]
+    kind, other = (IntegerType(), StringType()) if words else (StringType(), IntegerType())
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        known = held.value
-        kinds = pa.string() if words else pa.int32(), pa.int32() if words else pa.string()
+        ids, names = held.value
         for b in batches:
-            for lo in range(0, len(b), 1000):
-                some = b.slice(lo, 1000)
-                lists = some.column(len(keys)).to_pylist()
-                found, places, cold = [], [], []
-                for v in lists:
-                    v = (v.split() if words else v) if v is not None else []
-                    ids = [known.get(x) for x in v]
-                    missing = [i for i, x in enumerate(ids) if x is None]
-                    if complete and missing:
-                        for i in missing:
-                            ids[i] = rest
-                        missing = []
-                    found.append(ids)
-                    places.append(missing)
-                    cold.append([v[i] for i in missing])
-                cols = [pa.array(found, pa.list_(kinds[1])), pa.array(places, pa.list_(pa.int32())), pa.array(cold, pa.list_(kinds[0]))]
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *cols], names=[*keys, out, "_places", "_cold"])
-
-    schema = StructType(
-        [*fields, StructField(out, ArrayType(_type(to_type))), StructField("_places", ArrayType(IntegerType())),
-         StructField("_cold", ArrayType(_type(from_type)))]
-    )
+            for lo in range(0, len(b), 2000):
+                some = b.slice(lo, 2000)
+                if words:
+                    lists = [t.split() if t else [] for t in some.column(len(keys)).to_pylist()]
+                    n = np.array([len(x) for x in lists], np.int64)
+                    flat = pa.array([w for x in lists for w in x], pa.string())
+                    at = pc.index_in(flat, value_set=names)
+                else:
+                    column = some.column(len(keys))
+                    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+                    flat = pc.list_flatten(column).cast(pa.int32())
+                    at = pc.index_in(flat, value_set=pa.array(ids))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                found = pc.take(pa.array(ids) if words else names, at)
+                miss = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+                if complete and len(miss):
+                    found, miss = pc.fill_null(found, rest), miss[:0]
+                owner = np.searchsorted(ends, miss, side="right") - 1
+                stops = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(some)))])
+                places = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array((miss - ends[owner]).astype(np.int32)))
+                cold = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat.take(pa.array(miss)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], lists, places, cold], names=[*keys, out, "_places", "_cold"])
+
+    def fill(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(len(keys)).to_pylist()
+            for row, late in zip(lists, b.column(len(keys) + 1).to_pylist(), strict=True):
+                for x in late:
+                    row[x["_at"]] = x["_new"]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(lists, b.schema.field(len(keys)).type)], names=[*keys, out])
+
+    schema = StructType([*fields, StructField(out, ArrayType(kind)), StructField("_places", ArrayType(IntegerType())), StructField("_cold", ArrayType(other))])
     rows = df.select(*keys, values).mapInArrow(run, schema)
     if complete:
         return rows.select(*keys, out)
@@ -434,14 +444,9 @@ def _swap(df: DataFrame, keys: list[str], values: str, words: bool, vocab: DataF
         F.col("symbol" if words else "token_id").alias("_value"), F.col("token_id" if words else "symbol").alias("_new")
     )
     answer = asked.join(table, "_value", "left").select("_row", "_at", F.coalesce("_new", F.lit(rest)).alias("_new"))
-    per_row = answer.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_new"))).alias("_m"))
-    filled = F.transform(out, lambda x, i: F.coalesce(x, F.try_element_at("_m", i)))
-    late = open_rows.join(per_row, "_row").select(*keys, filled.alias(out))
-    return done.unionByName(late)
-
-
-def _type(name: str):
-    return StringType() if name == "string" else IntegerType()
+    per_row = answer.groupBy("_row").agg(F.collect_list(F.struct("_at", "_new")).alias("_late"))
+    late = open_rows.join(per_row, "_row").select(*keys, out, "_late")
+    return done.unionByName(late.mapInArrow(fill, StructType([*fields, StructField(out, ArrayType(kind))])))
 
 
 def special_id(vocab: DataFrame) -> int:
