@@ -27,12 +27,14 @@ SYLLABLES = {
     "greek": "βα βε βι δα δε κα κε λι λο μα μι να νο ρα ρι σο".split(),
 }
 ENDINGS = {"latin": ("n", "na", "r"), "cyrillic": ("н", "на", "р"), "greek": ("ς", "να", "ν")}  # male, female, neither
+LONG = 128  # characters of a value beyond which only secrets go
 PLAIN = 4  # draws in an entity's own format; later ones are longer, so that full formats end too
 SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 
 _titles = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 PERSON = rf"(?<!\p{{L}})(?:{_titles})\.?[  ]\p{{Lu}}\p{{Ll}}+(?:[  -]\p{{Lu}}\p{{Ll}}+)?"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+# Labels and domains have a greatest length, so the matcher's depth does not grow with the text.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,126}\p{L}{2,63}"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
@@ -120,11 +122,13 @@ def _value(h: Column, i: Column) -> Column:
 
 
 def _filled(e: Column, h: Column, fixed: Column, hexadecimal: Column) -> Column:
-    """Every letter and digit after the first ``fixed`` characters replaced by one of its kind, case and script."""
+    """Every letter and digit after the first ``fixed`` characters replaced by one of its kind, case and script.
 
-    def one(i: Column) -> Column:
-        c = F.substr(e, i, F.lit(1))
-        place = F.length(F.regexp_replace(F.substr(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+    The draw for a character follows its number among letters and digits, so that spellings of one value get
+    one substitute; in values of more than LONG characters, which have one spelling, its place.
+    """
+
+    def one(c: Column, i: Column, place: Column) -> Column:
         v = _value(h, place)
         # two digits of the draw, so that ten is met evenly
         digit = ((v * 16 + _value(h, place + 61)) % 10).cast("string")
@@ -136,7 +140,13 @@ def _filled(e: Column, h: Column, fixed: Column, hexadecimal: Column) -> Column:
             F.when(i <= fixed, c).when(c.rlike(r"\p{N}"), digit).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), one), "")
+    def short(i: Column) -> Column:
+        before = F.regexp_replace(F.substr(e, F.lit(1), i), r"[^\p{L}\p{N}]", "")
+        return one(F.substr(e, i, F.lit(1)), i, F.length(before))
+
+    every = F.transform(F.sequence(F.lit(1), F.length(e)), short)
+    by_place = F.transform(F.split(e, ""), lambda c, i: one(c, i + 1, i + 1))
+    return F.array_join(F.when(F.length(e) <= LONG, every).otherwise(by_place), "")
 
 
 def _luhn(digits: Column) -> Column:
