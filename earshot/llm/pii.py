@@ -128,6 +128,10 @@ def _filled(e: Column, h: Column, fixed: Column, hexadecimal: Column) -> Column:
     one substitute; in values of more than LONG characters, which have one spelling, its place.
     """
 
+    return _let(e, lambda e: _let(h, lambda h: _replaced(e, h, fixed, hexadecimal)))
+
+
+def _replaced(e: Column, h: Column, fixed: Column, hexadecimal: Column) -> Column:
     def one(c: Column, i: Column, place: Column) -> Column:
         v = _value(h, place)
         # two digits of the draw, so that ten is met evenly
