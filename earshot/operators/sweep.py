@@ -27,7 +27,7 @@ def label_pairs(labels: DataFrame, label: str = "label", pos: str = "pos") -> Da
     once = labels.groupBy(F.col(label).alias("label")).agg(F.min(pos).alias("pos"))
     n = once.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(LABELS_PER_BLOCK)), F.lit(1)).cast("int").alias("n")).scalar()
     dealt = once.select(F.pmod(F.xxhash64("label"), n).cast("int").alias("_x"), F.struct("pos", "label").alias("l"))
-    blocks = dealt.groupBy("_x").agg(F.collect_list("l").alias("la"))
+    blocks = dealt.groupBy("_x").agg(F.array_sort(F.collect_list("l")).alias("la"))
     left = blocks.select("*", F.explode(F.sequence("_x", n - 1)).alias("_y"))
     right = blocks.select(F.col("_x").alias("_y"), F.col("la").alias("lb"))
     one = left.join(right, "_y").select("_x", "_y", "lb", F.explode("la").alias("p"))
