@@ -7,10 +7,13 @@
    each class takes the m whose estimated cost (postings to read, candidates to verify) is least, and
    a pair must share the smaller m of the two.
 3. Shingles that occur in two prefixes or more make candidates: pairs where the posting list is
-   short, the whole list where it is long. What hangs together is a family, dealt into tiles. The prefix
-   tokens of two tiles at once, as products of incidence matrices, tell which members have a candidate
-   there; only their sets are sent to that pair of tiles and verified in the same way.
-4. A tile pair reports its components and each member's number of links, so no group of near copies is
+   short, the whole list where it is long. What hangs together is a family. A large one is parted into
+   bands of set sizes, so wide that only neighbouring bands can link, and a band into tiles by the least
+   prefix token, which near copies mostly share. Two tiles of bands that can link meet with their prefix
+   tokens, as products of incidence matrices. A candidate must also pass the bound that the parity
+   bitmaps of its two sets give: bits that differ are elements that only one set has. What hangs together
+   by the rest is a cluster; only the sets of clusters are sent, each cluster a group of its own, and verified.
+4. A cluster reports its components and each member's number of links, so no group of near copies is
    ever written out as pairs.
 
 Shingles are compared by 64-bit hash, sets by 128-bit digest.
@@ -18,6 +21,8 @@ Shingles are compared by 64-bit hash, sets by 128-bit digest.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +32,11 @@ from earshot.llm.components import components
 HEAVY = 1 << 18  # shingles whose count is kept for the order; the order decides cost, never results
 BLOCK = 1 << 21  # shingles of a task that are counted together
 LONG_LIST = 64  # longer posting lists become families instead of pairs
-TILE = 96  # sets in a tile, as long as a family has at most 32 tiles; larger tiles are compared in strips
-TILE_SHINGLES = 1 << 21
-CELLS = 1 << 22  # cells of the pair matrix that a task holds at a time
+TILE = 1024  # sets in a tile, on average; pairs of tiles are compared in strips
+TILE_SHINGLES = 1 << 19  # and shingles
+BANDS = 1 << 32  # tiles of a band, at most: a tile's number is the band's times this, and its place
+CELLS = 1 << 20  # cells of the pair matrix that a task holds at a time
+FEW = 16  # a shingle in at most m / FEW of m sets is added pair by pair, others in matrix products
 MOST_MATCHES = 4
 SMALL_SIDE = 1_000_000  # rows of ids that may be broadcast
 
@@ -59,40 +66,96 @@ def _digest(s) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def bitmap(s) -> bytes:
+    """Parity of the number of elements at each of 64 bits or more, a power of two not below the set's size."""
+    import numpy as np
+
+    bits = 64 << max(0, (len(s) - 1).bit_length() - 6)
+    count = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bounds:
+    """Which pairs of sets can link, by their bitmaps and sizes; never rules out a pair that does.
+
+    Every bit in which two bitmaps of one width differ stands for an element, or more, that only one
+    of the sets has. The wider bitmap of a pair is folded to the width of the other.
+    """
+
+    def __init__(self, maps: list[bytes], n, percent: int):
+        import numpy as np
+
+        self.maps, self.n, self.percent = maps, n, percent
+        self.width = np.array([len(m) for m in maps], dtype=np.int64)
+        self.levels: dict[int, tuple] = {}
+
+    def _folded(self, width: int) -> tuple:
+        import numpy as np
+
+        if width not in self.levels:
+            at = np.flatnonzero(self.width >= width)
+            rows = np.empty((len(at), width // 8), dtype=np.uint64)
+            for k, i in enumerate(at):
+                m = np.frombuffer(self.maps[i], dtype=np.uint64)
+                rows[k] = np.bitwise_xor.reduce(m.reshape(-1, width // 8), axis=0)
+            place = np.full(len(self.maps), -1, dtype=np.int64)
+            place[at] = np.arange(len(at))
+            self.levels[width] = rows, place
+        return self.levels[width]
+
+    def passed(self, a, b):
+        """For pairs of places: whether they can link."""
+        import numpy as np
+
+        out, widths = np.zeros(len(a), dtype=bool), np.minimum(self.width[a], self.width[b])
+        for width in np.unique(widths):
+            rows, place = self._folded(int(width))
+            pairs = np.flatnonzero(widths == width)
+            step = max(1, 8 * CELLS // int(width))
+            for lo in range(0, len(pairs), step):
+                p = pairs[lo : lo + step]
+                i, j = a[p], b[p]
+                apart = np.bitwise_count(rows[place[i]] ^ rows[place[j]]).sum(axis=1, dtype=np.int64)
+                both = self.n[i] + self.n[j]
+                out[p] = 100 * (both - apart) >= self.percent * (both + apart)
+        return out
+
+
 def _surveyed(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: documents (id, n, x, y: digest) and shingle counts (n: count, x: shingle)."""
+    """Rows of two kinds: documents (id, n, x, y: digest, map) and shingle counts (n: count, x: shingle)."""
 
     def survey(batches):
         import numpy as np
         import pyarrow as pa
 
-        kinds = pa.schema([("doc", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+        kinds = pa.schema([("doc", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("map", pa.binary())])
         block, size = [], 0
 
         def counted():
             u, c = np.unique(np.concatenate(block), return_counts=True)
             u, c = u[c > 1].view(np.int64), c[c > 1]
             no = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), dtype=bool)), no, pa.array(c), pa.array(u), no], schema=kinds)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), dtype=bool)), no, pa.array(c), pa.array(u), no, pa.nulls(len(u), pa.binary())], schema=kinds)
 
         for b in batches:
-            ids, n, x, y = b.column(0).to_pylist(), [], [], []
+            ids, n, x, y, maps = b.column(0).to_pylist(), [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), k)
                 d = _digest(s)
                 n.append(len(s))
                 x.append(d[0])
                 y.append(d[1])
+                maps.append(bitmap(s))
                 block.append(s)
                 size += len(s)
                 if size >= BLOCK:
                     yield counted()
                     block, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(ids)), pa.array(ids, pa.int64()), *(pa.array(v, pa.int64()) for v in (n, x, y))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(ids)), pa.array(ids, pa.int64()), *(pa.array(v, pa.int64()) for v in (n, x, y)), pa.array(maps, pa.binary())], schema=kinds)
         if size:
             yield counted()
 
-    return settle(docs.mapInArrow(survey, "doc boolean, id long, n long, x long, y long"), "survey")
+    return settle(docs.mapInArrow(survey, "doc boolean, id long, n long, x long, y long, map binary"), "survey")
 
 
 def _frequent(survey: DataFrame):
@@ -218,32 +281,48 @@ def _digested(texts: DataFrame, k: int) -> DataFrame:
 def overlaps(sets: list):
     """Strips of the matrix of intersection sizes of sorted hash arrays: first row, rows of the strip.
 
-    No array has more than about ``CELLS`` cells, however many sets there are.
+    No array has more than about ``CELLS`` cells, however many sets there are. The diagonal counts
+    the elements that a set shares with any other.
     """
     import numpy as np
 
     m = len(sets)
-    who = np.repeat(np.arange(m), [len(s) for s in sets])
+    who = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
     _, inv, c = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(c > 1) - 1
     keep = c[inv] > 1
-    who, col = who[keep], shared[inv[keep]]
+    who, col, c = who[keep], shared[inv[keep]], c[c > 1]
     order = np.argsort(col, kind="stable")
-    who, col = who[order], col[order]
-    width = max(1, min(4096, CELLS // m))
-    for top in range(0, m, max(1, CELLS // m)):
-        end = min(m, top + max(1, CELLS // m))
+    who, col, first = who[order], col[order], np.cumsum(c) - c
+    many = c > max(2, m // FEW)
+    wide = np.cumsum(many) - 1
+    dense = many[col]
+    dw, dc, sw, sc = who[dense], wide[col[dense]], who[~dense], col[~dense]
+    width, step = max(1, min(4096, CELLS // m)), max(1, CELLS // m)
+    for top in range(0, m, step):
+        end = min(m, top + step)
         out = np.zeros((end - top, m), dtype=np.float64)
         # columns that the strip's own sets lack add nothing to it
-        own = np.unique(col[(who >= top) & (who < end)])
-        at = np.minimum(np.searchsorted(own, col), max(0, len(own) - 1))
-        met = own[at] == col if len(own) else np.zeros(len(col), dtype=bool)
-        w, a = who[met], at[met]
+        own = np.unique(dc[(dw >= top) & (dw < end)])
+        at = np.minimum(np.searchsorted(own, dc), max(0, len(own) - 1))
+        met = own[at] == dc if len(own) else np.zeros(len(dc), dtype=bool)
+        w, a = dw[met], at[met]
         for lo in range(0, len(own), width):
             i, j = np.searchsorted(a, [lo, lo + width])
             x = np.zeros((m, min(width, len(own) - lo)), dtype=np.float32)
             x[w[i:j], a[i:j] - lo] = 1
             out += x[top:end] @ x.T
+        mine = (sw >= top) & (sw < end)
+        row, of = sw[mine] - top, sc[mine]
+        ends = np.cumsum(c[of])
+        lo = 0
+        while lo < len(of):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
+            k = c[of[lo:hi]]
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            cell = np.repeat(row[lo:hi].astype(np.int64) * m, k) + who[np.repeat(first[of[lo:hi]], k) + place]
+            out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+            lo = hi
         yield top, out
 
 
@@ -263,44 +342,73 @@ class _Roots:
                 self.root[np.isin(self.root, names)] = names[0]
 
 
-def _placed(members: DataFrame, *columns: str) -> DataFrame:
-    """A row for every pair of tiles that a member of ``family, rep, tile, tiles`` takes part in."""
-    each = members.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return each.select("family", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "n", *columns)
-
+def _dealt(members: DataFrame, percent: int) -> DataFrame:
+    """Rows family, rep, tile, ``meets``: tiles that can hold links of a member of ``family, rep, n, least``.
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Adds tile and tiles to ``family, rep, n``."""
+    Small families are one tile. In others two sets can link only if their bands are the same or neighbours.
+    Copies of one least token beyond a quarter of a tile are spread over several.
+    """
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    tiles = F.greatest(F.least(F.lit(32), F.ceil(F.col("m") / TILE)), F.ceil(F.col("s") / TILE_SHINGLES))
-    size = settle(size.select("family", tiles.alias("tiles")), "families")
-    return settle(members.join(size, "family").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))), "tiled")
+    large = settle(size.filter((F.col("m") > TILE) | (F.col("s") > TILE_SHINGLES)).select("family", F.lit(True).alias("large")), "large")
+    # a little wider than the logarithm of the largest ratio of sizes, so that rounding parts no pair
+    band = F.floor(F.log("n") / (1.000001 * math.log(100 / percent))) if percent < 100 else F.col("n")
+    members = members.join(large, "family", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0).cast("long"))
+    members = settle(members.drop("large"), "banded")
+    load = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)
+    bands = settle(members.groupBy("family", "band").agg(F.ceil(load).alias("t")), "bands")
+    beside = lambda by, name: bands.select("family", (F.col("band") + by).alias("band"), F.col("t").alias(name))
+    bands = settle(bands.join(beside(1, "below"), ["family", "band"], "left").join(beside(-1, "above"), ["family", "band"], "left"), "beside")
+    hot = members.join(bands.filter("t > 1").select("family", "band"), ["family", "band"]).groupBy("family", "band", "least")
+    hot = settle(hot.agg(F.ceil(4 * load).alias("parts")).filter("parts > 1"), "hot-tokens")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
+    tiles = lambda by, t: F.when(
+        F.col(t) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(t) - 1), lambda x: (F.col("band") + by) * BANDS + x)
+    ).otherwise(F.array().cast("array<long>"))
+    return settle(
+        members.join(bands, ["family", "band"]).join(hot, ["family", "band", "least"], "left").select(
+            "family", "rep",
+            (F.col("band") * BANDS + F.pmod(F.xxhash64("least", part), F.col("t"))).alias("tile"),
+            F.concat(tiles(-1, "below"), tiles(0, "t"), tiles(1, "above")).alias("meets"),
+        ), "tiled",
+    )
+
+
+def _placed(members: DataFrame, *columns: str) -> DataFrame:
+    """A row for every pair of tiles that a member of ``family, rep, tile, meets`` takes part in."""
+    each = members.withColumn("o", F.explode("meets"))
+    return each.select("family", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "n", *columns)
 
 
 def _candidates(placed: DataFrame, percent: int) -> DataFrame:
-    """Rows rep, i, j: who has a candidate in which pair of tiles, from their shared prefix tokens."""
+    """Rows rep, i, j, cluster: who has a candidate in which pair of tiles, from shared prefix tokens and bitmaps."""
     import numpy as np
     import pandas as pd
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
         rep, n, need, tile = (g[c].to_numpy(np.int64) for c in ("rep", "n", "need", "tile"))
-        some = np.zeros(len(rep), dtype=bool)
-        for top, both in overlaps([np.asarray(t, dtype=np.int64) for t in g["tokens"]]):
-            r = np.arange(top, top + len(both))
-            link = (both >= np.minimum(need[r, None], need)) & (100 * np.minimum(n[r, None], n) >= percent * np.maximum(n[r, None], n))
-            link[r - top, r] = False
-            if i != j:
-                link &= tile[r, None] != tile
-            some[r] = link.any(axis=1)
-        some = rep[some]
-        return pd.DataFrame({"rep": some, "i": np.full(len(some), i), "j": np.full(len(some), j)})
-
-    return placed.groupBy("family", "i", "j").applyInPandas(match, "rep long, i long, j long")
+        some, clusters, bounds = np.zeros(len(rep), dtype=bool), _Roots(rep), Bounds(list(g["map"]), n, percent)
+        if len(rep) > 1 and (i == j or (tile != tile[0]).any()):
+            for top, both in overlaps([np.asarray(t, dtype=np.int64) for t in g["tokens"]]):
+                r = np.arange(top, top + len(both))
+                link = both >= np.minimum(need[r, None], need)
+                link &= 100 * np.minimum(n[r, None], n) >= percent * np.maximum(n[r, None], n)
+                link &= np.arange(len(rep)) > r[:, None]
+                if i != j:
+                    link &= tile[r, None] != tile
+                a, b = np.nonzero(link)
+                ok = bounds.passed(a + top, b)
+                link[a[~ok], b[~ok]] = False
+                some[a[ok] + top] = some[b[ok]] = True
+                clusters.add(top, link)
+        k = int(some.sum())
+        return pd.DataFrame({"rep": rep[some], "i": np.full(k, i), "j": np.full(k, j), "cluster": clusters.root[some]})
+
+    return placed.groupBy("family", "i", "j").applyInPandas(match, "rep long, i long, j long, cluster long")
 
 
 def _verified(members: DataFrame, percent: int) -> DataFrame:
-    """Rows rep, root, links from ``family, i, j, tile, rep, n, copies, shingles``."""
+    """Rows rep, root, links from ``i, j, cluster, tile, rep, n, copies, shingles``."""
     import numpy as np
     import pandas as pd
 
@@ -320,7 +428,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
             links[r] = link @ w
         return pd.DataFrame({"rep": rep, "root": roots.root, "links": links})
 
-    return members.groupBy("family", "i", "j").applyInPandas(verify, "rep long, root long, links long")
+    return members.groupBy("i", "j", "cluster").applyInPandas(verify, "rep long, root long, links long")
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -337,10 +445,11 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         raise ValueError("percent lies in 1 to 100, k is 1 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = _surveyed(docs, k)
-    nodes = survey.filter("doc").select(F.col("id").alias("doc_id"), "n", "x", "y")
+    nodes = survey.filter("doc").select(F.col("id").alias("doc_id"), "n", "x", "y", "map")
     # a class is known by a number of its own: its least doc_id may stand on other texts too
-    classes = nodes.filter("n > 0").groupBy("x", "y").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = nodes.filter("n > 0").groupBy("x", "y").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("map").alias("map"))
+    mapped = settle(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    nodes, classes = nodes.drop("map"), mapped.drop("map")
     heavy, counts = _frequent(survey)
     rows = _prefixes(docs, k, percent, heavy, counts)
     # frequent tokens are shared for certain and may be hot; of the others, those of one class alone go
@@ -361,10 +470,12 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     stars = live.filter((F.col("m") > LONG_LIST) & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
     families = components(settle(pairs.union(stars), "candidates")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    own = live.groupBy("rep").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.collect_list("token").alias("tokens"))
-    dealt = _dealt(families.join(own, "rep"))
-    met = _candidates(_placed(dealt, "need", "tokens"), percent).groupBy("rep").agg(F.collect_list(F.struct("i", "j")).alias("met"))
-    members = settle(dealt.select("rep", "family", "tile").join(met, "rep").join(classes, "rep"), "members")
+    own = live.groupBy("rep").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.min("token").alias("least"), F.collect_list("token").alias("tokens"))
+    own = settle(families.join(own, "rep").join(mapped.select("rep", "map"), "rep"), "own")
+    dealt = _dealt(own.select("family", "rep", "n", "least"), percent)
+    placed = _placed(own.drop("family").join(dealt, "rep"), "need", "tokens", "map")
+    met = _candidates(placed, percent).groupBy("rep").agg(F.collect_list(F.struct("i", "j", "cluster")).alias("met"))
+    members = settle(dealt.select("rep", "tile").join(met, "rep").join(classes, "rep"), "members")
     # classes without an id, or with one that other members have too, are found by digest
     several = settle(members.filter("id is not null").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "several")
     texts = docs.withColumnRenamed("doc_id", "id")
@@ -375,7 +486,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         apart = texts.filter("id is null").unionByName(texts.join(several, "id", "left_semi")).select("text")
         found = found.unionByName(_digested(apart, k).join(lone, ["x", "y"]))
     texts = found.drop("id")
-    sent = _sets(texts, k).withColumn("met", F.explode("met")).select("family", "met.i", "met.j", "tile", "rep", "n", "copies", "shingles")
+    sent = _sets(texts, k).withColumn("met", F.explode("met")).select("met.i", "met.j", "met.cluster", "tile", "rep", "n", "copies", "shingles")
     found = settle(_verified(sent, percent), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # rows that share a doc_id are one node, so its classes belong together

@@ -152,6 +152,53 @@ def test_jaccard_keeps_texts_apart_that_share_an_id(spark, monkeypatch, long_lis
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["n_links"]) for r in got) == sorted((i or -1, len(s), w) for (i, _), s, w in zip(rows, sets, want))
 
 
+@pytest.mark.parametrize("percent", [70, 90, 100])
+def test_jaccard_bands_and_clusters_lose_no_link(spark, monkeypatch, percent):
+    """One family of all sizes: a passage that all share, near copies at the very edge of a band."""
+    for name, value in (("LONG_LIST", 4), ("TILE", 5), ("TILE_SHINGLES", 400), ("CELLS", 300)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(percent)
+    passage, rows = text_of(rng, 6, 10**6), []
+    for n in (10, 11, 12, 20, 22, 45, 50, 90, 100, 101):
+        body = f"{passage} {text_of(rng, n, 10**6)}"
+        rows += [(len(rows) + i, body + "".join(f" extra{rng.random()}" for _ in range(i * n // 20))) for i in range(6)]
+    rows.append((len(rows), rows[3][1]))
+    got = jaccard.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2, percent).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 2, percent)
+    sets = [set(zip(*(t.translate(LOWER).split()[i:] for i in range(2)))) for _, t in rows]
+    want = [sum(j != i and 100 * len(s & o) >= percent * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)]
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((i, w) for (i, _), w in zip(rows, want))
+
+
+@pytest.mark.parametrize("few", [1, 3, 10**6])
+def test_overlaps_by_pairs_and_by_products(monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "CELLS", 64)
+    rng = np.random.default_rng(few)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30))) for _ in range(40)]
+    for top, both in jaccard.overlaps(sets):
+        for r in range(len(both)):
+            assert [both[r, j] for j in range(40) if j != top + r] == [len(np.intersect1d(sets[top + r], s)) for j, s in enumerate(sets) if j != top + r]
+
+
+@pytest.mark.parametrize("percent", [30, 80, 90])
+def test_bitmaps_rule_out_no_link(percent):
+    rng = np.random.default_rng(percent)
+    base, sets = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), []
+    for n in (1, 2, 63, 64, 65, 130, 500, 520, 3000):
+        for share in (1.0, 0.98, 0.9, 0.7, 0.0):
+            own = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            sets.append(np.unique(np.where(rng.random(n) < share, base[:n], own)))
+    n = np.array([len(s) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    linked = 100 * common >= percent * (n[a] + n[b] - common)
+    passed = jaccard.Bounds([jaccard.bitmap(s) for s in sets], n, percent).passed(a, b)
+    assert passed[linked].all() and linked.sum() > 20
+    if percent == 90:  # sizes that differ more are ruled out before
+        assert not passed[(common == 0) & (np.minimum(n[a], n[b]) > 60) & (10 * np.minimum(n[a], n[b]) >= 9 * np.maximum(n[a], n[b]))].any()
+
+
 def test_large_tiles_are_compared_in_strips():
     import tracemalloc
 
