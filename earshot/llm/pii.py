@@ -4,6 +4,11 @@ Entities are found by one pattern and replaced where they stand. A surrogate is
 digest of the entity, so every mention of an entity, however it is spaced or capitalised, gets the same
 one, in every document. The distinct entities of the corpus are checked: where two would get one
 surrogate, or a surrogate is itself an entity of the corpus, another is drawn until none is left.
+
+Persons are found by a title. A given name is drawn by the name alone and ends as the person's gender
+has it: the title's, or where the title tells none, that of the other titled mentions of the full name in
+the corpus if they agree. In a document that has titled persons, their full names and surnames are
+replaced without a title too; a given name that stands alone is not.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ _titles = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 PERSON = rf"(?<!\p{{L}})(?:{_titles})\.?[  ]\p{{Lu}}\p{{Ll}}+(?:[  -]\p{{Lu}}\p{{Ll}}+)?"
 # Labels and domains have a greatest length, so the matcher's depth does not grow with the text.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,126}\p{L}{2,63}"
+PART = "[ \u00a0-]"
+BARE = rf"\p{{Lu}}\p{{Ll}}+(?:{PART}\p{{Lu}}\p{{Ll}}+)?"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
@@ -68,11 +75,39 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _titled(found: Column) -> Column:
+    """The persons with a title among a text's entities."""
+    return F.filter(found, lambda e: e.rlike(f"^(?:{PERSON})$"))
+
+
+def _with_names(persons: Column) -> Column:
+    """The pattern of all entities and of these persons' full names and surnames, whole words only."""
+
+    def names(p: Column) -> Column:
+        return F.struct(F.concat(p["given"], p["surname"]).alias("full"), p["surname"].alias("surname"))
+
+    def pattern(found: Column) -> Column:
+        # full names before surnames, so that the longer one is taken
+        words = F.filter(F.array_union(F.transform(found, lambda n: n["full"]), F.transform(found, lambda n: n["surname"])), lambda w: F.length(w) >= 3)
+        return F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?=\p{Lu})(?:"), F.regexp_replace(F.array_join(words, "|"), PART, PART), F.lit(r")(?!\p{L})"))
+
+    return _let(F.transform(persons, lambda e: _let(_split_person(e), names)), pattern)
+
+
+def mentions(text: Column) -> Column:
+    """``entities`` and the mentions without title of the persons among them, in order."""
+
+    def named(found: Column) -> Column:
+        return _let(_titled(found), lambda p: F.when(F.size(p) > 0, F.regexp_extract_all(text, _with_names(p), F.lit(0))).otherwise(found))
+
+    return _let(entities(text), named)
+
+
 def _kind(e: Column) -> Column:
     is_a = lambda p: e.rlike(f"^(?:{p})$")
     return (
         F.when(is_a(EMAIL), "email").when(is_a(IP), "ip").when(is_a(PHONE), "phone").when(is_a(SSN), "ssn").when(is_a(CARD), "card")
-        .when(is_a(ACCESS), "access").when(is_a(IBAN), "iban").when(is_a(PERSON), "person").otherwise("secret")
+        .when(is_a(ACCESS), "access").when(is_a(IBAN), "iban").when(is_a(PERSON) | is_a(BARE), "person").otherwise("secret")
     )
 
 
@@ -86,6 +121,21 @@ def _split_person(e: Column) -> Column:
     return F.struct(title.alias("title"), given.alias("given"), F.substr(name, F.length(given) + 1).alias("surname"), gender.alias("gender"))
 
 
+def _first(p: Column) -> Column:
+    return F.regexp_replace(p["given"], PART + "$", "")
+
+
+def _full(p: Column) -> Column:
+    return F.concat(_first(p), F.lit(" "), p["surname"])
+
+
+def _neutral(name: Column) -> Column:
+    """A name with the ending that tells no gender, in place of any that surrogates have."""
+    for male, female, neither in ENDINGS.values():
+        name = F.regexp_replace(name, f"(?:{female}|{male}|{neither})$", neither)
+    return name
+
+
 def _canonical(kind: Column, e: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(e))
@@ -96,13 +146,17 @@ def _canonical(kind: Column, e: Column) -> Column:
 
 
 def units(e: Column) -> Column:
-    """What is mapped in an entity: structs kind, canonical, mention. A person's given name and surname are two."""
+    """What is mapped in an entity: structs kind, canonical, mention.
+
+    A person's given name and surname are two; a third, of kind gender, tells the full name and the title's gender.
+    """
     unit = lambda k, c, m: F.struct(k.alias("kind"), c.alias("canonical"), m.alias("mention"))
 
     def of_person(p: Column) -> Column:
-        first = F.regexp_replace(p["given"], r"[  -]$", "")
+        first = _first(p)
         family = unit(F.lit("surname"), p["surname"], p["surname"])
-        return F.when(p["given"] != "", F.array(unit(F.concat(F.lit("given "), p["gender"]), first, first), family)).otherwise(F.array(family))
+        gender = unit(F.lit("gender"), _full(p), p["gender"])
+        return F.when(p["given"] != "", F.array(unit(F.lit("given"), first, first), family, gender)).otherwise(F.array(family))
 
     return _let(
         _kind(e), lambda k: F.when(k == "person", _let(_split_person(e), of_person)).otherwise(F.array(unit(k, _canonical(k, e), e)))
@@ -120,12 +174,16 @@ def _value(h: Column, i: Column) -> Column:
     return F.conv(F.substr(h, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
 
 
-def _filled(e: Column, h: Column, fixed: Column, hexadecimal: Column) -> Column:
-    """Every letter and digit after the first ``fixed`` characters replaced by one of its kind, case and script."""
+def _filled(e: Column, h: Column, fixed: Column, hexadecimal: Column, spaced: bool = True) -> Column:
+    """Every letter and digit after the first ``fixed`` characters replaced by one of its kind, case and script.
 
-    def one(i: Column) -> Column:
-        c = F.substr(e, i, F.lit(1))
-        place = F.length(F.regexp_replace(F.substr(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+    Where mentions of one entity may be ``spaced`` in different ways, a character's draw goes by the letters and
+    digits up to it, which costs the square of the length: for short formats alone. Else it goes by its place.
+    """
+
+    def one(c: Column, before: Column) -> Column:
+        i = before + 1
+        place = F.length(F.regexp_replace(F.substr(e, F.lit(1), i), r"[^\p{L}\p{N}]", "")) if spaced else i
         v = _value(h, place)
         # two digits of the draw, so that ten is met evenly
         digit = ((v * 16 + _value(h, place + 61)) % 10).cast("string")
@@ -137,7 +195,7 @@ def _filled(e: Column, h: Column, fixed: Column, hexadecimal: Column) -> Column:
             F.when(i <= fixed, c).when(c.rlike(r"\p{N}"), digit).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(e, F.lit("(?s)."), F.lit(0)), one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -194,7 +252,7 @@ def surrogate(key: str, kind: Column, canonical: Column, mention: Column, nonce:
         label = F.substr(mention, F.lit(1), F.length(mention) - F.length(value))
         # a value of signs alone has nothing to replace by its kind: letters take its place
         filled = F.when(value.rlike(r"[\p{L}\p{N}]"), value).otherwise(F.repeat(F.lit("x"), F.length(value)))
-        return F.concat(label, _filled(filled, h, none, value.rlike("^[0-9a-f]+$")), _widened(kind, value, h, nonce))
+        return F.concat(label, _filled(filled, h, none, value.rlike("^[0-9a-f]+$"), spaced=False), _widened(kind, value, h, nonce))
 
     def drawn(h: Column) -> Column:
         octet = lambda i: (_value(h, F.lit(i)) * 16 + _value(h, F.lit(i + 1))).cast("string")
@@ -208,14 +266,15 @@ def surrogate(key: str, kind: Column, canonical: Column, mention: Column, nonce:
             .when(kind == "access", 4).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
         )
         return (
-            F.when(kind == "email", F.concat(_filled(local, h, none, no), _widened(kind, local, h, nonce), F.lit("@"), host, F.lit(".example.org")))
+            F.when(kind == "email", F.concat(_filled(local, h, none, no, spaced=False), _widened(kind, local, h, nonce), F.lit("@"), host, F.lit(".example.org")))
             .when(kind == "ip", address)
             .when(kind == "secret", _let(F.regexp_replace(mention, f"^{LABEL}", ""), lambda v: secret(v, h)))
             .when((kind == "surname") | kind.startswith("given"), _name(kind, mention, h, nonce))
             .otherwise(_let(_let(kept, lambda n: F.concat(_filled(mention, h, n, no), _widened(kind, mention, h, nonce))), lambda c: F.when(kind == "card", card(c)).otherwise(c)))
         )
 
-    return _let(_draw(key, kind, canonical, nonce), drawn)
+    # one draw for a given name, whatever its gender
+    return _let(_draw(key, F.substring_index(kind, " ", 1), canonical, nonce), drawn)
 
 
 def nonces(found: DataFrame, key: str) -> DataFrame:
@@ -225,7 +284,7 @@ def nonces(found: DataFrame, key: str) -> DataFrame:
     so the rounds end however full a format is.
     """
     now = settle(found.withColumn("nonce", F.lit(0)), "entities")
-    real = now.select("kind", F.col("canonical").alias("drawn"))
+    real = now.select("kind", F.when(F.col("kind") == "given", _neutral(F.col("canonical"))).otherwise(F.col("canonical")).alias("drawn"))
     while True:
         drawn = now.withColumn("drawn", _canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("canonical"), F.col("mention"), F.col("nonce"))))
         drawn = settle(drawn, "draws")
@@ -240,47 +299,62 @@ def nonces(found: DataFrame, key: str) -> DataFrame:
         )
 
 
+def genders(units: DataFrame) -> DataFrame:
+    """Full names that stand with titles of one gender, and without such a title elsewhere: kind, canonical, nonce.
+
+    ``nonce`` is 1 for male and 2 for female.
+    """
+    said = lambda g: F.bool_or(F.col("mention") == g)
+    seen = units.filter("kind = 'gender'").groupBy("kind", "canonical").agg(said("male").alias("m"), said("female").alias("f"), said("person").alias("p"))
+    return seen.filter("p and m <> f").select("kind", "canonical", F.when(F.col("m"), 1).otherwise(2).alias("nonce"))
+
+
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replaces entities in ``text`` and adds ``n_entities``; all other columns stay.
 
     Found are e-mail and IPv4 addresses, phone, card, social security and account numbers, access keys,
-    values named password, secret, token or key, long hexadecimal ids, and persons after a title. Texts
+    values named password, secret, token or key, long hexadecimal ids, and persons after a title, with the
+    other mentions of their full names and surnames (three letters or more) in the document. A full name
+    that has titles of both genders in the corpus keeps each title's, and is neutral elsewhere. Texts
     without entities stay as they are; null stays null with no entities. Runs jobs over the distinct
-    entities; texts are not shuffled unless draws collide in more documents than a broadcast may hold.
+    entities. Only texts with entities meet a join, and are shuffled only where more of them than a
+    broadcast may hold have collided draws or a gender told elsewhere.
     """
     columns_free(docs, "n_entities", "_m", "_k", "_n")
     # written, as every later step needs the entities and the pattern is what costs
-    rows = settle(docs.withColumn("_m", entities(F.col(text))), "mentions")
-    found = rows.filter(F.size("_m") > 0).select(F.explode(F.flatten(F.transform("_m", units))).alias("u"))
-    found = found.groupBy(F.col("u.kind").alias("kind"), F.col("u.canonical").alias("canonical")).agg(F.min("u.mention").alias("mention"))
-    again = nonces(found, key)
+    rows = settle(docs.withColumn("_m", mentions(F.col(text))), "mentions")
+    plain, rows = rows.filter(F.size("_m") == 0), rows.filter(F.size("_m") > 0)
+    exploded = rows.select(F.explode(F.flatten(F.transform("_m", units))).alias("u")).select("u.*")
+    found = settle(exploded.groupBy("kind", "canonical", "mention").agg(F.lit(1).alias("n")), "units")
+    again = nonces(found.filter("kind <> 'gender'").groupBy("kind", "canonical").agg(F.min("mention").alias("mention")), key)
+    again = settle(again.unionByName(genders(found)), "again")
     name = lambda k, c: F.concat(k, F.lit(":"), c)
     if again.isEmpty():
         nonce = lambda k, c: F.lit(0)
     else:
         # a document's draws by the hash of its entities; what one hash stands for holds for all of them
-        rows = rows.withColumn("_k", F.when(F.size("_m") > 0, F.xxhash64("_m")).otherwise(F.xxhash64(text)))
-        named = rows.filter(F.size("_m") > 0).select("_k", F.explode(F.flatten(F.transform("_m", units))).alias("u"))
+        rows = rows.withColumn("_k", F.xxhash64("_m"))
+        named = rows.select("_k", F.explode(F.flatten(F.transform("_m", units))).alias("u"))
         named = named.select("_k", F.col("u.kind").alias("kind"), F.col("u.canonical").alias("canonical")).distinct().join(again, ["kind", "canonical"])
         maps = named.groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct(name(F.col("kind"), F.col("canonical")), "nonce"))).alias("_n"))
         rows = rows.join(settle(maps, "nonces"), "_k", "left")
         nonce = lambda k, c: F.coalesce(F.try_element_at(F.col("_n"), name(k, c)), F.lit(0))
 
-    draw = lambda k, c, m: _let(nonce(k, c), lambda n: surrogate(key, k, c, m, n))
+    draw = lambda k, c, m: _let(nonce(F.substring_index(k, " ", 1), c), lambda n: surrogate(key, k, c, m, n))
 
     def of_person(p: Column) -> Column:
-        first, mark = F.regexp_replace(p["given"], r"[  -]$", ""), F.regexp_extract(p["given"], r"([  -])$", 1)
-        given = F.concat(draw(F.concat(F.lit("given "), p["gender"]), first, first), mark)
+        mark = F.regexp_extract(p["given"], f"({PART})$", 1)
+        told = F.element_at(F.array(F.lit("person"), F.lit("male"), F.lit("female")), nonce(F.lit("gender"), _full(p)).cast("int") + 1)
+        gender = F.when(p["gender"] == "person", told).otherwise(p["gender"])
+        given = F.concat(_let(F.concat(F.lit("given "), gender), lambda k: _let(_first(p), lambda first: draw(k, first, first))), mark)
         return F.concat(p["title"], F.when(p["given"] != "", given).otherwise(""), draw(F.lit("surname"), p["surname"], p["surname"]))
 
     def replaced(e: Column) -> Column:
         other = lambda k: _let(_canonical(k, e), lambda c: draw(k, c, e))
         return _let(_kind(e), lambda k: F.when(k == "person", _let(_split_person(e), of_person)).otherwise(other(k)))
 
-    between = F.split(text, ENTITY, -1)
+    between = _let(_titled(F.col("_m")), lambda p: F.when(F.size(p) > 0, F.split(text, _with_names(p), -1)).otherwise(F.split(text, ENTITY, -1)))
     put = F.concat(F.transform("_m", replaced), F.array(F.lit("")))
     new = F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, b)), "")
-    return rows.select(
-        *[F.when(F.size("_m") > 0, new).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.size("_m").cast("long").alias("n_entities"),
-    )
+    changed = rows.select(*[new.alias(text) if c == text else F.col(c) for c in docs.columns], F.size("_m").cast("long").alias("n_entities"))
+    return changed.unionByName(plain.select(*docs.columns, F.lit(0).cast("long").alias("n_entities")))

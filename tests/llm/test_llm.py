@@ -429,6 +429,23 @@ def test_surrogates(spark, empty):
     assert pii.pseudonymize(empty, "k").count() == 0
 
 
+def test_persons_keep_one_name_with_and_without_titles(spark):
+    rows = [
+        (1, "Mr Jan Berg and Dr Jan Berg met Jan Berg. Berg left; Bergen did not, Jan Bergmann neither."), (2, "Prof. Jan Berg spoke"),
+        (3, "Jan Berg alone"), (4, "Mrs Kim Lee, Mr Kim Lee, Dr Kim Lee"), (5, "token=" + "aB3-" * 2000), (6, "Dr Jan\u00a0Berg"), (7, None),
+    ]
+    docs = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, given string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs, "k").collect()}
+    assert [r["given"] for _, r in sorted(got.items())] == [t for _, t in rows]
+    a, b, c, d, e = re.fullmatch(r"Mr (\w+) (\w+) and Dr (\w+ \w+) met (\w+ \w+)\. (\w+) left; Bergen did not, Jan Bergmann neither\.", got[1]["text"]).groups()
+    assert c == d == f"{a} {b}" and e == b and "Berg" not in (b, e) and a.endswith("n") and got[1]["n_entities"] == 4
+    assert got[2]["text"] == f"Prof. {a} {b} spoke" and got[6]["text"] == f"Dr {a}\u00a0{b}"  # the gender is told in another document
+    assert got[3]["text"] == "Jan Berg alone" and got[3]["n_entities"] == 0 and got[7]["text"] is None
+    she, he, both = re.fullmatch(r"Mrs (\w+) \w+, Mr (\w+) \w+, Dr (\w+) \w+", got[4]["text"]).groups()
+    assert she.endswith("na") and he == she[:-1] and both == she[:-2] + "r"
+    assert re.fullmatch(r"token=(?:[a-p][A-P]\d-){2000}", got[5]["text"])
+
+
 def test_surrogates_that_collide_are_drawn_again(spark):
     ids = [f"{i:03d}-{i % 90 + 10}-{i + 1000}" for i in range(40)]
     found = spark.createDataFrame([("octet", i, i) for i in ids], "kind string, canonical string, mention string")
