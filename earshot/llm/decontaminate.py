@@ -18,8 +18,11 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BLOCK_WORDS = 500_000  # words of the test set that a task holds at a time
 
 
-def word_hashes(text: str | None):
-    """Hashes of a text's words in lower case. Words are runs of letters and digits; in ASCII, all else parts them."""
+def word_spans(text: str | None):
+    """A text's bytes in lower case, and the first byte and size of every word.
+
+    Words are runs of letters and digits; in ASCII, all else parts them.
+    """
     import numpy as np
 
     raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -33,10 +36,17 @@ def word_hashes(text: str | None):
             inside[np.minimum(np.asarray(at, dtype=np.int64) + k, len(raw) - 1)] = False
     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return raw, first, last - first
+
+
+def span_hashes(raw, first, size):
+    """Hashes of spans of bytes."""
+    import numpy as np
+
     if not len(first):
         return np.array([], dtype=np.uint64)
-    # Horner's rule for all words at once, by place in the word
-    h, size = np.full(len(first), 7, dtype=np.uint64), last - first
+    # Horner's rule for all spans at once, by place in the span
+    h = np.full(len(first), 7, dtype=np.uint64)
     wide = raw.astype(np.uint64)
     open_ = np.arange(len(first))
     for k in range(int(size.max())):
@@ -45,6 +55,11 @@ def word_hashes(text: str | None):
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def word_hashes(text: str | None):
+    """Hashes of a text's words in lower case."""
+    return span_hashes(*word_spans(text))
+
+
 def run_hashes(words, n: int):
     """Karp-Rabin hashes of all runs of n words."""
     import numpy as np

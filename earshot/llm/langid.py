@@ -95,15 +95,16 @@ def _fit(bags: list, y, n_labels: int, epochs: int, seed: int):
 
 
 def train(examples: DataFrame, label: str = "lang", per_label: int = 800, keep: float = 0.999, epochs: int = 4, seed: int = 7) -> LanguageModel:
-    """Fits on ``text`` and a label, on a bounded sample of about ``per_label`` rows of every label.
+    """Fits on ``text`` and a label, on a bounded sample of about ``per_label`` different texts of every label.
 
-    The sample is drawn by a hash of the text; its bags of subwords come to the driver. A fifth of it
+    The sample is drawn by a hash of the text, and copies count once; its bags of subwords come to the driver. A fifth of it
     is held back: it sets the temperature (least log loss) and the rejection level, the highest score,
     at most 0.5, that ``keep`` of the held-back texts reach. Rows without label or letters are left out.
     At most 1,000 labels.
     """
     rows = examples.select(F.col(label).alias("label"), "text").filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(1001).collect()}
+    different = F.approx_count_distinct(F.xxhash64("text")).alias("n")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(different).limit(1001).collect()}
     if len(counts) > 1000:
         raise ValueError("more than 1,000 labels")
     if not counts:
@@ -123,7 +124,7 @@ def train(examples: DataFrame, label: str = "lang", per_label: int = 800, keep:
                 out.append((u.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["label", "ids", "n"])
 
-    drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), 1_000_000) < share * 1_000_000)
+    drawn = rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), 1_000_000) < share * 1_000_000).dropDuplicates(["label", "text"])
     found = sorted(drawn.mapInArrow(bag, "label string, ids binary, n binary").collect(), key=lambda r: (r["label"], bytes(r["ids"])))
     labels = sorted(counts)
     bags, y = [], []

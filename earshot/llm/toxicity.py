@@ -8,15 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.common import columns_free
-from earshot.llm.decontaminate import word_hashes
+from earshot.llm.decontaminate import span_hashes, word_spans
 
 POSITIVES = 4_000  # about as many confirmed examples are drawn at most
 UNLABELLED = 12_000  # and as many unlabelled texts
+BEGINNINGS = (4, 6)  # bytes of a longer word that are a feature of their own
+TIMES = 4
+SIZES = np.arange(4, 20, dtype=np.uint64)
+SUPPORT = 5  # different positives that use a feature, at least
 
 
 def _features(text: str | None):
-    """Distinct word hashes of a whole text."""
-    return np.unique(word_hashes(text))
+    """Distinct hashes of a whole text's words, and of the beginnings of longer ones: rare forms of a word share them.
+
+    The second to ``TIMES``-th use of each has a hash of its own, so a word that a long text holds once says less.
+    """
+    raw, first, size = word_spans(text)
+    found = [span_hashes(raw, first, size)]
+    for n in BEGINNINGS:
+        more = first[size > n]
+        found.append(span_hashes(raw, more, np.full(len(more), n)) ^ np.uint64(n))
+    each, n = np.unique(np.concatenate(found), return_counts=True)
+    again = [each[n >= k] * np.uint64(2 * k + 1) for k in range(2, TIMES + 1)]
+    # a size class of the text: k where it has 2 ** k words or more
+    return np.unique(np.concatenate([SIZES[np.uint64(len(first)) >> SIZES > 0], each, *again]))
 
 
 class ToxicityModel:
@@ -65,8 +80,8 @@ def train(texts: DataFrame, labels: DataFrame, prior: float | None = None, posit
 
     Positives are the texts labelled 1, all other texts are unlabelled: labels of 0 are not used to learn.
     ``prior``, the share of toxic texts among all, is by default the share of 1 among the labels. The
-    sample is bounded (about ``positives`` and ``unlabelled`` rows, drawn by a hash of the id); word hashes
-    of the sample come to the driver. Features are the words that positives use clearly more often (see ``associated``). Rows without
+    sample is bounded (about ``positives`` and ``unlabelled`` rows, drawn by a hash of the id); feature hashes
+    of the sample come to the driver. Features are the words and beginnings of words that positives use clearly more often (see ``associated``). Rows without
     label, text or doc_id are unlabelled or left out; without any positive the score is the prior.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic is not null")
@@ -97,16 +112,20 @@ def train(texts: DataFrame, labels: DataFrame, prior: float | None = None, posit
     found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["f"])))
     bags = [np.frombuffer(r["f"], dtype=np.uint64) for r in found]
     is_p = np.array([r["p"] == 1 for r in found], dtype=bool)
+    return fit(bags, is_p, draws_u(found, seed, share_u), prior)
+
+
+def fit(bags: list, is_p, in_u, prior: float) -> ToxicityModel:
+    """The model of drawn bags of features; flags tell the positives and the unlabelled sample."""
     if not is_p.any():
         return ToxicityModel(np.array([], dtype=np.uint64), np.array([]), float(np.log(prior / (1 - prior))))
-    words = associated([b for b, p in zip(bags, is_p, strict=True) if p], [b for b, u in zip(bags, draws_u(found, seed, share_u), strict=True) if u])
+    words = associated([b for b, p in zip(bags, is_p, strict=True) if p], [b for b, u in zip(bags, in_u, strict=True) if u])
     if not len(words):
         return ToxicityModel(words, np.array([]), float(np.log(prior / (1 - prior))))
     x = np.zeros((len(bags), len(words)), dtype=np.float32)
     for i, b in enumerate(bags):
         at = np.minimum(np.searchsorted(words, b), len(words) - 1)
         x[i, at[words[at] == b]] = 1
-    in_u = draws_u(found, seed, share_u)
     weights, bias = nnpu(x[is_p], x[in_u] if in_u.any() else x, prior)
     a, b = calibrated(x[is_p] @ weights + bias, x[in_u] @ weights + bias if in_u.any() else x @ weights + bias, prior)
     return ToxicityModel(words, a * weights, a * bias + b)
@@ -136,9 +155,16 @@ def calibrated(positive, unlabelled, prior: float, rounds: int = 100) -> tuple[f
 
 
 def associated(positive: list, unlabelled: list):
-    """Words that positives use clearly more often than unlabelled texts: twice as often, by six standard
-    errors (many words are tried), and in a fiftieth of them at least."""
+    """Features that positives use clearly more often than unlabelled texts: twice as often, by six standard
+    errors (many are tried), and in ``SUPPORT`` different positives.
+
+    The support is a count, not a share, so that a language with few of the positives has features too. Near
+    copies would lift every rare word of theirs over it: positives that agree in two smallest hashes count once.
+    The size classes of texts are features in any case.
+    """
     empty = [np.array([], dtype=np.uint64)]
+    mixed = [tuple(int((b * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)) if len(b) else () for b in positive]
+    positive = list({m: b for m, b in zip(reversed(mixed), reversed(positive), strict=True)}.values())
     words, n = np.unique(np.concatenate(empty + positive), return_counts=True)
     every, m = np.unique(np.concatenate(empty + unlabelled), return_counts=True)
     seen = np.zeros(len(words))
@@ -148,7 +174,7 @@ def associated(positive: list, unlabelled: list):
     rate = (seen + 1) / (len(unlabelled) + 1)
     share = n / max(1, len(positive))
     sure = (share - rate) / np.sqrt(rate * (1 - np.minimum(rate, 0.999)) / max(1, len(positive)))
-    return words[(n >= max(3, len(positive) / 50)) & (share >= 2 * rate) & (sure >= 6)]
+    return np.unique(np.concatenate([SIZES, words[(n >= SUPPORT) & (share >= 2 * rate) & (sure >= 6)]]))
 
 
 def draws_u(found: list, seed: int, share: float):

@@ -278,6 +278,16 @@ def test_language_id(spark, docs):
     assert langid.train(df.limit(0)).labels == ["und"]
 
 
+def test_language_sample_takes_copies_once(spark, monkeypatch):
+    rows = [(f"the of thing number {chr(97 + i % 26)}{chr(97 + i // 26)}", "aa") for i in range(200)]
+    copies = spark.createDataFrame(rows, "text string, lang string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("n")
+    sizes, real = [], langid._fit
+    monkeypatch.setattr(langid, "_fit", lambda bags, *a: sizes.append(len(bags)) or real(bags, *a))
+    langid.train(copies, per_label=300)
+    langid.train(copies, per_label=20)
+    assert sizes[0] == 160 and 1 <= sizes[1] <= 40
+
+
 def test_toxicity_learns_from_positives_only(spark):
     rng = random.Random(4)
     rows = [(i, text_of(rng, 40, 60) + (" vile rotten" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(1600)]
@@ -290,6 +300,30 @@ def test_toxicity_learns_from_positives_only(spark):
     assert len(toxicity.train(df.select("doc_id", "text"), df.limit(0).select("doc_id", "toxic")).words) == 0
 
 
+def test_toxicity_finds_rare_forms_in_a_language_with_few_positives(spark):
+    rng = random.Random(6)
+    few = ["bomen" + "".join(rng.choice("aeiorst") for _ in range(4)) for _ in range(60)]  # no form is frequent
+    rows = []
+    for i in range(3000):
+        rare, toxic = i % 10 == 0, rng.random() < 0.15
+        words = text_of(rng, 40, 60).split()
+        words = [w + "ez" for w in words] if rare else words
+        rows.append((i, " ".join(words + (rng.sample(few, 3) if rare else ["vile", "rotten"]) * toxic), int(toxic), rare))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, rare boolean")
+    seen = df.filter("doc_id % 3 <> 1")
+    got = toxicity.score(df.filter("doc_id % 3 = 1"), toxicity.train(seen.select("doc_id", "text"), seen.select("doc_id", "toxic"))).collect()
+    for rare in (True, False):
+        own = [r for r in got if r["rare"] == rare]
+        assert np.mean([r["predicted"] for r in own if r["toxic"]]) >= 0.8 and np.mean([r["predicted"] for r in own if not r["toxic"]]) <= 0.02
+
+
+def test_near_copies_lift_no_rare_word():
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(1 << 40, 1 << 60, n, dtype=np.uint64))
+    copied, other = draw(300), [draw(300) for _ in range(50)]
+    assert len(toxicity.associated([copied] * 20 + other[:20], other)) == len(toxicity.SIZES)
+
+
 def test_quality_statistics_and_outliers(spark, docs, empty):
     odd = [(t, i) for i, (_, t) in enumerate(odd_rows())] + [("a b c d e f g h a b c d e f g h x\na\na\n\n", 90), ("#$ %&|<>* " * 30, 91)]
     df = spark.createDataFrame(odd, "text string, i int")
