@@ -9,17 +9,16 @@ from earshot.llm.common import kept
 # Words are tokenised on their own where white space cannot matter: printable characters up to
 # U+024F have no compositions, and tab, line feed, carriage return and blank are plain separators.
 _plain = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-_CACHE = 250_000
-_ONCE = 1_000_000
+_CACHE = 150_000
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space, so the ids of a plain text are those of its words in a row;
-    ids of a word are looked up, and asked of the library where they are not known. Other texts, and those that might
-    hold special tokens, go to the library whole. The cache is emptied when it is full, so its
-    memory is bounded.
+    The tokenizer drops white space and case, so the ids of a plain text are those of its words in lower case in
+    a row. The distinct words of the texts are looked up, and asked of the library where they are not known. Other
+    texts, and those that might hold special tokens, go to the library whole. Words are kept in two dictionaries:
+    when the younger is full it becomes the older, and what was only in the older is gone, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -31,8 +30,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.once: set[int] = set()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.tokenize = self.tokenizer.model.tokenize
         # byte-level models write bytes as characters: printable ones as themselves, the others from 256 on
@@ -41,11 +40,11 @@ class Encoder:
         self.special = tuple(t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values())
         probe = ["Ab thing, was. it's x", "a\tb\n c", "über straße: no!"]
         self.by_word = all(self._whole(t) == b"".join(self._whole(w) for w in t.split()) for t in probe)
-        # a word of letters is one unit of the model
-        self.letters = self.by_word and all(
-            self._model(w) == self._whole(w) for w in ("Thing", "zxqvw", "AND", "onerntat", "über", "Élève", "STRAẞE", "ñandúřž")
-        ) and all(self._model("thing") + self._whole(p) == self._whole("thing" + p) for p in ",.")
         self.marks = {p: self._whole(p) for p in ",."}
+        # a word of letters is one unit of the model, whatever its case
+        self.letters = self.by_word and all(
+            self._model(w.lower()) == self._whole(w) for w in ("Thing", "zxqvw", "AND", "onerntat", "über", "Élève", "STRAẞE", "ñandúřž")
+        ) and all(self._whole(w) + m == self._whole(w + p) for p, m in self.marks.items() for w in ("thing", "Élève"))
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
@@ -53,30 +52,29 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _model(self, word: str) -> bytes:
-        word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letter)
         raw = self.raw
         return b"".join([raw[t.id] for t in self.tokenize(word)])
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not in the cache. Those met a second time go there: most words never are."""
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words in lower case, from the library."""
         import numpy as np
 
-        cache, rest, new = self.cache, [], {}
-        for w in words:
-            if self.letters and "\u0130" not in w:
+        new, rest = {}, words
+        if self.letters:
+            model, young, old, marks, rest, other = self._model, self.young, self.old, self.marks, [], []
+            for w in words:
                 if w.isalpha():
-                    new[w] = self._model(w)
-                    continue
+                    new[w] = model(w)
+                else:
+                    other.append(w)
+            for w in other:
                 stem = w[:-1]
-                if w[-1] in self.marks and stem.isalpha():
-                    ids = new.get(stem) or cache.get(stem)
-                    if ids is None:
-                        ids = self._model(stem)
-                    new[w] = ids + self.marks[w[-1]]
-                    continue
-            rest.append(w)
+                if w[-1] in marks and stem.isalpha():
+                    new[w] = (new.get(stem) or young.get(stem) or old.get(stem) or model(stem)) + marks[w[-1]]
+                else:
+                    rest.append(w)
         for lo in range(0, len(rest), 2000):
             some = rest[lo : lo + 2000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -85,39 +83,42 @@ class Encoder:
             cut = np.searchsorted(np.asarray([o[0] for o in found.offsets]), ends[:-1], side="left")
             at, raw = [0, *(4 * cut).tolist(), 4 * len(ids)], ids.tobytes()
             new.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-        if len(self.once) > _ONCE:
-            self.once.clear()
-        marks = {w: hash(w) for w in new}
-        again = [w for w, h in marks.items() if h in self.once]
-        if len(cache) + len(again) > _CACHE:
-            cache.clear()
-        cache.update((w, new[w]) for w in again)
-        self.once.update(marks.values())
         return new
 
+    def _ids(self, words: set[str]) -> dict[str, bytes]:
+        young, old = self.young, self.old
+        found, new = {}, []
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                young[w] = ids
+            found[w] = ids
+        learned = self._learn(new)
+        found.update(learned)
+        young.update(learned)
+        if len(young) > _CACHE:
+            self.old, self.young = young, {}
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         out, waiting = [], []
-        missing: set[str] = set()
-        get = self.cache.get
         for t in texts:
             if not t:
                 out.append(b"")
-            elif not self.by_word or not _plain.fullmatch(t) or any(s in t for s in self.special):
+            elif not self.by_word or "\u0130" in t or not _plain.fullmatch(t) or any(s in t for s in self.special):
                 out.append(self._whole(t))
             else:
-                words = t.split()
-                parts = list(map(get, words))
-                if None in parts:
-                    missing.update(w for w, p in zip(words, parts, strict=True) if p is None)
-                    waiting.append((len(out), words, parts))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(parts))
-        if missing:
-            new = self._learn(missing)
-            for k, words, parts in waiting:
-                out[k] = b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)])
+                waiting.append((len(out), (t.lower() if self.letters else t).split()))
+                out.append(b"")
+        if waiting:
+            ids = self._ids(set().union(*[words for _, words in waiting])).__getitem__
+            for k, words in waiting:
+                out[k] = b"".join(map(ids, words))
         return out
 
 
