@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from earshot.catalog.roles import label_lines, manifest, sql_strip, sql_words, table, tasks
-from earshot.functions.edits import char_edits, word_edits
+from earshot.functions.edits import char_edits, text_edits, word_edits
 from earshot.functions.text import split_words
 from earshot.operators.errors import error_rates
 from earshot.plans.corpus import training_items
@@ -56,9 +56,8 @@ def sc2(spark, sf):
 
 def sc_docs(spark, sf):
     p = _doc_pairs(spark, sf)
-    return p.select(
-        "doc_id", char_edits("ref", "hyp").alias("char_edits"), word_edits("ref", "hyp").alias("word_edits")
-    )
+    chars, words = text_edits("ref", "hyp")
+    return p.select("doc_id", chars.alias("char_edits"), words.alias("word_edits"))
 
 
 def _rounded(r):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.edits import char_edits, word_edits
+from earshot.functions.edits import char_edits, text_edits, word_edits
 from earshot.functions.text import split_words
 
 
@@ -24,6 +24,7 @@ def edit_counts(
     over that many tasks; without it one input split is one task.
     """
     rows = df.repartition(spread, *spread_by) if spread else df
+    chars, words = text_edits(ref, hyp) if long_texts else (char_edits(ref, hyp, False), word_edits(ref, hyp))
     given = F.col(hyp).isNotNull() & F.col(ref).isNotNull()
 
     def count(c):
@@ -31,9 +32,9 @@ def edit_counts(
 
     return rows.withColumns(
         {
-            "num_char_errors": count(F.coalesce(char_edits(ref, hyp, long_texts), F.lit(0))),
+            "num_char_errors": count(F.coalesce(chars, F.lit(0))),
             "num_chars": count(F.length(ref)),
-            "num_word_errors": count(F.coalesce(word_edits(ref, hyp), F.lit(0))),
+            "num_word_errors": count(F.coalesce(words, F.lit(0))),
             "num_words": count(F.size(split_words(ref))),
         }
     )

@@ -96,6 +96,46 @@ def test_bit_edits_of_long_texts_that_stray_from_the_diagonal():
         assert E.bit_edits(a, b) == E.bit_edits(a, b, reach=1, chunk=7) == brute(a, b)
 
 
+_words = st.lists(st.sampled_from(["a", "b", "ab", "ba", "é", "", "c\td", "ccc"]), max_size=30).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_words, _words)
+def test_text_distances(a, b):
+    assert E.char_distance(a, b) == brute(a, b)
+    assert E.word_distance(a, b) == brute(a.split(), b.split())
+    assert E.both_distances(a, b) == (brute(a, b), brute(a.split(), b.split()))
+
+
+def test_text_distances_of_damaged_copies(monkeypatch):
+    """Copies with lost and overwritten words: only the stretches that differ meet the dynamic program."""
+    r = random.Random(11)
+    whole = E._band_edits
+    widths = []
+
+    def seen(b, m, *rest):
+        widths.append(m)
+        return whole(b, m, *rest)
+
+    for n_words, size in ((5000, 200), (20, 600)):
+        names = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(n_words)]
+        a = [r.choice(names) for _ in range(size)]
+        b = ["#" * len(w) if r.random() < 0.1 else w for w in a if r.random() > 0.15]
+        want = brute(" ".join(a), " ".join(b)), brute(a, b)
+        assert E.both_distances(" ".join(a), " ".join(b)) == want
+        assert E.both_distances(" ".join(b), " ".join(a)) == want
+        a, b = a + ["x"] * 5 + a[::-1], b[::-1]
+        assert E.both_distances(" ".join(a), " ".join(b)) == (E.bit_edits(" ".join(a), " ".join(b)), E.bit_edits(a, b))
+    monkeypatch.setattr(E, "_band_edits", seen)
+    a = [f"w{i}" for i in range(20000)]
+    b = ["#" * len(w) if i % 11 == 0 else w for i, w in enumerate(a) if i % 7]
+    chars, words = E.both_distances(" ".join(a), " ".join(b))
+    lost = [w for i, w in enumerate(a) if i % 7 == 0]
+    over = [w for i, w in enumerate(a) if i % 7 and i % 11 == 0]
+    assert (chars, words) == (sum(map(len, lost)) + len(lost) + sum(map(len, over)), len(lost) + len(over))
+    assert max(widths, default=0) < 100
+
+
 def test_edit_columns_on_short_and_long_texts(spark):
     r = random.Random(3)
     words = ["ab", "é", "cde", "f", "gh", "漢", "i"]
@@ -115,6 +155,15 @@ def test_edit_columns_on_short_and_long_texts(spark):
         assert word == brute(ref.split(), hyp.split())
 
 
+def test_text_edits_are_both_columns(spark):
+    text = " ".join(f"w{i % 37}" for i in range(400))
+    pairs = [("a b", "a c"), ("", ""), (None, "x"), ("x", None), (text, text.replace(" w5", "")), (text, text[::-1]), (text, "")]
+    df = spark.createDataFrame(pairs, ["r", "h"])
+    got = df.select(E.char_edits("r", "h"), E.word_edits("r", "h"), *E.text_edits("r", "h")).collect()
+    assert all(x[:2] == x[2:] for x in map(tuple, got))
+    assert tuple(got[2][2:]) == tuple(got[3][2:]) == (None, None)
+
+
 def test_vectors_match_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, 16)) * 8
