@@ -41,27 +41,37 @@ def collate(df: DataFrame, batch: list[str], tokens: str, pad) -> DataFrame:
     )
 
 
+POSITIONS_PER_TASK = 1 << 20
+
+
 def position_ids_long(df: DataFrame, seq: list[str], pos: str, mask: str, out: str = "position_id"):
     """WN-4, one row per position: running count of kept slots minus 1, masked slots get 1.
 
     ``pos`` is a unique whole number per sequence. Sums per block of 65,536 positions
-    are shifted by the blocks before, so one endless sequence is no single task.
+    are shifted by the blocks before, so one endless sequence is no single task. What was kept
+    before a block stands in front of its rows as a row of its own, so rows are sorted once and joined with
+    nothing; they are dealt over tasks of about POSITIONS_PER_TASK rows, counted first.
     """
+    spark = df.sparkSession
+    kept = F.col(mask).cast("bigint")
     rows = df.withColumn("_block", F.floor(F.col(pos) / F.lit(LINES_PER_BUCKET)).cast("bigint"))
-    sums = rows.groupBy(*seq, "_block").agg(F.sum(F.col(mask).cast("bigint")).alias("_s"))
+    sums = rows.groupBy(*seq, "_block").agg(F.sum(kept).alias("_s"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*seq).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *seq, "_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start")
+    starts = settle(
+        sums.select(*seq, "_block", "_n", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_kept")), "starts"
     )
-    inner = Window.partitionBy(*seq, "_block").orderBy(pos)
-    running = F.sum(F.col(mask).cast("bigint")).over(
-        inner.rowsBetween(Window.unboundedPreceding, 0)
+    total = starts.agg(F.sum("_n")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // POSITIONS_PER_TASK))
+    both = rows.withColumns({"_kept": kept, "_row": F.lit(True)}).unionByName(
+        starts.drop("_n").withColumn("_row", F.lit(False)), allowMissingColumns=True
     )
+    running = Window.partitionBy(*seq, "_block").orderBy("_row", pos).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        join_on(rows.withColumn("_sum", running), settle(starts, "starts"), [*seq, "_block"])
-        .withColumn("_run", F.col("_start") + F.col("_sum") - 1)
+        both.repartition(n, *seq, "_block")
+        .withColumn("_run", F.sum("_kept").over(running) - 1)
+        .filter("_row")
         .withColumn(out, F.when(F.col(mask) == 1, F.col("_run")).otherwise(F.lit(1)).cast("bigint"))
-        .drop("_block", "_start", "_sum", "_run")
+        .drop("_block", "_kept", "_row", "_run")
     )
 
 

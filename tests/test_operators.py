@@ -327,6 +327,20 @@ def test_position_ids_long(spark):
     assert got == want
 
 
+def test_position_ids_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(Q, "POSITIONS_PER_TASK", 100)
+    rows = [(i % 3 or None, i * 1000, i % 2 if i % 5 else None, str(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s int, p bigint, m int, t string")
+    out = Q.position_ids_long(df, ["s"], "p", "m")
+    assert out.columns == ["s", "p", "m", "t", "position_id"]
+    assert out.rdd.getNumPartitions() == 30
+    n, want = {}, {}
+    for s, p, m, t in rows:
+        n[s] = n.get(s, 0) + (m or 0)
+        want[(s, p, m, t)] = n[s] - 1 if m == 1 else 1
+    assert {tuple(r)[:4]: r.position_id for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("max_tokens, max_rows", [(100, None), (60, 3), (7, 2), (1, None)])
 def test_batches_match_one_loop(spark, max_tokens, max_rows):
     rng = random.Random(max_tokens)
