@@ -38,18 +38,34 @@ def _bisected(generate: Callable, columns: list[list]) -> tuple[list, list]:
     return first[0] + second[0], first[1] + second[1]
 
 
+# Characters of input whose texts are held at a time, in the task's Python and on the way back.
+PART = 1 << 20
+
+
+def _parts(columns: list[list], n: int, step: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, whole multiples of ``step`` but the last, of about PART characters."""
+    lo = size = 0
+    for hi in range(step, n + step, step):
+        size += sum(len(v) if isinstance(v, (str, bytes)) else 64 for c in columns for v in c[hi - step : hi])
+        if size >= PART or hi >= n:
+            yield lo, min(hi, n)
+            lo, size = hi, 0
+
+
 def _runner(make_generator: Callable, inputs: list[str], batch_size: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = make_generator()
         generate = made if batch_size else lambda *columns: [made(*values) for values in zip(*columns)]
+        step = batch_size or 1
         for rows in batches:
             columns = [rows[c].tolist() for c in inputs]
-            texts, errors = [], []
-            for lo in range(0, len(rows), batch_size or 1):
-                t, e = _bisected(generate, [c[lo : lo + (batch_size or 1)] for c in columns])
-                texts += t
-                errors += e
-            yield rows.assign(raw_hyp=texts, error=errors)
+            for start, end in _parts(columns, len(rows), step):
+                texts, errors = [], []
+                for lo in range(start, end, step):
+                    t, e = _bisected(generate, [c[lo : min(lo + step, end)] for c in columns])
+                    texts += t
+                    errors += e
+                yield rows.iloc[start:end].assign(raw_hyp=texts, error=errors)
 
     return run
 

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from earshot.operators import ranking as K
 from earshot.operators import sampling as P
 from earshot.operators import scoring as G
 from earshot.operators import sweep as W
+from earshot.plans import generation
 from earshot.plans.generation import generate_hypotheses, transcribe
 from earshot.sources.manifests import read_labels, read_manifest
 from earshot.sources.sinks import write_manifest_pair
@@ -54,6 +56,22 @@ def test_batches_are_halved_until_bad_rows_are_alone(spark):
     assert calls.value == 2 + 2 * 9  # two whole batches; two halved four times
 
 
+def test_generated_texts_are_handed_back_in_parts(monkeypatch):
+    monkeypatch.setattr(generation, "PART", 1000)
+    rows = pd.DataFrame({"id": range(100), "t": ["x" * 90] * 99 + ["y" * 5000], "n": 1})
+    calls = []
+
+    def generate(texts):
+        calls.append(len(texts))
+        return [t[:3] for t in texts]
+
+    out = list(generation._runner(lambda: generate, ["t"], 4)(iter([rows])))
+    assert max(len(x) for x in out) == 12 and calls == [4] * 25
+    assert pd.concat(out)["id"].tolist() == list(range(100)) and pd.concat(out)["raw_hyp"].tolist() == ["xxx"] * 99 + ["yyy"]
+    out = list(generation._runner(lambda: lambda t: t[:3], ["t"], None)(iter([rows, rows[:0]])))
+    assert max(len(x) for x in out) == 12 and len(pd.concat(out)) == 100
+
+
 def test_generation_plan(spark, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
