@@ -49,6 +49,31 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+class Rows:
+    """0/1 rows by the places of their ones: a sample takes memory for those alone, not for rows times features."""
+
+    def __init__(self, rows: list, width: int):
+        self.width, self.sizes = width, np.array([len(r) for r in rows], dtype=np.int64)
+        self.at = np.concatenate([np.array([], dtype=np.int32), *rows]).astype(np.int32)
+
+    @classmethod
+    def of(cls, x):
+        return x if isinstance(x, cls) else cls([np.flatnonzero(r) for r in x], x.shape[1])
+
+    def __len__(self):
+        return len(self.sizes)
+
+    def dot(self, w):
+        """Sum of the weights of every row's ones."""
+        sums = np.append(0.0, np.cumsum(w[self.at]))
+        ends = np.cumsum(self.sizes)
+        return sums[ends] - sums[ends - self.sizes]
+
+    def weighted(self, g):
+        """Sum of the numbers of the rows that have a one, per feature."""
+        return np.bincount(self.at, weights=np.repeat(g, self.sizes), minlength=self.width)
+
+
 def nnpu(positive, unlabelled, prior: float, steps: int = 600, ridge: float = 1e-3, beta: float = 0.0):
     """Weights and bias of a linear classifier from 0/1 rows of positives and of unlabelled texts.
 
@@ -57,16 +82,18 @@ def nnpu(positive, unlabelled, prior: float, steps: int = 600, ridge: float = 1e
     which keeps the model from learning the positives by heart. Every step sees the whole sample, as the
     risk of small batches would fall below zero by chance.
     """
-    xp, xu = (np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]) for x in (positive, unlabelled))
-    w = np.zeros(xp.shape[1])
+    xp, xu = Rows.of(positive), Rows.of(unlabelled)
+    w = np.zeros(xp.width + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros(len(w)), np.zeros(len(w))
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    with_bias = lambda x, g: np.append(x.weighted(g), g.sum())
     for t in range(1, steps + 1):
-        zp, zu = xp @ w, xu @ w
+        zp, zu = xp.dot(w) + w[-1], xu.dot(w) + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_plus = prior * (xp.T @ (sig(zp) - 1)) / len(xp)
-        g_minus = xu.T @ sig(zu) / len(xu) - prior * (xp.T @ sig(zp)) / len(xp)
+        sp, su = sig(zp), sig(zu)
+        g_plus = prior * with_bias(xp, sp - 1) / len(xp)
+        g_minus = with_bias(xu, su) / len(xu) - prior * with_bias(xp, sp) / len(xp)
         g = g_plus + g_minus if negative >= -beta else -g_minus
         g[:-1] += ridge * w[:-1]
         m = 0.9 * m + 0.1 * g
@@ -81,7 +108,7 @@ def train(texts: DataFrame, labels: DataFrame, prior: float | None = None, posit
     Positives are the texts labelled 1, all other texts are unlabelled: labels of 0 are not used to learn.
     ``prior``, the share of toxic texts among all, is by default the share of 1 among the labels. The
     sample is bounded (about ``positives`` and ``unlabelled`` rows, drawn by a hash of the id); feature hashes
-    of the sample come to the driver. Features are the words and beginnings of words that positives use clearly more often (see ``associated``). Rows without
+    of the positives come to the driver, and of the unlabelled those that ``SUPPORT`` positives use. Features are the words and beginnings of words that positives use clearly more often (see ``associated``). Rows without
     label, text or doc_id are unlabelled or left out; without any positive the score is the prior.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic is not null")
@@ -100,19 +127,37 @@ def train(texts: DataFrame, labels: DataFrame, prior: float | None = None, posit
     # at most ``positives`` ids, so the join sends no text anywhere
     drawn = rows.join(F.broadcast(toxic), "doc_id", "left").filter((F.col("p") == 1) | (draw < share_u))
 
-    def hashed(batches):
-        import pyarrow as pa
+    def drawn_bags(part, known=None):
+        def hashed(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                bags = [_features(t.as_py()) for t in b.column(1)]
+                if known is not None:
+                    bags = [known[_places(known, f)] for f in bags]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.tobytes() for f in bags], pa.binary())], names=["doc_id", "f"])
+
+        found = part.select("doc_id", "text").mapInArrow(hashed, "doc_id long, f binary").toArrow()
+        return found.column("doc_id").to_numpy(), [np.frombuffer(f.as_buffer(), dtype=np.uint64) for f in found.column("f")]
+
+    ids, bags = drawn_bags(drawn.filter("p = 1"))
+    is_p = np.ones(len(ids), dtype=bool)
+    if len(ids):
+        # of the unlabelled texts only features that enough positives use are of interest
+        found, n = np.unique(np.concatenate(bags), return_counts=True)
+        other_ids, other = drawn_bags(drawn.filter("p is null"), np.unique(np.concatenate([SIZES, found[n >= SUPPORT]])))
+        ids, bags = np.concatenate([ids, other_ids]), bags + other
+        is_p = np.arange(len(ids)) < len(is_p)
+    times = dict(zip(*np.unique(ids, return_counts=True), strict=True))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], bags[i].tobytes() if times[ids[i]] > 1 else b""))
+    bags, is_p = [bags[i] for i in order], is_p[order]
+    return fit(bags, is_p, draws_u(is_p, seed, share_u), prior)
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([_features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "p", "f"]
-            )
 
-    found = drawn.select("doc_id", "p", "text").mapInArrow(hashed, "doc_id long, p int, f binary").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["f"])))
-    bags = [np.frombuffer(r["f"], dtype=np.uint64) for r in found]
-    is_p = np.array([r["p"] == 1 for r in found], dtype=bool)
-    return fit(bags, is_p, draws_u(found, seed, share_u), prior)
+def _places(words, bag):
+    """Where the features of a bag are among sorted ones; those that are not there are left out."""
+    at = np.minimum(np.searchsorted(words, bag), len(words) - 1)
+    return at[words[at] == bag]
 
 
 def fit(bags: list, is_p, in_u, prior: float) -> ToxicityModel:
@@ -122,12 +167,11 @@ def fit(bags: list, is_p, in_u, prior: float) -> ToxicityModel:
     words = associated([b for b, p in zip(bags, is_p, strict=True) if p], [b for b, u in zip(bags, in_u, strict=True) if u])
     if not len(words):
         return ToxicityModel(words, np.array([]), float(np.log(prior / (1 - prior))))
-    x = np.zeros((len(bags), len(words)), dtype=np.float32)
-    for i, b in enumerate(bags):
-        at = np.minimum(np.searchsorted(words, b), len(words) - 1)
-        x[i, at[words[at] == b]] = 1
-    weights, bias = nnpu(x[is_p], x[in_u] if in_u.any() else x, prior)
-    a, b = calibrated(x[is_p] @ weights + bias, x[in_u] @ weights + bias if in_u.any() else x @ weights + bias, prior)
+    found = [_places(words, b) for b in bags]
+    in_u = in_u if in_u.any() else np.ones(len(bags), dtype=bool)
+    positive, unlabelled = (Rows([found[i] for i in np.flatnonzero(x)], len(words)) for x in (is_p, in_u))
+    weights, bias = nnpu(positive, unlabelled, prior)
+    a, b = calibrated(positive.dot(weights) + bias, unlabelled.dot(weights) + bias, prior)
     return ToxicityModel(words, a * weights, a * bias + b)
 
 
@@ -166,21 +210,19 @@ def associated(positive: list, unlabelled: list):
     mixed = [tuple(int((b * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)) if len(b) else () for b in positive]
     positive = list({m: b for m, b in zip(reversed(mixed), reversed(positive), strict=True)}.values())
     words, n = np.unique(np.concatenate(empty + positive), return_counts=True)
-    every, m = np.unique(np.concatenate(empty + unlabelled), return_counts=True)
     seen = np.zeros(len(words))
-    if len(every):
-        at = np.minimum(np.searchsorted(every, words), len(every) - 1)
-        seen = np.where(every[at] == words, m[at], 0)
+    for b in unlabelled if len(words) else []:  # a bag at a time: their union is many times larger
+        seen[_places(words, b)] += 1
     rate = (seen + 1) / (len(unlabelled) + 1)
     share = n / max(1, len(positive))
     sure = (share - rate) / np.sqrt(rate * (1 - np.minimum(rate, 0.999)) / max(1, len(positive)))
     return np.unique(np.concatenate([SIZES, words[(n >= SUPPORT) & (share >= 2 * rate) & (sure >= 6)]]))
 
 
-def draws_u(found: list, seed: int, share: float):
+def draws_u(is_p, seed: int, share: float):
     """Which drawn rows belong to the unlabelled sample: all that are no positives, and their part of those."""
     rng = np.random.default_rng(seed)
-    return np.array([r["p"] != 1 for r in found]) | (rng.random(len(found)) < share)
+    return ~is_p | (rng.random(len(is_p)) < share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:

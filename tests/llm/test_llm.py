@@ -324,6 +324,24 @@ def test_near_copies_lift_no_rare_word():
     assert len(toxicity.associated([copied] * 20 + other[:20], other)) == len(toxicity.SIZES)
 
 
+def test_toxicity_sample_takes_memory_for_its_features_alone():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    dense = (rng.random((50, 30)) < 0.2).astype(np.float32)
+    rows = toxicity.Rows.of(dense)
+    w, g = rng.normal(size=30), rng.normal(size=50)
+    assert np.allclose(rows.dot(w), dense @ w) and np.allclose(rows.weighted(g), dense.T @ g)
+    features = np.arange(100, 2100, dtype=np.uint64)
+    bags = [np.sort(rng.choice(features, 20, replace=False)) for _ in range(1500)] + [np.array([7], dtype=np.uint64)] * 1500
+    is_p = np.arange(3000) < 1500
+    tracemalloc.start()
+    model = toxicity.fit(bags, is_p, ~is_p, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.words) > 1500 and peak < 12_000_000  # a dense sample alone would take 24 MB
+
+
 def test_quality_statistics_and_outliers(spark, docs, empty):
     odd = [(t, i) for i, (_, t) in enumerate(odd_rows())] + [("a b c d e f g h a b c d e f g h x\na\na\n\n", 90), ("#$ %&|<>* " * 30, 91)]
     df = spark.createDataFrame(odd, "text string, i int")
