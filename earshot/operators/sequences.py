@@ -407,39 +407,50 @@ def _swap(df: DataFrame, keys: list[str], values: str, words: bool, vocab: DataF
 
         ids, names = held.value
         for b in batches:
-            for lo in range(0, len(b), 2000):
-                some = b.slice(lo, 2000)
-                if words:
-                    lists = [t.split() if t else [] for t in some.column(len(keys)).to_pylist()]
-                    n = np.array([len(x) for x in lists], np.int64)
-                    flat = pa.array([w for x in lists for w in x], pa.string())
-                    at = pc.index_in(flat, value_set=names)
-                else:
-                    column = some.column(len(keys))
-                    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
-                    flat = pc.list_flatten(column).cast(pa.int32())
-                    at = pc.index_in(flat, value_set=pa.array(ids))
-                ends = np.concatenate([[0], np.cumsum(n)])
-                found = pc.take(pa.array(ids) if words else names, at)
-                miss = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
-                if complete and len(miss):
-                    found, miss = pc.fill_null(found, rest), miss[:0]
-                owner = np.searchsorted(ends, miss, side="right") - 1
-                stops = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(some)))])
-                places = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array((miss - ends[owner]).astype(np.int32)))
-                cold = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat.take(pa.array(miss)))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], lists, places, cold], names=[*keys, out, "_places", "_cold"])
+            column = b.column(len(keys))
+            if words:  # the texts become words a few at a time; the symbols held are hashed once a batch
+                sizes, parts = [], []
+                for lo in range(0, len(b), 500):
+                    lists = [t.split() if t else [] for t in column.slice(lo, 500).to_pylist()]
+                    sizes += [len(x) for x in lists]
+                    parts.append(pa.array([w for x in lists for w in x], pa.string()))
+                n = np.array(sizes, np.int64)
+                flat = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+                at = pc.index_in(flat, value_set=names)
+            else:
+                n = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+                flat = pc.list_flatten(column).cast(pa.int32())
+                asked = pc.fill_null(flat, 0).to_numpy()
+                at = np.searchsorted(ids, asked)  # ids are sorted
+                known = np.append(ids, 0)[at] == asked
+                known &= (at < len(ids)) & flat.is_valid().to_numpy(zero_copy_only=False)
+                at = pa.array(at, mask=~known)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            found = pc.take(pa.array(ids) if words else names, at)
+            miss = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+            if complete and len(miss):
+                found, miss = pc.fill_null(found, rest), miss[:0]
+            owner = np.searchsorted(ends, miss, side="right") - 1
+            stops = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(b)))])
+            at_row = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array((miss - ends[owner]).astype(np.int32)))
+            cold = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat.take(pa.array(miss)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], lists, at_row, cold], names=[*keys, out, "_places", "_cold"])
 
     def fill(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            lists = b.column(len(keys)).to_pylist()
-            for row, late in zip(lists, b.column(len(keys) + 1).to_pylist(), strict=True):
-                for x in late:
-                    row[x["_at"]] = x["_new"]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(lists, b.schema.field(len(keys)).type)], names=[*keys, out])
+            lists, late = b.column(len(keys)), b.column(len(keys) + 1)
+            flat, new = pc.list_flatten(lists), pc.list_flatten(late)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            at = pc.struct_field(new, "_at").to_numpy() + np.repeat(ends[:-1], pc.list_value_length(late).to_numpy(zero_copy_only=False))
+            missing = np.zeros(len(flat), dtype=bool)
+            missing[at] = True
+            values = pc.struct_field(new, "_new").take(pa.array(np.argsort(at, kind="stable")))
+            filled = pc.replace_with_mask(flat, pa.array(missing), values)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), filled)], names=[*keys, out])
 
     schema = StructType([*fields, StructField(out, ArrayType(kind)), StructField("_places", ArrayType(IntegerType())), StructField("_cold", ArrayType(other))])
     rows = df.select(*keys, values).mapInArrow(run, schema)

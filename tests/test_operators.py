@@ -327,6 +327,28 @@ def test_position_ids_long(spark):
     assert got == want
 
 
+def test_words_outside_what_tasks_hold_in_many_batches(spark, monkeypatch):
+    """Cold words at many places of many rows, null and unknown ids, batches of a few rows."""
+    monkeypatch.setattr(Q, "HOT_SYMBOLS", 6)
+    rng = random.Random(9)
+    names = [f"n{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(names[: rng.randint(1, 40)]) for _ in range(rng.randint(0, 30))) for _ in range(100)] + [None, " "]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+        vocab = Q.build_vocab(docs.select(F.explode(F.split(F.trim("text"), " ")).alias("w")).filter("w <> ''"), "w")
+        ids = {r.symbol: r.token_id for r in vocab.collect()}
+        enc = {r.id: r.token_ids for r in Q.encode(docs, vocab, ["id"], "text").collect()}
+        assert enc == {i: [ids[w] for w in (t or "").split()] for i, t in enumerate(texts)}
+        rows = [(i, [None if x % 11 == 3 else x + 500 * (x % 13 == 1) for x in e]) for i, e in enc.items()] + [(1000, None)]
+        symbols = {i: s for s, i in ids.items()}
+        got = Q.decode(spark.createDataFrame(rows, "id int, t array<int>"), vocab, ["id"], "t", special="?").collect()
+        assert {r.id: r.text for r in got} == {i: " ".join(symbols.get(x, "?") for x in t or []) for i, t in rows}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_position_ids_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(Q, "POSITIONS_PER_TASK", 100)
     rows = [(i % 3 or None, i * 1000, i % 2 if i % 5 else None, str(i)) for i in range(3000)]
