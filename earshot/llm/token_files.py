@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm.common import END_ID, file_system, settle, shared_dir
-from earshot.llm.encoder import encoder, slices
+from earshot.llm.encoder import encoder, units
 
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
@@ -105,13 +105,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
         path = f"tokens-{shard:06d}-{uuid.uuid4().hex}.zst"
         enc, sink, writer = encoder(tokenizer), None, None
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                for i, raw in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
+            for lo, hi in units(b.column(1)):
+                some = b.slice(lo, hi - lo)
+                for i, raw in zip(some.column(0).to_pylist(), enc.encode_column(some.column(1)), strict=True):
                     if writer is None:
                         sink = files.open_output_stream(f"{folder}/{path}", compression=None)
                         writer = ShardWriter(sink)
-                    writer.add(i, raw + tail)
+                    writer.add(i, raw.as_py() + tail)
         if writer is not None:
             writer.close()
             sink.close()

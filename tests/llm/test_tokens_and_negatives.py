@@ -1,5 +1,6 @@
 """Encoding, alignment and hard negatives against the libraries and brute force, with odd rows."""
 
+import itertools
 import random
 
 import numpy as np
@@ -234,3 +235,34 @@ def test_packed_products_are_exact(top):
 def test_scores_beyond_64_bits_fail():
     with pytest.raises(OverflowError):
         negatives.packed_products(np.full((3, 4), 2.0**61), np.full((2, 4), 2.0**10))
+
+
+def test_encoder_keeps_letters_once_whatever_marks_follow():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from earshot.llm.encoder import Encoder
+
+    lib, enc = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    marks = ["", ",", ".", "...", "%%%", ",$$$", "(7", "'s", "?!'s", "-a-b", "«", "×,", "é.ß", "º."]
+    texts = [f" {w}{m}\t{m}{w} {w.upper()}{m}{w}\n" for w in ("thing", "élève", "zxqvw", "ñandú", "o") for m in marks]
+    odd = [None, "", " \n\t ", "İx, y", "<|endoftext|> a,", "x\x1cy", "ab\x85cd", "日本, 語", "a\x00b.", ",", "Ǆ.ɏ,", "".join(map(chr, range(0xA1, 0x250)))]
+    mixed = [t for pair in itertools.zip_longest(texts, odd) for t in pair]
+    want = [np.array(lib.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in mixed]
+    column = pa.array([*odd, *mixed], pa.string()).slice(len(odd))
+    assert enc.encode(mixed) == enc.encode_column(column).to_pylist() == want
+    assert enc.encode([]) == enc.encode_column(pa.array([], pa.string())).to_pylist() == []
+    enc = Encoder(tokenizer_path())
+    enc.encode([" ".join(f"{w}{a}{b}" for w in ("thing", "élève") for a in "!#$%&()*" for b in ",.:;?")])
+    assert len(enc.young) <= 42  # 80 words: two of letters, 40 runs of marks
+
+
+def test_units_hold_a_bounded_number_of_bytes_and_every_row():
+    import pyarrow as pa
+
+    from earshot.llm.encoder import units
+
+    column = pa.array(["x" * 9, None, "é" * 40, "", "ab", "cd", None], pa.string()).slice(1)
+    assert list(units(column, 8)) == [(0, 2), (2, 6)]
+    assert list(units(column, 2)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+    assert list(units(column.slice(6), 8)) == []
