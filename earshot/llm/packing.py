@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm.common import END_ID, settle
-from earshot.llm.encoder import encoder, slices
+from earshot.llm.encoder import encoder, units
 
 RANKS = 1 << 44  # room for the ranks of one length in a sorted key
 
@@ -90,11 +90,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                            ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("chunk", pa.int64()), ("rank", pa.int64())])
         enc, step = encoder(tokenizer), 4 * capacity
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                out = []
-                for i, raw in zip(names[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    raw += tail
+            for lo, hi in units(b.column(1)):
+                out, some = [], b.slice(lo, hi - lo)
+                for i, ids in zip(some.column(0).to_pylist(), enc.encode_column(some.column(1)), strict=True):
+                    raw = ids.as_py() + tail
                     for k, p in enumerate(range(0, len(raw), step)):
                         part = raw[p : p + step]
                         n = len(part) // 4
