@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.common import settle
-from earshot.llm.encoder import encoder, slices
+from earshot.llm.encoder import encoder, slices, units
 
 LENGTH, STRIDE = 32, 24  # ids a window reads, and ids that all but a text's first window score
 DIM, HIDDEN, CLASSES = 16, 16, 48
@@ -32,10 +32,6 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _lower(text: str | None) -> str:
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if text else ""
-
-
 class Attention:
     """Weights of the network; ``rows`` and ``last`` map ids to embeddings and to followers' tables."""
 
@@ -152,6 +148,7 @@ def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def count(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         kinds = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary())])
 
@@ -163,17 +160,17 @@ def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         words: Counter = Counter()
         nth = 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for t in texts:
-                words.update(_words(t))
-                if len(words) > 300_000:
-                    yield flush(words)
-                    words = Counter()
-            words[END] += len(texts)
-            for lo, hi in slices(texts):
-                ids = encoder(tokenizer).encode([_lower(t) for t in texts[lo:hi]])
+            for lo, hi in units(b.column(0)):
+                texts = b.column(0).slice(lo, hi - lo)
+                for t in texts:
+                    words.update(_words(t.as_py()))
+                    if len(words) > 300_000:
+                        yield flush(words)
+                        words = Counter()
+                words[END] += len(texts)
+                ids = encoder(tokenizer).encode_column(pc.ascii_lower(texts))
                 no = pa.nulls(len(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([no, pa.array(range(nth, nth + len(ids)), pa.int64()), pa.array(ids, pa.binary())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([no, pa.array(range(nth, nth + len(ids)), pa.int64()), ids], schema=kinds)
                 nth += len(ids)
         if words:
             yield flush(words)
@@ -207,6 +204,22 @@ def _id_counts(words: DataFrame, tokenizer: str, end: int, vocabulary: int):
     return out
 
 
+def _streamed(blobs: list, start: int, end: int):
+    """Ids of texts in a row, the start id before each and the end id behind."""
+    return np.concatenate([np.array([start])] + [p for i in blobs for p in (np.frombuffer(i, dtype="<u4").astype(np.int64), np.array([end, start]))])
+
+
+def _followers(ids, last, place, frequent: int, start: int, end: int):
+    """How often which id stands behind which in an Arrow column of texts' ids; a bounded number of texts at a time."""
+    found = np.zeros(LAST * (frequent + 1), dtype=np.int64)
+    for lo, hi in units(ids, 1 << 21):
+        s = _streamed(ids.slice(lo, hi - lo).to_pylist(), start, end)
+        s, t = s[:-1], s[1:]
+        keep = t != start
+        found += np.bincount(last[s[keep]] * (frequent + 1) + np.minimum(place[t[keep]], frequent), minlength=len(found))
+    return found
+
+
 def _classes(pairs, frequent, rounds: int = 12):
     """Classes of the frequent ids by what stands before them: k-means on square roots of shares."""
     x = np.sqrt(pairs / np.maximum(pairs.sum(axis=0, keepdims=True), 1)).T  # rows: ids
@@ -237,18 +250,12 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
     texts = counts.filter("ids is not null").select("ids", "n")
     total = texts.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 4
 
-    def streamed(blobs):
-        return np.concatenate([np.array([start])] + [p for i in blobs for p in (np.frombuffer(i, dtype="<u4").astype(np.int64), np.array([end, start]))])
-
     def pairs(batches):
         import pyarrow as pa
 
         found = np.zeros(LAST * (frequent + 1), dtype=np.int64)
         for b in batches:
-            s = streamed(b.column(0).to_pylist())
-            s, t = s[:-1], s[1:]
-            keep = t != start
-            found += np.bincount(last[s[keep]] * (frequent + 1) + np.minimum(place[t[keep]], frequent), minlength=len(found))
+            found += _followers(b.column(0), last, place, frequent, start, end)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["pair", "n"])
 
@@ -281,7 +288,7 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
             own, size = Attention(rows, last, follow, classes, share, start, end, weights.copy()), 0
             for b in batches:
                 blobs = b.column(0).to_pylist()
-                own.learn(streamed(sorted(blobs)), seed=r)
+                own.learn(_streamed(sorted(blobs), start, end), seed=r)
                 size += sum(len(i) for i in blobs)
             yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([own.weights.tolist()], pa.list_(pa.float32()))], names=["size", "w"])
 
@@ -319,6 +326,7 @@ def score(docs: DataFrame, held_out: str = "held_out", tokenizer: str = "") -> D
 
     def scored(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
@@ -326,13 +334,13 @@ def score(docs: DataFrame, held_out: str = "held_out", tokenizer: str = "") -> D
         at, enc = TaskContext.get().partitionId() << 33, encoder(tokenizer)
         none = lambda m, t: pa.nulls(m, t)
         for b in batches:
-            ids, flags, texts = (c.to_pylist() for c in b.columns)
-            for lo, hi in slices(texts):
+            for lo, hi in units(b.column(2), 1 << 21):
                 m = hi - lo
+                ids, flags, texts = (c.slice(lo, m) for c in b.columns)
                 names, tokens, known, base, who, rare, times = list(range(at, at + m)), [], [], [], [], [], []
                 at += m
-                for name, t in zip(names, texts[lo:hi], strict=True):
-                    w = _words(t)
+                for name, t in zip(names, texts, strict=True):
+                    w = _words(t.as_py())
                     w.append(END)
                     found = list(map(logs.get, w))
                     tokens.append(len(w))
@@ -344,9 +352,9 @@ def score(docs: DataFrame, held_out: str = "held_out", tokenizer: str = "") -> D
                         found = [f for f in found if f is not None]
                     known.append(len(found))
                     base.append(sum(found))
-                lp = model.score([np.frombuffer(i, dtype="<u4").astype(np.int64) for i in enc.encode([_lower(t) for t in texts[lo:hi]])])
+                lp = model.score([np.frombuffer(i, dtype="<u4").astype(np.int64) for i in enc.encode_column(pc.ascii_lower(texts)).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(ids[lo:hi], pa.int64()), pa.array(flags[lo:hi], pa.bool_()), pa.array(tokens, pa.int64()),
+                    [pa.array(names, pa.int64()), ids, flags, pa.array(tokens, pa.int64()),
                      pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(lp), none(m, pa.binary()), none(m, pa.int64())], schema=kinds
                 )
                 r = len(who)

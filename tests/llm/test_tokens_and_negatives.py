@@ -266,3 +266,27 @@ def test_units_hold_a_bounded_number_of_bytes_and_every_row():
     assert list(units(column, 8)) == [(0, 2), (2, 6)]
     assert list(units(column, 2)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
     assert list(units(column.slice(6), 8)) == []
+
+
+def test_followers_are_counted_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from earshot.llm import lm
+
+    rng, size = np.random.default_rng(2), 3000
+    texts = [rng.integers(0, size - 2, n).astype("<u4") for n in (0, 1, 2, *[4000] * 1500)]
+    place = np.arange(size)
+    last = np.minimum(place, lm.LAST - 1)
+    column = pa.array([t.tobytes() for t in texts], pa.binary())
+    tracemalloc.start()
+    got = lm._followers(column, last, place, 2048, size - 2, size - 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 24 MB of ids; all at once took more than 200 MB
+    want = np.zeros_like(got)
+    for t in texts:
+        row = np.array([size - 2, *t, size - 1])
+        np.add.at(want, last[row[:-1]] * 2049 + np.minimum(place[row[1:]], 2048), 1)
+    assert (got == want).all()
