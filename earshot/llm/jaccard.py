@@ -7,8 +7,9 @@
    each class takes the m whose estimated cost (postings to read, candidates to verify) is least, and
    a pair must share the smaller m of the two.
 3. Shingles that occur in two prefixes or more make candidates: pairs where the posting list is
-   short, the whole list where it is long. What hangs together is a family. A large one is parted into
-   bands of set sizes, so wide that only neighbouring bands can link, and a band into tiles by the least
+   short, the whole list where it is long. What hangs together is a family. A large one is parted first: its
+   sets are cut into so many parts that two which link must have an equal part, and only what hangs
+   together by equal parts stays a family. One that is still large is parted into bands of set sizes, so wide that only neighbouring bands can link, and a band into tiles by the least
    prefix token, which near copies mostly share. Two tiles of bands that can link meet with their prefix
    tokens, as products of incidence matrices. A candidate must also pass the bound that the parity
    bitmaps of its two sets give: bits that differ are elements that only one set has. What hangs together
@@ -278,6 +279,95 @@ def _digested(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(digested, "text string, x long, y long")
 
 
+def _band(n, percent: int):
+    """Bands of sizes, numbers or a column: sets can link only if theirs are the same or neighbours."""
+    # a little wider than the logarithm of the largest ratio of sizes, so that rounding parts no pair
+    width = 1.000001 * math.log(100 / percent) if percent < 100 else 0
+    if not isinstance(n, int):
+        return F.floor(F.log(n) / width) if width else n
+    return math.floor(math.log(n) / width) if width else n
+
+
+def _most_in(band: int, percent: int) -> int:
+    """A size that no set of the band exceeds."""
+    return math.ceil(math.exp((band + 1) * 1.000001 * math.log(100 / percent))) + 1 if percent < 100 else band
+
+
+def parts(s, percent: int):
+    """Hashes of the parts of a set; two sets that link have one of them in common.
+
+    Two sets that link differ in at most ``d`` elements, a bound by their sizes. Cut into d + 1 parts by the
+    elements' hashes, they are equal in one part at least. The number of parts is that of a pair of
+    neighbouring bands, so a set has parts for its own band with the next and for the one before with its own.
+    """
+    import numpy as np
+
+    out, own = [], _band(len(s), percent)
+    for band in (own - 1, own):
+        differ = (100 - percent) * (_most_in(band, percent) + _most_in(band + 1, percent)) // (100 + percent)
+        at = (s % np.uint64(differ + 1)).astype(np.int64)
+        total = np.zeros(differ + 1, dtype=np.uint64)
+        np.add.at(total, at, s)
+        key = np.arange(differ + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 2) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+        x = (total ^ key) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(29)))
+    return np.unique(np.concatenate(out))
+
+
+def _parts(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows part, rep of the sets of ``text, x, y, rep``."""
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = pa.schema([("part", pa.int64()), ("rep", pa.int64())])
+        for b in batches:
+            found, reps, size = [], [], 0
+            for r, (t, x, y, rep) in enumerate(zip(*(b.column(c) for c in ("text", "x", "y", "rep")), strict=True)):
+                s = shingle_set(t.as_py(), k)
+                if len(s) and _digest(s) == (x.as_py(), y.as_py()):
+                    found.append(parts(s, percent))
+                    reps.append(rep.as_py())
+                    size += len(found[-1])
+                if found and (size > 1 << 20 or r == b.num_rows - 1):
+                    rows = np.repeat(np.array(reps, dtype=np.int64), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(rows)], schema=kinds)
+                    found, reps, size = [], [], 0
+
+    return texts.select("text", "x", "y", "rep").mapInArrow(cut, "part long, rep long")
+
+
+def _texts_of(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Texts of classes: ``members`` (with id, x, y, written) beside a text each, without id.
+
+    Found by doc_id; classes without an id, or with one that other members have too, by digest.
+    """
+    several = settle(members.filter("id is not null").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "several")
+    texts = docs.withColumnRenamed("doc_id", "id")
+    lone = members.filter("id is null").unionByName(members.join(several, "id", "left_semi"))
+    side = members.filter("id is not null").join(several, "id", "left_anti")
+    found = texts.join(F.broadcast(side) if members.count() <= SMALL_SIDE else side, "id")
+    if not lone.isEmpty():
+        apart = texts.filter("id is null").unionByName(texts.join(several, "id", "left_semi")).select("text")
+        found = found.unionByName(_digested(apart, k).join(lone, ["x", "y"]))
+    return found.drop("id")
+
+
+def _refined(families: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows rep, family: large families are parted into what hangs together by equal parts of sets."""
+    large = settle(families.groupBy("family").agg(F.count("*").alias("m")).filter(F.col("m") > TILE).select("family"), "large-families")
+    if large.isEmpty():
+        return families
+    held = settle(families.join(large, "family", "left_semi").select("rep").join(classes.select("rep", "id", "x", "y"), "rep"), "large-members")
+    alike = Window.partitionBy("part")
+    rows = _parts(_texts_of(docs, held, k), k, percent)
+    equal = settle(rows.withColumn("first", F.min("rep").over(alike)).filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "equal-parts")
+    joined = components(equal).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    return families.join(large, "family", "left_anti").select("rep", "family").unionByName(joined)
+
+
 def overlaps(sets: list):
     """Strips of the matrix of intersection sizes of sorted hash arrays: first row, rows of the strip.
 
@@ -350,8 +440,7 @@ def _dealt(members: DataFrame, percent: int) -> DataFrame:
     """
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     large = settle(size.filter((F.col("m") > TILE) | (F.col("s") > TILE_SHINGLES)).select("family", F.lit(True).alias("large")), "large")
-    # a little wider than the logarithm of the largest ratio of sizes, so that rounding parts no pair
-    band = F.floor(F.log("n") / (1.000001 * math.log(100 / percent))) if percent < 100 else F.col("n")
+    band = _band(F.col("n"), percent)
     members = members.join(large, "family", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0).cast("long"))
     members = settle(members.drop("large"), "banded")
     load = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)
@@ -470,23 +559,14 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     stars = live.filter((F.col("m") > LONG_LIST) & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
     families = components(settle(pairs.union(stars), "candidates")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    families = _refined(settle(families, "families"), classes, docs, k, percent)
     own = live.groupBy("rep").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.min("token").alias("least"), F.collect_list("token").alias("tokens"))
     own = settle(families.join(own, "rep").join(mapped.select("rep", "map"), "rep"), "own")
     dealt = _dealt(own.select("family", "rep", "n", "least"), percent)
     placed = _placed(own.drop("family").join(dealt, "rep"), "need", "tokens", "map")
     met = _candidates(placed, percent).groupBy("rep").agg(F.collect_list(F.struct("i", "j", "cluster")).alias("met"))
     members = settle(dealt.select("rep", "tile").join(met, "rep").join(classes, "rep"), "members")
-    # classes without an id, or with one that other members have too, are found by digest
-    several = settle(members.filter("id is not null").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "several")
-    texts = docs.withColumnRenamed("doc_id", "id")
-    lone = members.filter("id is null").unionByName(members.join(several, "id", "left_semi"))
-    side = members.filter("id is not null").join(several, "id", "left_anti")
-    found = texts.join(F.broadcast(side) if members.count() <= SMALL_SIDE else side, "id")
-    if not lone.isEmpty():
-        apart = texts.filter("id is null").unionByName(texts.join(several, "id", "left_semi")).select("text")
-        found = found.unionByName(_digested(apart, k).join(lone, ["x", "y"]))
-    texts = found.drop("id")
-    sent = _sets(texts, k).withColumn("met", F.explode("met")).select("met.i", "met.j", "met.cluster", "tile", "rep", "n", "copies", "shingles")
+    sent = _sets(_texts_of(docs, members, k), k).withColumn("met", F.explode("met")).select("met.i", "met.j", "met.cluster", "tile", "rep", "n", "copies", "shingles")
     found = settle(_verified(sent, percent), "verified")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     # rows that share a doc_id are one node, so its classes belong together

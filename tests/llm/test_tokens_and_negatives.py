@@ -290,3 +290,21 @@ def test_followers_are_counted_in_bounded_memory():
         row = np.array([size - 2, *t, size - 1])
         np.add.at(want, last[row[:-1]] * 2049 + np.minimum(place[row[1:]], 2048), 1)
     assert (got == want).all()
+
+
+def test_sets_that_link_have_a_part_in_common():
+    from earshot.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 90, 100):
+        for n in (1, 2, 9, 10, 11, 19, 20, 37, 100, 333, 900):
+            for _ in range(12):
+                s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                away, more = rng.integers(0, n // 2 + 1), rng.integers(0, n // 2 + 1)
+                t = np.unique(np.concatenate([s[away:], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+                both = len(np.intersect1d(s, t))
+                if len(t) and 100 * both >= percent * (len(s) + len(t) - both):
+                    assert len(np.intersect1d(jaccard.parts(s, percent), jaccard.parts(t, percent)))
+    a, b = (rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2))
+    b[:200] = a[:200]  # half in common: a prefix token meets, no part does
+    assert not len(np.intersect1d(jaccard.parts(np.sort(a), 90), jaccard.parts(np.sort(b), 90)))
