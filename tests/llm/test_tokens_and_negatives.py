@@ -308,3 +308,15 @@ def test_sets_that_link_have_a_part_in_common():
     a, b = (rng.integers(0, 1 << 63, 400).astype(np.uint64) for _ in range(2))
     b[:200] = a[:200]  # half in common: a prefix token meets, no part does
     assert not len(np.intersect1d(jaccard.parts(np.sort(a), 90), jaccard.parts(np.sort(b), 90)))
+
+
+def test_components_name_every_node_of_long_chains(spark):
+    from earshot.llm.components import components
+
+    rng = random.Random(5)
+    chain = [(k, k + 1) for k in range(100, 400)] + [(k + 1000, 1000) for k in range(1, 60)] + [(7, 7), (None, 3), (2, 1), (1, 2), (5, 1)]
+    rng.shuffle(chain)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{k: 100 for k in range(100, 401)}, **{k: 1000 for k in range(1000, 1060)}, 1: 1, 2: 1, 5: 1}
+    empty = components(spark.createDataFrame([], "a long, b long"))
+    assert empty.columns == ["node", "component"] and not empty.collect()
