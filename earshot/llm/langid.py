@@ -53,6 +53,10 @@ class LanguageModel:
 
     def scores(self, texts: list[str | None]):
         """Class probabilities, rows of texts; texts without subwords are even."""
+        none = np.zeros((0, len(self.labels)))
+        return np.concatenate([none, *(self._scores(texts[lo:hi]) for lo, hi in slices(texts, 1 << 19))])
+
+    def _scores(self, texts: list[str | None]):
         ids, starts, total = grams(texts)
         sums = np.zeros((len(texts), len(self.labels)))
         ends = np.append(starts[1:], total)

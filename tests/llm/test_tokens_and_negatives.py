@@ -320,3 +320,19 @@ def test_components_name_every_node_of_long_chains(spark):
     assert got == {**{k: 100 for k in range(100, 401)}, **{k: 1000 for k in range(1000, 1060)}, 1: 1, 2: 1, 5: 1}
     empty = components(spark.createDataFrame([], "a long, b long"))
     assert empty.columns == ["node", "component"] and not empty.collect()
+
+
+def test_language_scores_take_bounded_memory():
+    import tracemalloc
+
+    from earshot.llm import langid
+
+    rng = np.random.default_rng(6)
+    model = langid.LanguageModel(list("abcde"), rng.normal(size=(langid.BUCKETS, 5)).astype(np.float32), 0.7, 0.0)
+    texts = [None, "", " 12 ", *[" ".join(f"wört{k}{j % 97}e" for j in range(3000)) for k in "abc"]] * 30
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 2.4 million characters; all at once took more than 150 MB
+    assert np.array_equal(got, np.concatenate([model._scores([t]) for t in texts])) and model.scores([]).shape == (0, 5)
