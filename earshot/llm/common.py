@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from earshot.session import settle, shared_dir
 
-__all__ = ["TOKENIZER", "columns_free", "file_system", "kept", "remainder", "settle", "shared_dir", "table", "words_of"]
+__all__ = ["TOKENIZER", "columns_free", "file_system", "give_back", "kept", "remainder", "settle", "shared_dir", "table", "words_of"]
 
 # White space that parts words, the tokenizer file and its end-of-document id.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,17 @@ def kept(name: str, make: Callable[[], Any]) -> Any:
     return store[name]
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold for later: Python workers outlive a task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def file_system(path: str):
     """The Arrow file system of a folder and the folder's name there; works for any scheme Arrow knows."""
     from pyarrow import fs

@@ -4,8 +4,9 @@
    twice or more in a block of a task. Equal sets form a class; classes are compared, not copies.
 2. A prefix per class. Shingles are ordered by those counts, rare first. Two sets of the wanted
    similarity share m shingles of their prefixes when both are m - 1 longer than the plain prefix;
-   each class takes the m whose estimated cost (postings to read, candidates to verify) is least, and
-   a pair must share the smaller m of the two.
+   each class takes the m whose estimated cost (postings to read, candidates to verify) is least, the
+   largest where it has rare shingles enough, and a pair must share the smaller m of the two. So texts
+   that share a rare shingle or two by chance do not hang together, however many texts there are.
 3. Shingles that occur in two prefixes or more make candidates: pairs where the posting list is
    short, the whole list where it is long. What hangs together is a family. A large one is parted first: its
    sets are cut into so many parts that two which link must have an equal part, and only what hangs
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.common import settle
+from earshot.llm.common import give_back, settle
 from earshot.llm.components import components
 
 HEAVY = 1 << 18  # shingles whose count is kept for the order; the order decides cost, never results
@@ -155,6 +156,8 @@ def _surveyed(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([True] * len(ids)), pa.array(ids, pa.int64()), *(pa.array(v, pa.int64()) for v in (n, x, y)), pa.array(maps, pa.binary())], schema=kinds)
         if size:
             yield counted()
+        block = []
+        give_back()
 
     return settle(docs.mapInArrow(survey, "doc boolean, id long, n long, x long, y long, map binary"), "survey")
 
@@ -192,7 +195,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy, counts) -> DataFrame
         kinds = pa.schema([("token", pa.int64()), ("x", pa.int64()), ("need", pa.int32()), ("known", pa.bool_())])
         seen = set()
         for b in batches:
-            tokens, xs, known, needs, sizes = [], [], [], [], []
+            tokens, xs, known, needs, sizes, held = [], [], [], [], [], 0
             for t in b.column(1):
                 s = shingle_set(t.as_py(), k)
                 n = len(s)
@@ -209,7 +212,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy, counts) -> DataFrame
                     f[hit] = counts[at[hit]]
                 rare = s[f == 0]
                 if len(rare) >= long:
-                    p, need = rare[:plain], 1
+                    # rare ones beyond the counts kept still meet by chance, more often in a larger corpus; the most matches cost a few postings
+                    p, need = rare[:long], most
                     often = np.zeros(len(p), dtype=bool)
                 else:
                     order = np.lexsort((s, f))[:long]
@@ -223,11 +227,13 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy, counts) -> DataFrame
                 xs.append(d[0])
                 known.append(often)
                 needs.append(need)
-                if sum(sizes[-64:]) > 1 << 20:
+                held += len(p)
+                if held > 1 << 18:
                     yield _batch(tokens, xs, known, needs, sizes, kinds)
-                    tokens, xs, known, needs, sizes = [], [], [], [], []
+                    tokens, xs, known, needs, sizes, held = [], [], [], [], [], 0
             if tokens:
                 yield _batch(tokens, xs, known, needs, sizes, kinds)
+        give_back()
 
     def _batch(tokens, xs, known, needs, sizes, kinds):
         import numpy as np
@@ -261,6 +267,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                     rows = b.take(pa.array(keep, pa.int64()))
                     yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in info), pa.array(found, pa.binary())], names=[*(names[i] for i in info), "shingles"])
                     size, keep, found = 0, [], []
+        give_back()
 
     rest = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name not in ("text", "x", "y")]
     return texts.mapInArrow(sets, ", ".join([*rest, "shingles binary"]))

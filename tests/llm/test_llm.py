@@ -170,6 +170,18 @@ def test_jaccard_bands_and_clusters_lose_no_link(spark, monkeypatch, percent):
     assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((i, w) for (i, _), w in zip(rows, want))
 
 
+def test_jaccard_texts_that_share_a_rare_shingle_do_not_hang_together(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 0)  # no count is kept, so every shingle passes for rare
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "_parts", lambda *args: pytest.fail("a chain of chance meetings became a large family"))
+    words = sorted((f"w{i}" for i in range(3000)), key=lambda w: int(jaccard.shingle_set(w, 1)[0]))
+    links, fill = words[:41], words[41:]
+    rows = [(i, " ".join([links[i], links[i + 1], *fill[50 * i : 50 * i + 50]])) for i in range(40)]
+    rows.append((99, rows[7][1] + " other"))
+    got = jaccard.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, 90).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == {i: (7, 1) if i in (7, 99) else (i, 0) for i, _ in rows}
+
+
 @pytest.mark.parametrize("few", [1, 3, 10**6])
 def test_overlaps_by_pairs_and_by_products(monkeypatch, few):
     monkeypatch.setattr(jaccard, "FEW", few)
