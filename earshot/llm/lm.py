@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import settle
+from earshot.llm.common import give_back, settle
 from earshot.llm.encoder import encoder, slices, units
 
 LENGTH, STRIDE = 32, 24  # ids a window reads, and ids that all but a text's first window score
@@ -174,6 +174,8 @@ def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                 nth += len(ids)
         if words:
             yield flush(words)
+        words = Counter()
+        give_back()
 
     return settle(docs.select("text").mapInArrow(count, "word binary, n long, ids binary"), "corpus-counts")
 
@@ -290,6 +292,7 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
                 blobs = b.column(0).to_pylist()
                 own.learn(_streamed(sorted(blobs), start, end), seed=r)
                 size += sum(len(i) for i in blobs)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([own.weights.tolist()], pa.list_(pa.float32()))], names=["size", "w"])
 
         found = deal.mapInArrow(learn, "size long, w array<float>").filter("size > 0")
