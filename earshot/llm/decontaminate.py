@@ -14,6 +14,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earshot.llm.common import give_back
+
 BASE = 0x9E3779B97F4A7C15 | 1
 BLOCK_WORDS = 500_000  # words of the test set that a task holds at a time
 
@@ -168,6 +170,7 @@ def _against(docs: DataFrame, items: list, shortest: int, coverage: float) -> Da
                     if n >= coverage * sizes[o]:
                         out.append((i, names[o], n / sizes[o], len(found), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], schema=kinds)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(match, "doc_id long, item_id long, coverage double, n_tiles int, n_words int")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from earshot.llm.common import kept
+from earshot.llm.common import give_back, kept
 
 # Words are tokenised on their own where white space cannot matter: printable characters up to
 # U+024F have no compositions, and tab, line feed, carriage return and blank are plain separators.
 # The small form of U+0130 is two characters.
 _PLAIN = r"\A[\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]*\z"
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # behind a letter they begin another piece; not ' and digits
-_CACHE = 150_000
-_UNIT = 1 << 22  # bytes of text whose words are looked up together
+_CACHE = 50_000
+_UNIT = 1 << 21  # bytes of text whose words are looked up together
 
 
 class Encoder:
@@ -137,6 +137,8 @@ class Encoder:
         if len(words):
             at = np.frombuffer(starts, dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
             ends = at[ends - ends[0]]
+        del parts, words
+        give_back()
         column = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int32)), data])
         if not len(other):
             return column

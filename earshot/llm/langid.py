@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import columns_free
+from earshot.llm.common import columns_free, give_back
 from earshot.llm.encoder import slices
 
 UNKNOWN = "und"
@@ -174,6 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
             ok = np.array([bool(t) and _letter.search(t) is not None for t in part])
             names += [labels[k] if o else UNKNOWN for k, o in zip(best, ok, strict=True)]
             scores += np.where(ok, p.max(axis=1), 0.0).tolist()
+        give_back()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     found: Column = F.col("_found")

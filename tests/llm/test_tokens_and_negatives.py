@@ -336,3 +336,30 @@ def test_language_scores_take_bounded_memory():
     tracemalloc.stop()
     assert peak < 60e6  # 2.4 million characters; all at once took more than 150 MB
     assert np.array_equal(got, np.concatenate([model._scores([t]) for t in texts])) and model.scores([]).shape == (0, 5)
+
+
+def test_encoder_holds_little_between_units():
+    """In a process of its own, whose memory nothing else changes."""
+    import subprocess
+    import sys
+
+    code = """
+import re, sys
+import pyarrow as pa
+from earshot.llm.common import tokenizer_path
+from earshot.llm.encoder import Encoder, units
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+own = Encoder(tokenizer_path())
+own.encode(["warm up"])
+before = held()
+for part in range(8):  # 320,000 words, all different
+    words = [f"{x:08x}".translate(str.maketrans("0123456789", "ghijklmnop")) for x in range(40_000 * part, 40_000 * part + 40_000)]
+    texts = pa.array([" ".join(words[i : i + 400]) * 10 for i in range(0, 40_000, 400)])
+    for lo, hi in units(texts):
+        own.encode_column(texts.slice(lo, hi - lo))
+    del words, texts
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert float(got.stdout) < 60
