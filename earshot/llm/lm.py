@@ -24,6 +24,8 @@ DIM, HIDDEN, CLASSES = 16, 16, 48
 ROWS = 1024  # embeddings: the most frequent ids have their own, the others share by remainder
 LAST = 256  # last ids that have their own table of following classes
 HOT_WORDS = 150_000  # words whose counts every task holds; the others are joined
+LEARNERS = 4  # learners of a task, on average
+WINDOWS = 512  # windows scored at a time; other numbers round otherwise
 END = b""  # no word is empty
 
 
@@ -32,6 +34,15 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _kind(tokenizer: str) -> str:
+    """The type that ids are stored in: two bytes where they fit."""
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def _as(ids: bytes, was: str, kind: str) -> bytes:
+    return ids if was == kind else np.frombuffer(ids, dtype=was).astype(kind).tobytes()
+
+
 class Attention:
     """Weights of the network; ``rows`` and ``last`` map ids to embeddings and to followers' tables."""
 
@@ -117,8 +128,8 @@ class Attention:
         g["qkv"] = xf.T @ dqkv
         dx = (dpre @ w["u"].T + dqkv @ w["qkv"].T).reshape(b, LENGTH, DIM)
         g["p"] = dx.sum(axis=0)
-        g["e"] = np.zeros(self.SHAPES["e"], dtype=np.float32)
-        np.add.at(g["e"], self.rows[ids].ravel(), dx.reshape(-1, DIM))
+        g["e"] = np.zeros(ROWS * DIM, dtype=np.float32)
+        np.add.at(g["e"], (self.rows[ids].reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), dx.ravel())  # numbers go much faster than rows
         return np.concatenate([g[k].ravel() for k in self.SHAPES])
 
     def score(self, texts: list):
@@ -133,8 +144,8 @@ class Attention:
         doc = np.repeat(np.arange(len(texts)), more)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(more) - more, more)
         for docs, at, first in ((np.arange(len(texts)), np.zeros(len(texts), dtype=np.int64), 0), (doc, STRIDE * (nth + 1), LENGTH - STRIDE)):
-            for lo in range(0, len(docs), 512):
-                d, a = docs[lo : lo + 512], at[lo : lo + 512]
+            for lo in range(0, len(docs), WINDOWS):
+                d, a = docs[lo : lo + WINDOWS], at[lo : lo + WINDOWS]
                 place = (begin[d] + a)[:, None] + np.arange(LENGTH)
                 inside = (a[:, None] + np.arange(first, LENGTH)) < sizes[d][:, None]
                 place = np.minimum(place, len(x) - 1)
@@ -144,17 +155,23 @@ class Attention:
 
 
 def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One pass over training texts: rows word, n of every word of a task, and rows with the ids of a text, n its number in its task."""
+    """One pass over training texts: rows word, n of every word of a task, and rows with the ids of a text, n its number in its task.
+
+    ``deal`` is a hash of a text's ids and number, by which learners get their texts.
+    """
+    kind = _kind(tokenizer)
 
     def count(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
+        import xxhash
 
-        kinds = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary())])
+        kinds = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("ids", pa.binary()), ("deal", pa.int64())])
 
         def flush(words):
+            m = len(words)
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.binary())], schema=kinds
+                [pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], schema=kinds
             )
 
         words: Counter = Counter()
@@ -168,16 +185,18 @@ def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                         yield flush(words)
                         words = Counter()
                 words[END] += len(texts)
-                ids = encoder(tokenizer).encode_column(pc.ascii_lower(texts))
-                no = pa.nulls(len(ids), pa.binary())
-                yield pa.RecordBatch.from_arrays([no, pa.array(range(nth, nth + len(ids)), pa.int64()), ids], schema=kinds)
-                nth += len(ids)
+                ids = encoder(tokenizer).encode_column(pc.ascii_lower(texts)).to_pylist()
+                m, stored = len(ids), pa.array([_as(i, "<u4", kind) for i in ids], pa.binary())
+                deal = [xxhash.xxh64_intdigest(k.to_bytes(8, "little"), xxhash.xxh64_intdigest(i, 42)) for k, i in enumerate(ids, nth)]
+                deal = np.array(deal, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.array(range(nth, nth + m), pa.int64()), stored, pa.array(deal)], schema=kinds)
+                nth += m
         if words:
             yield flush(words)
         words = Counter()
         give_back()
 
-    return settle(docs.select("text").mapInArrow(count, "word binary, n long, ids binary"), "corpus-counts")
+    return settle(docs.select("text").mapInArrow(count, "word binary, n long, ids binary, deal long"), "corpus-counts", compression="zstd")
 
 
 def _id_counts(words: DataFrame, tokenizer: str, end: int, vocabulary: int):
@@ -206,16 +225,16 @@ def _id_counts(words: DataFrame, tokenizer: str, end: int, vocabulary: int):
     return out
 
 
-def _streamed(blobs: list, start: int, end: int):
+def _streamed(blobs: list, start: int, end: int, kind: str = "<u4"):
     """Ids of texts in a row, the start id before each and the end id behind."""
-    return np.concatenate([np.array([start])] + [p for i in blobs for p in (np.frombuffer(i, dtype="<u4").astype(np.int64), np.array([end, start]))])
+    return np.concatenate([np.array([start])] + [p for i in blobs for p in (np.frombuffer(i, dtype=kind).astype(np.int64), np.array([end, start]))])
 
 
-def _followers(ids, last, place, frequent: int, start: int, end: int):
+def _followers(ids, last, place, frequent: int, start: int, end: int, kind: str = "<u4"):
     """How often which id stands behind which in an Arrow column of texts' ids; a bounded number of texts at a time."""
     found = np.zeros(LAST * (frequent + 1), dtype=np.int64)
     for lo, hi in units(ids, 1 << 21):
-        s = _streamed(ids.slice(lo, hi - lo).to_pylist(), start, end)
+        s = _streamed(ids.slice(lo, hi - lo).to_pylist(), start, end, kind)
         s, t = s[:-1], s[1:]
         keep = t != start
         found += np.bincount(last[s[keep]] * (frequent + 1) + np.minimum(place[t[keep]], frequent), minlength=len(found))
@@ -249,15 +268,15 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
     rows = np.where(place < ROWS - 32, place, ROWS - 32 + place % 32)
     last = np.where(place < LAST - 1, place, LAST - 1)
     frequent = 2048
-    texts = counts.filter("ids is not null").select("ids", "n")
-    total = texts.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 4
+    texts, kind = counts.filter("ids is not null").select("ids", "deal"), _kind(tokenizer)
+    total = texts.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // np.dtype(kind).itemsize
 
     def pairs(batches):
         import pyarrow as pa
 
         found = np.zeros(LAST * (frequent + 1), dtype=np.int64)
         for b in batches:
-            found += _followers(b.column(0), last, place, frequent, start, end)
+            found += _followers(b.column(0), last, place, frequent, start, end, kind)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["pair", "n"])
 
@@ -279,24 +298,46 @@ def train(counts: DataFrame, words: DataFrame, tokenizer: str, rounds: int = 2,
     model = Attention(rows, last, follow, classes, share, start, end)
     if not total:  # nothing to train on: the counts alone decide
         model.parts()["o"][:] = 0
+    # texts go to learners once, by ids and number, so that copies go to many; a learner's texts lie together in a file
     n = max(1, int(total // task_ids))
-    deal = texts.repartition(n, F.xxhash64("ids", "n"))  # with the number, so that copies go to many tasks
+    dealt = texts.select("ids", F.pmod(F.hash("deal"), F.lit(n)).alias("learner"))
+    dealt = settle(dealt.repartition(-(-n // LEARNERS), "learner").sortWithinPartitions("learner"), "dealt", compression="zstd") if total else None
     for r in range(rounds if total else 0):
         weights = model.weights
 
         def learn(batches, weights=weights, r=r):
             import pyarrow as pa
 
-            own, size = Attention(rows, last, follow, classes, share, start, end, weights.copy()), 0
-            for b in batches:
-                blobs = b.column(0).to_pylist()
-                own.learn(_streamed(sorted(blobs), start, end), seed=r)
-                size += sum(len(i) for i in blobs)
+            size, sums = 0, np.zeros(len(weights))
+
+            def learnt(blobs):
+                """Number of ids, and the weights after them times this number."""
+                own = Attention(rows, last, follow, classes, share, start, end, weights.copy())
+                own.learn(_streamed(sorted(blobs, key=lambda i: _as(i, kind, "<u4")), start, end, kind), seed=r)
+                ids = sum(len(i) for i in blobs) // np.dtype(kind).itemsize
+                return ids, own.weights.astype(np.float64) * ids
+
+            def learners():
+                whose, blobs = None, []
+                for b in batches:
+                    for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        if k != whose and blobs:
+                            yield blobs
+                            blobs = []
+                        whose = k
+                        blobs.append(i)
+                if blobs:
+                    yield blobs
+
+            for blobs in learners():
+                ids, w = learnt(blobs)
+                size += ids
+                sums += w
             give_back()
-            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([own.weights.tolist()], pa.list_(pa.float32()))], names=["size", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["size", "w"])
 
-        found = deal.mapInArrow(learn, "size long, w array<float>").filter("size > 0")
-        mean = found.select("size", F.posexplode("w").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("size")) / F.sum("size")).alias("v"))
+        found = dealt.mapInArrow(learn, "size long, w array<double>").filter("size > 0")
+        mean = found.select("size", F.posexplode("w").alias("i", "v")).groupBy("i").agg((F.sum("v") / F.sum("size")).alias("v"))
         for x in mean.collect():
             model.weights[x["i"]] = x["v"]
     return model

@@ -363,3 +363,36 @@ print(held() - before)
 """
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
     assert float(got.stdout) < 60
+
+
+def test_language_model_deals_texts_to_learners_once(spark, monkeypatch):
+    from earshot.llm import lm
+    from earshot.llm.encoder import Encoder
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(("red", "Blue", "naïve", "stone,", "x7")) for _ in range(rng.randrange(30)))) for i in range(60)] + [(70, None)]
+    counts = lm.corpus_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path())
+    words = counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
+    texts = counts.filter("ids is not null").select("ids", "n", "deal").collect()
+    whole = [np.frombuffer(t["ids"], dtype="<u2").astype("<u4").tobytes() for t in texts]  # two bytes an id
+    own = Encoder(tokenizer_path())
+    assert sorted(whole) == sorted(own.encode([t and t.lower() for _, t in rows]))
+    n = sum(len(w) for w in whole) // 4 // 100
+    dealt = spark.createDataFrame([(i, bytearray(w), t["n"]) for i, (w, t) in enumerate(zip(whole, texts, strict=True))], "i long, ids binary, n long")
+    found = dealt.select("i", F.xxhash64("ids", "n").alias("deal")).select("i", "deal", F.pmod(F.hash("deal"), F.lit(n)).alias("k")).collect()
+    assert n > 4 and {r["i"]: r["deal"] for r in found} == {i: t["deal"] for i, t in enumerate(texts)}
+    written = []
+    monkeypatch.setattr(lm, "settle", lambda df, name="part", **o: written.append(name) or settle(df, name, **o))
+    got = lm.train(counts, words, tokenizer_path(), task_ids=100).weights
+    assert written == ["dealt"]  # not again each round
+    want = lm.train(counts, words, tokenizer_path(), rounds=0, task_ids=100)
+    for r in range(2):
+        sums, size = 0, 0
+        for k in range(n):
+            mine = sorted(whole[x["i"]] for x in found if x["k"] == k)
+            one = lm.Attention(*[getattr(want, a) for a in ("rows", "last", "follow", "classes", "share", "start", "end")], want.weights.copy())
+            if ids := sum(len(i) for i in mine):
+                one.learn(lm._streamed(mine, want.start, want.end), seed=r)
+                sums, size = sums + one.weights.astype(np.float64) * ids, size + ids
+        want.weights = (sums / size).astype(np.float32)
+    assert np.abs(got - want.weights).max() < 1e-6
